@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_store
+from . import langid, packing, token_store
 from .common import new_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,5 +24,19 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_token_store": op1_token_store}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 0)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside the held-out fifth."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_language_id": op5_language_id,
+}
 SQL: dict[str, str] = {}
