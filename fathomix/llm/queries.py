@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, token_store
+from . import decontaminate, fingerprints, html_diff, langid, licenses, packing, token_store, url_filter, warc
 from .common import new_folder, table
+from .jaccard_join import JaccardJoin
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,6 +25,16 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of all documents, of their edited texts, and likenesses."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other parameters."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 0)
@@ -34,9 +45,45 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, repeats resolved to revisit records, read back."""
+    records = warc.deduplicate(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by rules, else by the model."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.UrlModel.train())
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at 85 % of four-word shingles."""
+    return JaccardJoin(4, 85, 100).join(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest of every document and the licence that has it."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op6_warc_revisits": op6_warc_revisits,
+    "op7_page_differencing": op7_page_differencing,
+    "op8_url_filter": op8_url_filter,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_license_scan": op10_license_scan,
+}
+SQL: dict[str, str] = {
+    "op8_url_filter": url_filter.oracle(url_filter.UrlModel.train()),
+    "op10_license_scan": licenses.oracle(),
 }
-SQL: dict[str, str] = {}
