@@ -4,15 +4,21 @@ Jaccard distance is a metric, and any set is a point of it.  Documents as only p
 divide a corpus: nearly every document is at distance exactly 1 from nearly every other, so each
 would be replicated to every region (README has the figures).  Pivots of two kinds are used:
 
-1. One-shingle sets {s}.  d(x, {s}) is 1 - 1/|x| if x holds s, else 1, so the nearest pivots of x
-   are its own shingles; a fixed hash order breaks the tie, and the Voronoi region of x (its
-   home) is its first shingle.  If d(x, y) <= e, the triangle inequality leaves at most e|x| of
-   x outside y; so y's home is among the first e|x| + 1 shingles of x.  That window, and nothing
-   beyond it, is where x is replicated.  A region with too many documents is divided again by
-   the next shingle of its homes, with the window moved on by one (recursion).
-2. Documents, inside regions.  Each region's members are compared with a pivot document first;
-   those within e of it have their component and needn't be compared with one another.  Only
-   pairs of different components remain, and these are compared exactly.
+1. One-shingle sets {s}.  d(x, {s}) is 1 - 1/|x| if x holds s, else 1: the nearest pivots of x
+   are its own shingles.  One fixed order, rare shingles first, ranks them; x belongs to the
+   Voronoi region of its first shingle.  If d(x, y) <= e, the triangle inequality leaves at most
+   e|x| of x outside y and e|y| of y outside x, so both hold some shingle among the first
+   e|x| + 1 of x and the first e|y| + 1 of y.  Those windows, and nothing beyond them, are where
+   documents are replicated; a pair that meets at positions i and j can link only if i + j stays
+   within the largest symmetric difference.
+2. Documents, inside regions.  The members of a region are compared with its most central
+   document first; those within e of it have its component and needn't be compared with one
+   another.  What is left of a region is worked on again with a pivot of its own (recursion),
+   for some rounds; the pairs of different components that remain are compared exactly.
+
+The order only serves speed.  It comes from counts over all documents of the shingles that
+repeat within a block; the commonest of them go last, so a passage that many documents share
+isn't where they meet.
 
 Before the exact comparison, a parity bitmap bounds the size of the symmetric difference from
 below, which drops most pairs without their sets and never a link.
@@ -38,67 +44,96 @@ from .common import hint_if_small, materialise
 from .components import components
 from .shingles import parity_bitmap, read_short_set, set_digest, shingle_set, short_set
 
-LEVELS = 4
 SKETCH = "doc_id long, n long, digest binary, path array<long>, bits array<long>"
+_BLOCK = 1 << 22  # shingles counted together
 
 
 class JaccardJoin:
     """Documents whose ``size``-word shingle sets have den * |x & y| >= num * |x | y|."""
 
-    def __init__(self, size: int = 5, num: int = 80, den: int = 100, rounds: int = 2, crowd: int = 20_000, small_rows: int = 2_000_000):
+    def __init__(self, size: int = 5, num: int = 80, den: int = 100, rounds: int = 3, common: int = 1_000_000, small_rows: int = 2_000_000):
         self.size, self.num, self.den = size, num, den
-        #: rounds of pivot documents; pairs beyond which a region is divided again; broadcast bound
-        self.rounds, self.crowd, self.small_rows = rounds, crowd, small_rows
-        #: a home needs a shingle for each level, so sets that small may have equals only
-        self.levels = max(k for k in range(1, LEVELS + 1) if k == 1 or (k - 1) * den < k * num)
+        #: rounds of pivot documents; shingles whose order is by count; bound of what is broadcast
+        self.rounds, self.common, self.small_rows = rounds, common, small_rows
+
+    def common_shingles(self, docs: DataFrame) -> np.ndarray:
+        """The commonest shingles, the commonest last; at most ``common`` of them.
+
+        Each task counts the shingles of all its documents and passes on those that at least
+        three documents of a block, and one in 2000, hold.
+        """
+        size = self.size
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n, docs_ = [], 0, 0
+
+            def flush() -> pa.RecordBatch:
+                h, k = np.unique(np.concatenate(held), return_counts=True)
+                ok = k >= max(3, docs_ / 2000)
+                return pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(k[ok].astype(np.int64))], names=["h", "k"])
+
+            for b in batches:
+                for text in b.column(0):
+                    held.append(shingle_set(text.as_py(), size))
+                    n, docs_ = n + len(held[-1]), docs_ + 1
+                    if n >= _BLOCK:
+                        yield flush()
+                        held, n, docs_ = [], 0, 0
+            if held:
+                yield flush()
+
+        rows = docs.select("text").mapInArrow(count, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
+        top = rows.orderBy(F.desc("k"), "h").limit(self.common).select("h").toPandas()
+        return top["h"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
 
     def sketches(self, docs: DataFrame) -> DataFrame:
         """One narrow pass over the texts: set size, set digest, window, parity bitmap."""
         size, over, den = self.size, self.den - self.num, self.den
+        last = self.common_shingles(docs)
+        by_hash = np.argsort(last)
+        shared = docs.sparkSession.sparkContext.broadcast((last[by_hash], by_hash))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            known, rank = shared.value
             for b in batches:
                 cols: tuple[list, ...] = ([], [], [], [])
                 for text in b.column(1):
                     s = shingle_set(text.as_py(), size)
-                    path = s[: len(s) * over // den + LEVELS]
+                    window = len(s) * over // den + 1
+                    path = s[:window]
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        common = known[at] == s
+                        path = s[~common][:window]
+                        if len(path) < window:
+                            path = np.concatenate([path, s[common][np.argsort(rank[at[common]])][: window - len(path)]])
                     for c, v in zip(cols, (len(s), set_digest(s), path.view(np.int64), parity_bitmap(s) if len(s) else [])):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n", "digest", "path", "bits"])
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SKETCH)
 
-    def _allowed(self) -> Column:
-        """Members of x that may be missing from a linked y."""
-        return F.floor(F.col("n") * (self.den - self.num) / self.den)
-
-    def _close(self, a: str, b: str) -> Column:
-        """Sizes that a link allows."""
-        return (F.col(a) * self.den >= F.col(b) * self.num) & (F.col(b) * self.den >= F.col(a) * self.num)
-
-    def _met(self, rows: DataFrame) -> DataFrame:
-        """Rows (key, id, home, ...) of regions that are home to another document."""
-        homes = rows.filter("home").groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
-        return rows.join(homes, "key").filter("_lo != id or _hi != id").drop("_lo", "_hi")
-
-    def _verify(self, pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, with exact figures from whole texts."""
-        side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-        fold = lambda x, y: (  # noqa: E731  the larger bitmap folded to the smaller one's size
-            F.when(F.size(x) == F.size(y), x).otherwise(F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda u, v: u.bitwiseXOR(v)))
-        )
-        big, low = F.when(F.size("bitsa") >= F.size("bitsb"), F.col("bitsa")).otherwise(F.col("bitsb")), F.when(F.size("bitsa") >= F.size("bitsb"), F.col("bitsb")).otherwise(F.col("bitsa"))
-        near = (
-            pairs.join(side("a"), "a").join(side("b"), "b").filter(self._close("na", "nb"))
-            .withColumn("_x", big).withColumn("_y", low)
-            .withColumn("_d", F.aggregate(F.zip_with(fold(F.col("_x"), F.col("_y")), F.col("_y"), lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v))
-            .filter(F.col("_d") * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num))
-            .select("a", "b")
-        )
+    def _possible(self, a: str, b: str) -> Column:
+        """Whether sizes na and nb, the bound from the bitmaps and the positions pa and pb allow
+        a link of rows a and b."""
+        na, nb, x, y = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"bits{a}"), F.col(f"bits{b}")
+        sizes = (na * self.den >= nb * self.num) & (nb * self.den >= na * self.num)
+        most = (na + nb) * (self.den - self.num)
+        places = (F.col(f"p{a}") + F.col(f"p{b}")) * (self.den + self.num) <= most
+        big, low = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
+        # the larger bitmap folded to the smaller one's size
+        half = F.zip_with(F.slice(big, 1, F.size(low)), F.slice(big, F.size(low) + 1, F.size(low)), lambda u, v: u.bitwiseXOR(F.coalesce(v, F.lit(0).cast("long"))))
+        same = F.when(F.size(big) == F.size(low), big).otherwise(half)
+        apart = F.aggregate(F.zip_with(same, low, lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+        return sizes & places & (F.when(sizes & places, apart).otherwise(F.lit(1 << 60)) * (self.den + self.num) <= most)
+
+    def _verify(self, near: DataFrame, docs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, from whole texts' sets."""
         near = materialise(near, "near-pairs")
+        if near.isEmpty():
+            return near
         ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        ids = materialise(ids, "near-ids")
         size, num, den = self.size, self.num, self.den
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,59 +157,42 @@ class JaccardJoin:
         with_b = with_a.join(whole.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
         return materialise(with_b.select("a", "b", "ma", "mb").mapInArrow(linked, "a long, b long"), "true-links")
 
-    @staticmethod
-    def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        return rows.join(labels.withColumnRenamed("comp", "_c"), "id", "left").select(*rows.columns, F.coalesce("_c", "id").alias("comp"))
-
-    def _mixed(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows of regions that hold more than one component, with comp, the region's largest
-        component as _most, and its figures."""
-        rows = self._label(rows, labels)
-        per = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
-        top = per.groupBy("key").agg(F.sum("k").alias("_all"), F.count("*").alias("_kinds"), F.max_by("comp", F.struct("k", "comp")).alias("_most"), F.max("k").alias("_k"))
-        return rows.join(top.filter("_kinds > 1"), "key")
+    def _open(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Rows of regions that hold more than one component, with comp and the region's largest
+        component as most."""
+        if labels is None:
+            return rows.withColumns({"comp": F.col("id"), "most": F.lit(None).cast("long")})
+        rows = rows.join(labels.withColumnRenamed("comp", "_c"), "id", "left").select(*rows.columns, F.coalesce("_c", "id").alias("comp"))
+        per = rows.groupBy("key", "comp").agg(F.count("*").alias("_k"))
+        top = per.groupBy("key").agg(F.count("*").alias("_kinds"), F.max_by("comp", F.struct("_k", "comp")).alias("most"))
+        return rows.join(top.filter("_kinds > 1").drop("_kinds"), "key")
 
     def links(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
         """Links (a, b) between class representatives that connect every pair that links."""
-        first = reps.select("doc_id", F.posexplode(F.slice("path", F.lit(1), (self._allowed() + 1).cast("int"))).alias("pos", "key"))
-        rows = first.select("key", F.col("doc_id").alias("id"), (F.col("pos") == 0).alias("home"))
+        every = reps.select(F.col("doc_id").alias("id"), F.posexplode("path").alias("pos", "key")).select("key", "id", "pos")
+        shared = every.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo != _hi").select("key")
+        rows = materialise(every.join(shared, "key"), "regions")
+        met = hint_if_small(rows.select(F.col("id").alias("doc_id")).distinct(), self.small_rows)
+        own = materialise(reps.select("doc_id", "n", "bits").join(met, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), "met")
+        side = lambda df, k, *more: df.select(*more, F.col("id").alias(k), F.col("pos").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
         found: list[DataFrame] = []
         labels = None
-        level = materialise(self._met(rows), "regions-1")
-        for k in range(1, self.levels + 1):
-            if level.isEmpty():
-                break
-            names = level.columns
-            for t in range(self.rounds if k == 1 else 1):
-                here = level.withColumn("comp", F.col("id")) if labels is None else self._mixed(level, labels)
-                if labels is None:
-                    pivot = here.filter("home").groupBy("key").agg(F.min("id").alias("b"))
-                else:
-                    pivot = here.filter("home and comp != _most").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(t))).alias("b"))
-                pairs = here.join(pivot, "key").filter("id != b").select(F.col("id").alias("a"), "b").distinct()
-                found.append(self._verify(pairs, reps, docs))
-                labels = components(reduce(DataFrame.unionByName, found))
-            mixed = materialise(self._mixed(level, labels), "mixed")
-            load = F.col("_all") * (F.col("_all") - F.col("_k"))
-            small = mixed if k == self.levels else mixed.filter(load <= self.crowd)
-            odd = small.filter("comp != _most").select("key", F.col("id").alias("a"), F.col("home").alias("ha"), F.col("comp").alias("ca"))
-            rest = small.select("key", F.col("id").alias("b"), F.col("home").alias("hb"), F.col("comp").alias("cb"))
-            pairs = odd.join(rest, "key").filter("ca != cb and (ha or hb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            found.append(self._verify(pairs, reps, docs))
+        for k in range(self.rounds):
+            here = self._open(rows, labels)
+            pivot = here.filter("most is null or comp != most").groupBy("key").agg(F.min_by(F.struct("id", "pos", "comp"), F.struct("pos", "id")).alias("b"))
+            pivot = pivot.select("key", "b.*")
+            a = here.filter("most is null or comp != most" if k else "true").select("key", "id", "pos", "comp")
+            pairs = a.join(pivot.select("key", F.col("id").alias("b"), F.col("pos").alias("pb"), F.col("comp").alias("cb")), "key").filter("id != b and comp != cb")
+            pairs = pairs.groupBy("id", "b").agg(F.min("pos").alias("pos"), F.min("pb").alias("pb"))
+            pairs = pairs.join(own, "id").select("b", "pb", F.col("id").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
+            pairs = pairs.join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bitsb")), "b").filter(self._possible("a", "b"))
+            found.append(self._verify(pairs.select("a", "b"), docs))
             labels = components(reduce(DataFrame.unionByName, found))
-            if k == self.levels:
-                break
-            crowded = mixed.filter(load > self.crowd).select(*names)
-            paths = reps.select(F.col("doc_id").alias("id"), "path", (self._allowed() + k + 1).cast("int").alias("_end"))
-            at = F.array_position("path", F.col("key")).cast("int") if k == 1 else F.col("pos")
-            deeper = (
-                crowded.join(paths, "id").withColumn("_at", at)
-                .select("key", "id", "home", "_at", F.posexplode(F.slice("path", F.col("_at") + 1, F.greatest(F.col("_end") - F.col("_at"), F.lit(0)))).alias("_i", "_s"))
-                .select(F.xxhash64("key", "_s").alias("key"), "id", (F.col("home") & (F.col("_i") == 0)).alias("home"), (F.col("_at") + F.col("_i") + 1).alias("pos"))
-            )
-            level = materialise(self._met(deeper), f"regions-{k + 1}")
-        if not found:
-            return reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+        left = materialise(self._open(rows, labels).join(own, "id"), "open-regions")
+        odd, rest = side(left.filter("comp != most"), "a", "key", F.col("comp").alias("ca")), side(left, "b", "key", "most", F.col("comp").alias("cb"))
+        once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("most"))
+        pairs = odd.join(rest, "key").filter((F.col("ca") != F.col("cb")) & once & self._possible("a", "b"))
+        found.append(self._verify(pairs.select("a", "b").distinct(), docs))
         return reduce(DataFrame.unionByName, found)
 
     def join(self, docs: DataFrame) -> DataFrame:
@@ -183,8 +201,8 @@ class JaccardJoin:
         classes = sketch.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
         own = sketch.select("doc_id", "n", "digest").join(classes, "digest", "left")
         own = materialise(own.select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
-        heads = own.filter("n > 0 and rep = doc_id").select("doc_id").distinct()
-        reps = materialise(sketch.filter("n > 0").drop("digest").join(heads, "doc_id", "left_semi"), "representatives")
+        copies = own.filter("n > 0 and rep != doc_id").select("doc_id").join(own.filter("rep = doc_id").select("doc_id"), "doc_id", "left_anti").distinct()
+        reps = sketch.filter("n > 0 and doc_id is not null").drop("digest").join(hint_if_small(copies, self.small_rows), "doc_id", "left_anti")
         links = self.links(docs, reps)
         # a repeated doc_id ties its rows' classes together
         some = own.filter("doc_id is not null and n > 0")
