@@ -15,7 +15,8 @@ import os
 import numpy as np
 import regex
 
-#: Code points below this need no Unicode normalisation and lower-case one by one.
+#: Printable characters below this need no Unicode normalisation, lower-case one by one, and
+#: are white space to all regular-expression engines or to none.
 _PLAIN = "İ"
 
 
@@ -64,7 +65,7 @@ class WordEncoder:
 
     def _chunk(self, chunk: bytes) -> bytes:
         s = chunk.decode("utf-8")
-        if max(s) < _PLAIN and not any(x in s for x in self.special):
+        if max(s) < _PLAIN and s.isprintable() and not any(x in s for x in self.special):
             return b"".join([self._piece(p) for p in self.pattern.findall(s.lower())])
         return self._library(s)
 
