@@ -97,35 +97,38 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patienc
     """Empty the emptiest bins into the others' room.
 
     Every exchange moves ids from an emptier bin to a fuller one, so the sum of squared fills
-    grows and the search ends.  It stops at the lower bound ceil(total / capacity), when the
-    room left can't hold the emptiest bin, after ``patience`` bins in a row that could not be
-    emptied, or after ``work`` looked-at pairs; every state is a valid packing.
+    grows and the search ends.  Passes over the bins follow one another while they move anything.
+    It stops at the lower bound ceil(total / capacity), when the room left can't hold the
+    emptiest bin, or after ``work`` looked-at pairs; a pass ends after ``patience`` bins in a row
+    that gave nothing away.  Every state is a valid packing.
     """
     bins = [b for b in bins if b]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    least, failures = -(-sum(fill) // capacity), 0
-    open_ = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    alive = len(bins)
-    for k in list(open_):
-        if alive <= least or failures >= patience or work <= 0:
-            break
-        others = [o for o in open_ if o != k and bins[o] and fill[o] < capacity]
-        if sum(capacity - fill[o] for o in others) < fill[k]:
-            break
-        others.sort(key=lambda o: fill[o] - capacity)  # most room first
-        for o in others:
-            while bins[k] and fill[o] < capacity and fill[o] >= fill[k]:
-                work -= len(bins[k]) ** 2 * (1 + len(bins[o])) + len(bins[k]) * len(bins[o]) ** 2
-                out, back, gain = _exchange(bins[k], bins[o], sizes, capacity - fill[o])
-                if not gain:
-                    break
-                bins[k] = [i for i in bins[k] if i not in out] + list(back)
-                bins[o] = [i for i in bins[o] if i not in back] + list(out)
-                fill[k], fill[o] = fill[k] - gain, fill[o] + gain
-            if not bins[k] or work <= 0:
+    least = -(-sum(fill) // capacity)
+    alive, moved = len(bins), True
+    while moved and alive > least and work > 0:
+        moved, failures = False, 0
+        open_ = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
+        room = sum(capacity - fill[k] for k in open_)
+        for k in open_:
+            if alive <= least or failures >= patience or work <= 0 or room - (capacity - fill[k]) < fill[k]:
                 break
-        alive -= not bins[k]
-        failures = 0 if not bins[k] else failures + 1
+            before = fill[k]
+            for o in reversed(open_) if fill[k] else ():  # fullest first, they gain most
+                while o != k and bins[k] and bins[o] and fill[k] <= fill[o] < capacity:
+                    work -= len(bins[k]) ** 2 * (1 + len(bins[o])) + len(bins[k]) * len(bins[o]) ** 2
+                    out, back, gain = _exchange(bins[k], bins[o], sizes, capacity - fill[o])
+                    if not gain:
+                        break
+                    bins[k] = [i for i in bins[k] if i not in out] + list(back)
+                    bins[o] = [i for i in bins[o] if i not in back] + list(out)
+                    fill[k], fill[o] = fill[k] - gain, fill[o] + gain
+                if not bins[k] or work <= 0:
+                    break
+            moved |= fill[k] != before
+            if not bins[k]:
+                alive, room = alive - 1, room - capacity
+            failures = failures + 1 if fill[k] == before else 0
     return [b for b in bins if b]
 
 
