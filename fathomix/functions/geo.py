@@ -223,3 +223,12 @@ def round_resolution(metres: float) -> float:
     """10 m above 100, 1 m above 10, else 0.01 m; halves to even."""
     step = 10.0 if metres >= 100 else 1.0 if metres >= 10 else 0.01
     return round(metres / step) * step
+
+
+def beam_direction(tx: Num, rx: Num, delta: Num) -> tuple[Column, Column]:
+    """(incidence, azimuth) in degrees where a transmit and a receive cone meet; delta is how far
+    the arrays are from the right angle."""
+    t, r, d = (F.radians(c(v)) for v in (tx, rx, delta))
+    x, y = F.sin(t), F.sin(t) * F.tan(d) - F.sin(r) / F.cos(d)
+    flat = F.sqrt(x * x + y * y)
+    return F.degrees(F.atan2(flat, F.sqrt(F.greatest(F.lit(0.0), 1.0 - x * x - y * y)))), F.degrees(F.atan2(y, x))
