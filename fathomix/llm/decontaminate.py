@@ -16,10 +16,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,14 +46,14 @@ _CAPITAL, _STOP, _MAY_UNIT = 1, 2, 4
 _SLOT_HASH = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in ("number", "unit", "name", "quantity"))], np.uint64)
 
 
-@lru_cache(200_000)
-def _token(raw: str) -> tuple[int, int, int]:
-    """Hash of the bare lower-case token, its type by itself, its flags; hash 0: no token."""
+def _token(raw: str) -> int:
+    """A raw token as one number: hash of the bare lower-case token (0: none is left), then three
+    bits for its type by itself and three for its flags."""
     bare = _EDGE.sub("", raw)
     low = bare.lower()
     flags = _STOP * (raw[-1:] in ".!?:;" or raw[-2:-1] in ".!?") | _CAPITAL * (bare[:1].isupper() and bare[:1].isalpha())
     if not bare:
-        return 0, LITERAL, flags
+        return flags
     kind = LITERAL
     if _NUMBER.fullmatch(bare) or low in _NUMBERS:
         kind = NUMBER
@@ -62,9 +61,22 @@ def _token(raw: str) -> tuple[int, int, int]:
         kind = QUANTITY
     elif low in _UNIT_SET:
         flags |= _MAY_UNIT
-    return xxhash.xxh64_intdigest(low) or 1, kind, flags
+    return (xxhash.xxh64_intdigest(low) | 64) & ~63 | kind << 3 | flags
 
 
+class _Tokens(dict):
+    """What each raw token is, for those met, up to a bound."""
+
+    LIMIT = 300_000
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[raw] = v = _token(raw)
+        return v
+
+
+_TOKENS = _Tokens()
 _NUMBERS, _UNIT_SET = frozenset(NUMBER_WORDS), frozenset(UNITS)
 
 
@@ -77,19 +89,19 @@ class Template:
         for line in (text or "").split("\n"):
             starts.append(len(values))
             values += line.split()
-        info = np.array([_token(v) for v in values], dtype=np.uint64).reshape(len(values), 3)
-        flags = info[:, 2].astype(np.int64)
+        info = np.fromiter(map(_TOKENS.__getitem__, values), np.uint64, len(values))
+        flags = (info & _U(7)).astype(np.int64)
         first = np.zeros(len(values) + 1, bool)
         first[starts] = True
         first[1:] |= (flags & _STOP) > 0  # the token after the end of a sentence
-        real = info[:, 0] > 0
-        kind = info[:, 1].astype(np.int64)
+        real = info > _U(63)
+        kind = (info >> _U(3) & _U(7)).astype(np.int64)
         kind[(kind == LITERAL) & ((flags & _CAPITAL) > 0) & ~first[:-1]] = NAME
         after = np.concatenate([[False], kind[:-1] == NUMBER]) if len(kind) else np.zeros(0, bool)
         kind[((flags & _MAY_UNIT) > 0) & after] = UNIT
         at = np.flatnonzero(real)
         self.kind = kind[at]
-        self.hash = np.where(self.kind == LITERAL, info[at, 0], _SLOT_HASH[self.kind])
+        self.hash = np.where(self.kind == LITERAL, info[at] & ~_U(63), _SLOT_HASH[self.kind])
         self.at, self.values = at, values
 
     def __len__(self) -> int:
@@ -188,15 +200,32 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "doc_id", "size", "doc_at", "doc_slots"])
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["item_at", "doc_at"])
-        c, r, v = judge(int(pdf["item_len"].iloc[0]), *(pdf[k].to_numpy() for k in ("size", "item_at", "doc_at")), pdf["item_slots"].tolist(), pdf["doc_slots"].tolist())
-        hit = c >= coverage or r >= run
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "item_id": pdf["item_id"].iloc[:1], "coverage": [c], "longest_run": [r], "verbatim": [v]}) if hit else pdf.iloc[:0][["doc_id", "item_id"]].assign(coverage=0.0, longest_run=0, verbatim=False)
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        held: list[tuple] = []
+        kinds = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("longest_run", pa.int32()), ("verbatim", pa.bool_())]
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), kinds)], names=[n for n, _ in kinds])
+            held.clear()
+            return out
+
+        for (doc, item), own in groupby(rows, key=lambda r: r[:2]):
+            own = list(own)  # the windows that one document and one item have in common
+            size, item_at, doc_at = (np.array([r[k] for r in own]) for k in (3, 4, 5))
+            cover, longest, verbatim = judge(own[0][2], size, item_at, doc_at, [r[6] for r in own], [r[7] for r in own])
+            if cover >= coverage or longest >= run:
+                held.append((doc, item, cover, longest, verbatim))
+            if len(held) >= 5000:
+                yield flush()
+        if held:
+            yield flush()
 
     ours = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     met = ours.mapInArrow(scan, "h long, doc_id long, size int, doc_at int, doc_slots array<string>").join(hint_if_small(theirs, small_rows), ["h", "size"])
-    return met.groupBy("doc_id", "item_id").applyInPandas(pair, "doc_id long, item_id long, coverage double, longest_run int, verbatim boolean")
+    met = met.select("doc_id", "item_id", "item_len", "size", "item_at", "doc_at", "item_slots", "doc_slots")
+    met = met.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "item_at", "doc_at")
+    return met.mapInArrow(pair, "doc_id long, item_id long, coverage double, longest_run int, verbatim boolean")
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
