@@ -45,7 +45,7 @@ from .components import components
 from .shingles import parity_bitmap, read_short_set, set_digest, shingle_set, short_set
 
 SKETCH = "doc_id long, n long, digest binary, path array<long>, bits array<long>"
-_BLOCK = 1 << 22  # shingles counted together
+_BLOCK = 1 << 21  # shingles counted together
 
 
 class JaccardJoin:
@@ -114,19 +114,21 @@ class JaccardJoin:
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SKETCH)
 
-    def _possible(self, a: str, b: str) -> Column:
-        """Whether sizes na and nb, the bound from the bitmaps and the positions pa and pb allow
-        a link of rows a and b."""
-        na, nb, x, y = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"bits{a}"), F.col(f"bits{b}")
+    def _sizes(self, a: str, b: str) -> Column:
+        """Whether sizes na and nb and positions pa and pb allow a link of rows a and b."""
+        na, nb = F.col(f"n{a}"), F.col(f"n{b}")
         sizes = (na * self.den >= nb * self.num) & (nb * self.den >= na * self.num)
-        most = (na + nb) * (self.den - self.num)
-        places = (F.col(f"p{a}") + F.col(f"p{b}")) * (self.den + self.num) <= most
+        return sizes & ((F.col(f"p{a}") + F.col(f"p{b}")) * (self.den + self.num) <= (na + nb) * (self.den - self.num))
+
+    def _bits(self, a: str, b: str) -> Column:
+        """Whether the bitmaps allow a link."""
+        x, y = F.col(f"bits{a}"), F.col(f"bits{b}")
         big, low = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
         # the larger bitmap folded to the smaller one's size
         half = F.zip_with(F.slice(big, 1, F.size(low)), F.slice(big, F.size(low) + 1, F.size(low)), lambda u, v: u.bitwiseXOR(F.coalesce(v, F.lit(0).cast("long"))))
         same = F.when(F.size(big) == F.size(low), big).otherwise(half)
         apart = F.aggregate(F.zip_with(same, low, lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-        return sizes & places & (F.when(sizes & places, apart).otherwise(F.lit(1 << 60)) * (self.den + self.num) <= most)
+        return F.when(self._sizes(a, b), apart * (self.den + self.num) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (self.den - self.num)).otherwise(False)
 
     def _verify(self, near: DataFrame, docs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, from whole texts' sets."""
@@ -157,11 +159,9 @@ class JaccardJoin:
         with_b = with_a.join(whole.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
         return materialise(with_b.select("a", "b", "ma", "mb").mapInArrow(linked, "a long, b long"), "true-links")
 
-    def _open(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    def _open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of regions that hold more than one component, with comp and the region's largest
         component as most."""
-        if labels is None:
-            return rows.withColumns({"comp": F.col("id"), "most": F.lit(None).cast("long")})
         rows = rows.join(labels.withColumnRenamed("comp", "_c"), "id", "left").select(*rows.columns, F.coalesce("_c", "id").alias("comp"))
         per = rows.groupBy("key", "comp").agg(F.count("*").alias("_k"))
         top = per.groupBy("key").agg(F.count("*").alias("_kinds"), F.max_by("comp", F.struct("_k", "comp")).alias("most"))
@@ -169,29 +169,39 @@ class JaccardJoin:
 
     def links(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
         """Links (a, b) between class representatives that connect every pair that links."""
-        every = reps.select(F.col("doc_id").alias("id"), F.posexplode("path").alias("pos", "key")).select("key", "id", "pos")
-        shared = every.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo != _hi").select("key")
+        every = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("path").alias("pos", "key")).select("key", "id", "pos", "n")
+        shared = every.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
         rows = materialise(every.join(shared, "key"), "regions")
-        met = hint_if_small(rows.select(F.col("id").alias("doc_id")).distinct(), self.small_rows)
-        own = materialise(reps.select("doc_id", "n", "bits").join(met, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), "met")
-        side = lambda df, k, *more: df.select(*more, F.col("id").alias(k), F.col("pos").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-        found: list[DataFrame] = []
-        labels = None
-        for k in range(self.rounds):
-            here = self._open(rows, labels)
-            pivot = here.filter("most is null or comp != most").groupBy("key").agg(F.min_by(F.struct("id", "pos", "comp"), F.struct("pos", "id")).alias("b"))
-            pivot = pivot.select("key", "b.*")
-            a = here.filter("most is null or comp != most" if k else "true").select("key", "id", "pos", "comp")
-            pairs = a.join(pivot.select("key", F.col("id").alias("b"), F.col("pos").alias("pb"), F.col("comp").alias("cb")), "key").filter("id != b and comp != cb")
-            pairs = pairs.groupBy("id", "b").agg(F.min("pos").alias("pos"), F.min("pb").alias("pb"))
-            pairs = pairs.join(own, "id").select("b", "pb", F.col("id").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
-            pairs = pairs.join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bitsb")), "b").filter(self._possible("a", "b"))
-            found.append(self._verify(pairs.select("a", "b"), docs))
+        # a region of two is a pair already; only larger ones need their members
+        row = F.struct("id", "pos", "n")
+        per = rows.filter("k = 2").groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).filter("lo.id != hi.id")
+        two = per.select(*(F.col(f"{s}.{c}").alias(f"{c_}{t}") for s, t in (("lo", "a"), ("hi", "b")) for c, c_ in (("id", ""), ("pos", "p"), ("n", "n"))))
+        rows = rows.filter("k > 2").drop("k")
+        two = materialise(two.filter(self._sizes("a", "b")).groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb"))), "pairs")
+        met = rows.select(F.col("id").alias("doc_id")).union(two.select("a")).union(two.select("b")).distinct()
+        own = materialise(reps.select("doc_id", "bits").join(hint_if_small(met, self.small_rows), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), "met")
+
+        def near(pairs: DataFrame) -> DataFrame:
+            """Of pairs (a, b) with places and sizes those that may link."""
+            for k in ("a", "b"):
+                pairs = pairs.join(own.select(F.col("id").alias(k), F.col("bits").alias(f"bits{k}")), k)
+            return pairs.filter(self._bits("a", "b")).select("a", "b")
+
+        found = [self._verify(near(two), docs)]
+        labels = components(found[0])
+        for _ in range(self.rounds):
+            here = self._open(rows, labels).filter("comp != most")
+            pivot = here.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("comp").alias("cb")), F.struct("pos", "id")).alias("p")).select("key", "p.*")
+            pairs = self._open(rows, labels).select("key", F.col("id").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"), "comp").join(pivot, "key")
+            pairs = pairs.filter((F.col("a") != F.col("b")) & (F.col("comp") != F.col("cb")) & self._sizes("a", "b"))
+            pairs = pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb")))
+            found.append(self._verify(near(pairs), docs))
             labels = components(reduce(DataFrame.unionByName, found))
         left = materialise(self._open(rows, labels).join(own, "id"), "open-regions")
+        side = lambda df, k, *more: df.select(*more, F.col("id").alias(k), F.col("pos").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
         odd, rest = side(left.filter("comp != most"), "a", "key", F.col("comp").alias("ca")), side(left, "b", "key", "most", F.col("comp").alias("cb"))
         once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("most"))
-        pairs = odd.join(rest, "key").filter((F.col("ca") != F.col("cb")) & once & self._possible("a", "b"))
+        pairs = odd.join(rest, "key").filter((F.col("ca") != F.col("cb")) & once & self._sizes("a", "b") & self._bits("a", "b"))
         found.append(self._verify(pairs.select("a", "b").distinct(), docs))
         return reduce(DataFrame.unionByName, found)
 
