@@ -79,5 +79,23 @@ def hint_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+_caches: dict[str, tuple[dict, ...]] = {}
+_owner = ""
+
+
+def claim(name: str, *caches: dict) -> None:
+    """Let one operator's word caches stay in this worker and empty the others'.
+
+    Workers live on from stage to stage; without this their caches would add up."""
+    global _owner
+    if _owner == name:
+        return
+    _owner, _caches[name] = name, caches
+    for other, held in _caches.items():
+        if other != name:
+            for c in held:
+                c.clear()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hint_if_small, materialise
+from .common import claim, hint_if_small, materialise
 from .token_store import mix64
 
 # Units and number words.
@@ -84,6 +84,7 @@ class Template:
     """Template tokens of a text: hashes, types and raw values."""
 
     def __init__(self, text: str | None):
+        claim("templates", _TOKENS)
         values: list[str] = []
         starts: list[int] = []
         for line in (text or "").split("\n"):

@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
+from .common import claim
 from .token_store import mix64
 
 _U = np.uint64
@@ -17,7 +18,7 @@ _STEP = _U(0xD6E8FEB86659FD93)
 class _Words(dict):
     """Hash of each word met, up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -36,6 +37,7 @@ def words(text: str | None) -> list[bytes]:
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words in order; of the whole sequence if it is shorter."""
+    claim("shingles", _WORDS)
     w = words(text)
     if not w:
         return np.zeros(0, np.uint64)

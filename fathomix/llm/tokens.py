@@ -15,6 +15,8 @@ import os
 import numpy as np
 import regex
 
+from .common import claim
+
 #: Printable characters below this need no Unicode normalisation, lower-case one by one, and
 #: are white space to all regular-expression engines or to none.
 _PLAIN = "İ"
@@ -96,7 +98,9 @@ def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file; it lives as long as the worker does."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    own = _ENCODERS[path]
+    claim(f"tokens {path}", own.chunks, own.pieces)
+    return own
 
 
 def as_ids(data: bytes) -> np.ndarray:
