@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -95,6 +97,9 @@ def claim(name: str, *caches: dict) -> None:
         if other != name:
             for c in held:
                 c.clear()
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)  # give freed pages back
 
 
 def text_or_empty(name: str = "text") -> Column:

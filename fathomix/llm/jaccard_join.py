@@ -45,7 +45,7 @@ from .components import components
 from .shingles import parity_bitmap, read_short_set, set_digest, shingle_set, short_set
 
 SKETCH = "doc_id long, n long, digest binary, path array<long>, bits array<long>"
-_BLOCK = 1 << 21  # shingles counted together
+_BLOCK = 1 << 20  # shingles counted together
 
 
 class JaccardJoin:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 SYMBOLS, SHARED = 64, 37
 CODES = SYMBOLS**3
 _CHARS = 1 << 20  # characters looked at together
@@ -63,6 +65,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def _blocks(texts: Iterator[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(document number, trigram code, documents) of some documents at a time."""
+    claim("langid")
     rows, codes, held, n = [], [], 0, 0
     for t in texts:
         g = trigrams(t or "")

@@ -18,7 +18,7 @@ _STEP = _U(0xD6E8FEB86659FD93)
 class _Words(dict):
     """Hash of each word met, up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
