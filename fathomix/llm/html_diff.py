@@ -6,10 +6,12 @@ subsequence; shared lines are template text and are deleted.  Two things that li
 tell come from markup: parts whose role is stated (menus, headers, footers, sidebars, adverts,
 notices, forms, scripts, comments) are never lines of the page, and lines inside an article or
 main element are kept even where the neighbour has them, since articles do quote one another.
+Differencing decides for all other lines, on pages with such an element as on those without.
 README has the figures of differencing without the markup's help.
 
 Defined cases: null or empty html gives an empty text; a null URL has empty host and path, and
-such pages are one host; a page without a neighbour in its host loses no line to differencing;
+such pages are one host; a page without a neighbour in its host loses no line to differencing,
+and of one with an article or main element only the lines inside are kept;
 a neighbour that shares most of its lines is a copy and deletes nothing; ties take the earlier
 neighbour; repeated rows are pages of their own; an empty table gives no rows; further columns
 are ignored.
@@ -154,8 +156,10 @@ def prune(lines: list[str], zones: list[int], other: list[str] | None, copy: flo
     shared = common_lines(lines, other) if other else [False] * len(lines)
     if other and sum(shared) >= copy * min(len(lines), len(other)) and sum(shared) > 1:
         shared = [False] * len(lines)  # a copy of the page says nothing about its template
-    has_article = protect and MAIN in zones
-    return [x for x, z, s in zip(lines, zones, shared) if (z == MAIN if has_article else not s)]
+    if protect and MAIN in zones:
+        # without a page to compare with, markup alone tells text from template
+        return [x for x, z, s in zip(lines, zones, shared) if z == MAIN or (other is not None and not s)]
+    return [x for x, s in zip(lines, shared) if not s]
 
 
 def _prefix(a: str, b: str) -> int:

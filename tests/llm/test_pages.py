@@ -81,3 +81,10 @@ def test_copies_delete_nothing(spark):
     rows = [(i, "http://h.test/a", html) for i in range(4)]
     got = html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.text for r in got] == ["one\ntwo\nthree"] * 4
+
+
+def test_differencing_decides_outside_articles(spark):
+    page = lambda k: f"<p>Welcome to the site<article><p>Teaser {k}<p>Quoted by all</article><p>Body {k} told here<p>More of {k}<p>All rights with us"
+    rows = [(i, f"http://h.test/news/{i}", page(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Teaser {i}\nQuoted by all\nBody {i} told here\nMore of {i}" for i in range(4)}
