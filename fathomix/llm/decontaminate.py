@@ -5,10 +5,12 @@ with other parameters have one template.  Windows of template tokens of document
 items are hash-joined; for each document and item the windows that met are aligned, and the
 slots must be consistent: one value of the item stands for one value of the document throughout.
 A pair counts if the consistent windows cover enough of the item or a long enough run of it.
+Windows are joined on their bare lower-case tokens too, so a verbatim copy is found whatever its
+share of slots and wherever it stands; only a copy with other values needs enough literals.
 
 Defined cases: null or empty texts and items match nothing; an item shorter than a window is one
-window of its own length, at least ``shortest`` tokens; windows with fewer literal tokens than
-slots are left out; repeated document or item rows count once; rows with a null id match
+window of its own length; one under ``shortest`` tokens, and windows with fewer literal tokens
+than slots, are only found verbatim; repeated document or item rows count once; rows with a null id match
 nothing; empty tables give no rows; further columns are ignored.
 """
 
@@ -42,6 +44,7 @@ _EDGE = re.compile(r"^[^\w$€£+\-%°]+|[^\w%°]+$")
 _U = np.uint64
 
 LITERAL, NUMBER, UNIT, NAME, QUANTITY = range(5)
+_VERBATIM = 1 << 32
 _CAPITAL, _STOP, _MAY_UNIT = 1, 2, 4
 _SLOT_HASH = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in ("number", "unit", "name", "quantity"))], np.uint64)
 
@@ -80,6 +83,14 @@ _TOKENS = _Tokens()
 _NUMBERS, _UNIT_SET = frozenset(NUMBER_WORDS), frozenset(UNITS)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, the order told apart."""
+    h = a * _U(0xD6E8FEB86659FD93)
+    h += b
+    h ^= h >> _U(29)
+    return h
+
+
 class Template:
     """Template tokens of a text: hashes, types and raw values."""
 
@@ -102,23 +113,39 @@ class Template:
         kind[((flags & _MAY_UNIT) > 0) & after] = UNIT
         at = np.flatnonzero(real)
         self.kind = kind[at]
-        self.hash = np.where(self.kind == LITERAL, info[at] & ~_U(63), _SLOT_HASH[self.kind])
+        self.bare = info[at] & ~_U(63)
+        self.hash = np.where(self.kind == LITERAL, self.bare, _SLOT_HASH[self.kind])
         self.at, self.values = at, values
 
     def __len__(self) -> int:
         return len(self.at)
 
+    @staticmethod
+    def _rolled(tokens: np.ndarray, size: int, seed: int) -> np.ndarray:
+        """Hash of each window of tokens, from hashes of its parts of 1, 2, 4, ... tokens."""
+        n = len(tokens) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        h, part, width, at = np.full(n, _U(seed)), tokens, 1, 0
+        with np.errstate(over="ignore"):
+            while True:
+                if size & width:
+                    h = _joined(h, part[at : at + n])
+                    at += width
+                if 2 * width > size:
+                    return mix64(h)
+                part, width = _joined(part[:-width], part[width:]), 2 * width
+
+    def verbatim_windows(self, size: int) -> np.ndarray:
+        """Hashes of all windows' bare lower-case tokens, apart from those of templates."""
+        return self._rolled(self.bare, size, _VERBATIM + size)
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of the windows with at least as many literals as slots."""
         n = len(self) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            h = np.full(n, _U(size))
-            for i in range(size):
-                h = (h ^ self.hash[i : i + n]) * _U(0xD6E8FEB86659FD93)
-                h ^= h >> _U(29)
-            h = mix64(h)
+        h = self._rolled(self.hash, size, size)
         literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
         at = np.flatnonzero(2 * (literal[size:] - literal[:n]) >= size)
         return at, h[at]
@@ -132,8 +159,9 @@ def judge(item_len: int, size: np.ndarray, item_at: np.ndarray, doc_at: np.ndarr
     """(coverage, longest run, verbatim) over the consistent windows of one document and item.
 
     Alignments are taken from the one with most windows down; one whose slots contradict the
-    values taken so far is left out.
+    values taken so far is left out, but for its windows that met verbatim (None for slots).
     """
+    exact = np.array([x is None for x in item_slots], bool)
     shift = doc_at - item_at
     kinds, n = np.unique(shift, return_counts=True)
     taken: dict[str, str] = {}
@@ -143,11 +171,15 @@ def judge(item_len: int, size: np.ndarray, item_at: np.ndarray, doc_at: np.ndarr
         own, good = dict(taken), True
         rows = np.flatnonzero(shift == s)
         for r in rows:
-            for a, b in zip(item_slots[r], doc_slots[r]):
+            for a, b in zip(item_slots[r] or (), doc_slots[r] or ()):
                 good &= own.setdefault(a, b) == b
-        if not good:
-            continue
-        taken, here = own, np.zeros(item_len, bool)
+        if good:
+            taken = own
+        else:
+            rows = rows[exact[rows]]
+            if not len(rows):
+                continue
+        here = np.zeros(item_len, bool)
         for r in rows:
             here[item_at[r] : item_at[r] + size[r]] = True
         edge = np.flatnonzero(np.diff(np.concatenate([[0], here.astype(np.int8), [0]])))
@@ -175,6 +207,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
                 if size >= shortest:
                     at, h = t.windows(size)
                     rows += [(int(x), item, size, int(p), len(t), t.slots(p, size)) for p, x in zip(at.tolist(), h.view(np.int64))]
+                if size:
+                    rows += [(x, item, size, p, len(t), None) for p, x in enumerate(t.verbatim_windows(size).view(np.int64).tolist())]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "item_id", "size", "item_at", "item_len", "item_slots"])
@@ -194,9 +228,13 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 t = Template(text.as_py())
                 for size in sizes:
-                    at, h = t.windows(size)
-                    for k in np.flatnonzero(bits[(h.view(np.int64) % filter_bits)]).tolist():
-                        rows.append((int(h[k : k + 1].view(np.int64)[0]), doc, size, int(at[k]), t.slots(int(at[k]), size)))
+                    if size >= shortest:
+                        at, h = t.windows(size)
+                        for k in np.flatnonzero(bits[(h.view(np.int64) % filter_bits)]).tolist():
+                            rows.append((int(h[k : k + 1].view(np.int64)[0]), doc, size, int(at[k]), t.slots(int(at[k]), size)))
+                    h = t.verbatim_windows(size).view(np.int64)
+                    at = np.flatnonzero(bits[h % filter_bits])
+                    rows += [(x, doc, size, p, None) for p, x in zip(at.tolist(), h[at].tolist())]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "doc_id", "size", "doc_at", "doc_slots"])

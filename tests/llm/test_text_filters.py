@@ -57,6 +57,16 @@ def test_reparameterised_question_is_found(spark):
     assert (3, 0) not in got or got[3, 0].coverage < got[1, 0].coverage
 
 
+def test_verbatim_copies_are_found_whatever_their_slots(spark):
+    items = ["John Smith met Mary Jones in Paris", "12 + 30 = 42 and 7 * 6 = 42", "WHO WROTE THE SONG OF THE SEA AND WHEN WAS IT SUNG", "What Is Love", "Rome"]
+    docs = [f"We read that {x} once more" for x in items]
+    docs += ["We read that John Smith met Mary Baker in Paris", "12 + 31 = 43 and 8 * 6 = 48", "What was love in rose"]
+    got = hits(spark, docs, items)
+    assert set(got) == {(i, i) for i in range(5)}
+    assert all(r.coverage == 1.0 and r.verbatim for r in got.values())
+    assert got[2, 2].longest_run == 12
+
+
 def test_decontamination_edges(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (None, ITEM), (4, "word word word word word")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd_docs, items).collect()} == {(7, 4)}
