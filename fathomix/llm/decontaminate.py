@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a benchmark question and the same question
 with other parameters have one template.  Windows of template tokens of documents and benchmark
 items are hash-joined; for each document and item the windows that met are aligned, and the
-slots must be consistent: one value of the item stands for one value of the document throughout.
+slots must be consistent: one value of the item stands for one value of the document throughout,
+the one in most windows; windows that contradict it are left out.
 A pair counts if the consistent windows cover enough of the item or a long enough run of it.
 Windows are joined on their bare lower-case tokens too, so a verbatim copy is found whatever its
 share of slots and wherever it stands; only a copy with other values needs enough literals.
@@ -17,6 +18,7 @@ nothing; empty tables give no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -158,34 +160,49 @@ class Template:
 def judge(item_len: int, size: np.ndarray, item_at: np.ndarray, doc_at: np.ndarray, item_slots: list, doc_slots: list) -> tuple[float, int, bool]:
     """(coverage, longest run, verbatim) over the consistent windows of one document and item.
 
-    Alignments are taken from the one with most windows down; one whose slots contradict the
-    values taken so far is left out, but for its windows that met verbatim (None for slots).
+    Windows that met verbatim have None for the document's slots: these are the item's.
+    Alignments are taken from the one with most windows down, of equals the one with most
+    verbatim.  In each, a value of the item that has no value of the document yet gets the one
+    most windows give it; windows whose slots contradict that are left out, the others stay.  A
+    pair is verbatim if no value differs and no token of a window left out lies outside the ones
+    that stay.
     """
-    exact = np.array([x is None for x in item_slots], bool)
+    exact = np.array([b is None for b in doc_slots], bool)
+    order = np.lexsort((~exact, size, doc_at, item_at))  # of a window that met twice the verbatim one
+    where = np.stack([item_at, doc_at, size], 1)[order]
+    once = order[np.concatenate([[True], (where[1:] != where[:-1]).any(1)])]
+    item_at, doc_at, size, exact = (x[once] for x in (item_at, doc_at, size, exact))
+    pairs = [frozenset(zip(item_slots[r], item_slots[r] if doc_slots[r] is None else doc_slots[r])) for r in once]
     shift = doc_at - item_at
-    kinds, n = np.unique(shift, return_counts=True)
+    kinds, which, n = np.unique(shift, return_inverse=True, return_counts=True)
+    by_shift = np.split(np.argsort(which, kind="stable"), np.cumsum(n)[:-1])
     taken: dict[str, str] = {}
-    covered = np.zeros(item_len, bool)
-    longest, verbatim = 0, True
-    for s in kinds[np.lexsort((kinds, -n))]:
-        own, good = dict(taken), True
-        rows = np.flatnonzero(shift == s)
-        for r in rows:
-            for a, b in zip(item_slots[r] or (), doc_slots[r] or ()):
-                good &= own.setdefault(a, b) == b
-        if good:
-            taken = own
-        else:
-            rows = rows[exact[rows]]
-            if not len(rows):
-                continue
-        here = np.zeros(item_len, bool)
-        for r in rows:
-            here[item_at[r] : item_at[r] + size[r]] = True
+    covered, against = np.zeros(item_len, bool), np.zeros(item_len, bool)
+    longest = 0
+    for s in np.lexsort((kinds, -np.bincount(which, exact), -n)):
+        here, left = np.zeros(item_len, bool), by_shift[s].tolist()
+        while left:
+            # values whose windows were all left out are voted on again among the rest
+            left = [r for r in left if all(taken.get(a, b) == b for a, b in pairs[r])] if taken else left
+            votes = Counter(p for r in left for p in pairs[r] if p[0] not in taken)
+            own: dict[str, str] = {}
+            for a, b in sorted(votes, key=lambda p: (-votes[p], p[0] != p[1], p)):
+                own.setdefault(a, b)
+            stay = [r for r in left if all(taken.get(a, own.get(a)) == b for a, b in pairs[r])]
+            if not stay:
+                break
+            for r in stay:
+                here[item_at[r] : item_at[r] + size[r]] = True
+                taken.update(pairs[r])
+            left = sorted(set(left) - set(stay))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], here.astype(np.int8), [0]])))
-        longest = max(longest, int((edge[1::2] - edge[::2]).max()))
+        if len(edge):
+            longest = max(longest, int((edge[1::2] - edge[::2]).max()))
         covered |= here
-    verbatim = all(a == b for a, b in taken.items())
+    for r in range(len(pairs)):
+        if any(taken.get(a) != b for a, b in pairs[r]):
+            against[item_at[r] : item_at[r] + size[r]] = True
+    verbatim = all(a == b for a, b in taken.items()) and not (against & ~covered).any()
     return float(covered.mean()), longest, verbatim
 
 
@@ -208,7 +225,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
                     at, h = t.windows(size)
                     rows += [(int(x), item, size, int(p), len(t), t.slots(p, size)) for p, x in zip(at.tolist(), h.view(np.int64))]
                 if size:
-                    rows += [(x, item, size, p, len(t), None) for p, x in enumerate(t.verbatim_windows(size).view(np.int64).tolist())]
+                    rows += [(x, item, size, p, len(t), t.slots(p, size)) for p, x in enumerate(t.verbatim_windows(size).view(np.int64).tolist())]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "item_id", "size", "item_at", "item_len", "item_slots"])

@@ -67,6 +67,16 @@ def test_verbatim_copies_are_found_whatever_their_slots(spark):
     assert got[2, 2].longest_run == 12
 
 
+def test_one_changed_value_leaves_the_other_windows(spark):
+    tail = "while the old mill by the river was grinding corn for every one of the farmers around, and their children used to play under the big tree until it was dark"
+    long = f"She kept 3 apples in the basket {tail} on all of these 3 days of the feast in that summer"
+    short = "take all 3 apples from the basket and then wait for them to ripen until 3 days are over and done"
+    got = hits(spark, [f"Yes. {long.replace('3 days', '7 days')}", short.replace("3 apples", "4 apples").replace("3 days", "7 days")], [long, short])
+    assert set(got) == {(0, 0), (1, 1)}
+    assert got[0, 0].longest_run >= 30 and 0.7 < got[0, 0].coverage < 1 and not got[0, 0].verbatim
+    assert 0.4 < got[1, 1].coverage < 1 and not got[1, 1].verbatim
+
+
 def test_decontamination_edges(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (None, ITEM), (4, "word word word word word")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd_docs, items).collect()} == {(7, 4)}
