@@ -11,6 +11,8 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,8 +111,63 @@ For more information, please refer to <https://unlicense.org/>""",
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
-# Copyright lines, and whatever isn't a letter or digit; both in the syntax common to engines.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+_MIT = KNOWN[0][1]
+_BSD_2 = next(t for n, t in KNOWN if n == "BSD-2-Clause")
+_ISC = next(t for n, t in KNOWN if n == "ISC")
+KNOWN += [
+    (
+        "BSD-3-Clause",
+        _BSD_2.replace(
+            "\nTHIS SOFTWARE",
+            f"\n3. Neither the name of {owner} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE",
+        ),
+    )
+    for owner in ("the copyright holder", "the copyright owner")
+]
+KNOWN += [
+    ("ISC", _ISC.replace("and/or distribute", "and distribute")),
+    (
+        "MIT-0",
+        _MIT.replace(", subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "."),
+    ),
+]
+# Conditions are counted in some copies of the BSD texts and have stars or dashes in others.
+KNOWN += [(n, re.sub(r"^\d\. ", "", t, flags=re.M)) for n, t in KNOWN if n.startswith("BSD-")]
+
+# First lines of licence files.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "Zero Clause BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+KNOWN += [(n, f"{title}\n\n{t}") for n, t in KNOWN if "\n" in t for title in TITLES[n]]
+
+# Words that follow "copyright" in a sentence; any other begins a holder's name.
+IN_SENTENCES = """act and are as at attribution claim claims disclaimer disclaimers for grant grants holder holders in
+information infringement interest interests is it law laws legend legends licence licences license licenses line lines management
+may message messages mark marks notice notices of on or owner owners ownership patent patents permission permissions protection
+protections relinquishment right rights shall statement statements status term terms that to treaties treaty which with""".split()
+
+
+def other_word(words: list[str], ends: tuple[str, ...] = (r"[^\x00-\x7f]",)) -> str:
+    """Pattern for the beginning of a word that is none of words, without looking ahead."""
+    after: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    more = [c + other_word(rest, (r"[^a-z\n]", "(?m:$)")) for c, rest in sorted(after.items())]
+    letters = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in after)
+    return "(" + "|".join([*more, f"[{letters}]", *([] if "" in words else ends)]) + ")"
+
+
+# Copyright lines, and whatever isn't a letter or digit; both in the syntax common to engines.  A
+# line that begins with the word copyright is one if a sign, a year or a holder follows.
+COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright[ \t]*:?[ \t]*(\(c\)|©|&copy;|[0-9<\[{])|copyright([ \t]+|[ \t]*:[ \t]*)" + other_word(IN_SENTENCES) + r"|\(c\)|©|all rights reserved)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 
 

@@ -120,6 +120,21 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(no_docs).count() == 0
 
 
+def test_usual_license_files(spark):
+    import textwrap
+
+    texts = {n: t for n, t in reversed(licenses.KNOWN) if "\n" in t}
+    texts = {n: next(t for m, t in licenses.KNOWN if m == n) for n in texts}
+    wrapped = [(n, "\n".join(textwrap.fill(x, w) for x in texts[n].split("\n"))) for n in texts for w in range(40, 100)]
+    isc = texts["ISC"].replace("that the above copyright notice", "that the above\ncopyright  notice")
+    files = [*wrapped, ("ISC", isc), ("ISC", f"ISC License\n\nCopyright 2020 Someone\n\n{isc}"), ("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020\n\n{texts['MIT']}")]
+    heads = ["Copyright (c) 2020, A", "copyright © B", "# Copyright: C", "Copyright 1999-2001 D", "Copyright The Authors", "Copyright Nota Inc", "Copyright by E", "Copyright Éa"]
+    files += [("BSD-3-Clause", f"{h}\nAll rights reserved.\n\n{texts['BSD-3-Clause']}") for h in heads]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(files))] == [n for n, _ in files]
+
+
 def test_native_plans_run_no_python(spark):
     for name in ("op8_url_filter", "op10_license_scan"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
