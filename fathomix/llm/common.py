@@ -43,6 +43,19 @@ def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lower the session's bound of an Arrow batch to ``most`` bytes, unless it is lower already.
+
+    Operators that send whole texts to Python call this: a batch is held by the executor and by
+    the worker, by each of them more than once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    value = int(now.rstrip("kmg")) << unit
+    if value <= 0 or value > most:
+        spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks after a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -1,28 +1,34 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
-Jaccard distance is a metric, and any set is a point of it.  Documents as only pivots don't
-divide a corpus: nearly every document is at distance exactly 1 from nearly every other, so each
-would be replicated to every region (README has the figures).  Pivots of two kinds are used:
-
-1. One-shingle sets {s}.  d(x, {s}) is 1 - 1/|x| if x holds s, else 1: the nearest pivots of x
-   are its own shingles.  One fixed order, rare shingles first, ranks them; x belongs to the
-   Voronoi region of its first shingle.  If d(x, y) <= e, the triangle inequality leaves at most
-   e|x| of x outside y and e|y| of y outside x, so both hold some shingle among the first
-   e|x| + 1 of x and the first e|y| + 1 of y.  Those windows, and nothing beyond them, are where
-   documents are replicated; a pair that meets at positions i and j can link only if i + j stays
-   within the largest symmetric difference.
-2. Documents, inside regions.  The members of a region are compared with its most central
-   document first; those within e of it have its component and needn't be compared with one
-   another.  What is left of a region is worked on again with a pivot of its own (recursion),
-   for some rounds; the pairs of different components that remain are compared exactly.
-
-The order only serves speed.  It comes from counts over all documents of the shingles that
-repeat within a block; the commonest of them go last, so a passage that many documents share
+Jaccard distance is a metric, and any set is a point of it.  Regions are made by pivots, and
+triangle-inequality windows replicate the documents near a border, so a pair within e = 1 -
+num/den of each other meets in some region.  Pivots of two kinds are used, one after the other:
+
+1. One-shingle sets {s}, at the first level.  d(x, {s}) is 1 - 1/|x| if x holds s, else 1: the
+   nearest pivots of x are its own shingles, ranked by one fixed order, rare ones first.  If
+   d(x, y) <= e, at most e|x| of x lie outside y, so x and y share one of the first e|x| + 1 of x
+   and of the first e|y| + 1 of y; two that meet at positions i and j can link only if i + j
+   stays within the largest symmetric difference.  This is what set joins call prefix
+   filtering.  Documents as pivots can't do it: nearly every document is at distance 1 from nearly
+   every other, so each would be replicated to every region (README has the figures).
+2. Documents, in every region of more than ``leaf`` members.  Distances of all members to a few
+   pivots are computed exactly; a member within e of a pivot is linked to it at once.  Each
+   member is at home in the Voronoi region of its nearest pivot and visits each other region q
+   with d(x, q) <= d(x, nearest) + 2e.  Pivots leave, regions whose members are one component
+   are closed, and the other regions are worked on again with pivots of their own.
+
+A region ends as a leaf when it is small, or when pivots don't divide it (its members are all
+about equally far from one another).  A leaf of more than ``split`` members is divided by the
+members' next shared shingle first: two that link and share the region's shingle share
+another one within windows longer by one.  In a leaf, members at home are compared with all others
+of other components, if positions, sizes, distances to the last pivot (they differ by at most e)
+and parity bitmaps (which bound the symmetric difference from below) allow a link.  The last
+word always has the comparison of whole sets of 64-bit hashes.
+
+The order of shingles only serves speed.  It comes from counts over all documents of the shingles
+that repeat within a block; the commonest of them go last, so a passage that many documents share
 isn't where they meet.
 
-Before the exact comparison, a parity bitmap bounds the size of the symmetric difference from
-below, which drops most pairs without their sets and never a link.
-
 Equal sets are one class from the start and are never expanded into pairs.
 
 Defined cases: a null or empty text has n_shingles 0 and links with nothing; a row with a null
@@ -40,21 +46,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hint_if_small, materialise
+from .common import bound_batches, hint_if_small, materialise
 from .components import components
-from .shingles import parity_bitmap, read_short_set, set_digest, shingle_set, short_set
+from .shingles import packed_set, parity_bitmap, read_set, set_digest, shingle_set
 
 SKETCH = "doc_id long, n long, digest binary, path array<long>, bits array<long>"
 _BLOCK = 1 << 20  # shingles counted together
+_SPLITS = 2  # further shared shingles that may divide a region
+_SLACK = 1e-9  # of distances as floating-point numbers
 
 
 class JaccardJoin:
-    """Documents whose ``size``-word shingle sets have den * |x & y| >= num * |x | y|."""
+    """Documents whose ``size``-word shingle sets have den * |x & y| >= num * |x | y|.
+
+    ``leaf`` is the members of a region compared directly, ``pivots`` the pivot documents of a
+    larger one in each of at most ``rounds`` recursions; leaves of more than ``split`` members are
+    divided by further shingles.  ``common`` shingles are ordered by count; ``small_rows``
+    bounds what is broadcast.  None of them changes a result.
+    """
 
-    def __init__(self, size: int = 5, num: int = 80, den: int = 100, rounds: int = 3, common: int = 1_000_000, small_rows: int = 2_000_000):
+    def __init__(self, size: int = 5, num: int = 80, den: int = 100, leaf: int = 16, pivots: int = 4, rounds: int = 4, split: int = 1024, common: int = 1_000_000, small_rows: int = 2_000_000):
         self.size, self.num, self.den = size, num, den
-        #: rounds of pivot documents; shingles whose order is by count; bound of what is broadcast
-        self.rounds, self.common, self.small_rows = rounds, common, small_rows
+        self.leaf, self.pivots, self.rounds, self.split = leaf, pivots, rounds, split
+        self.common, self.small_rows = common, small_rows
 
     def common_shingles(self, docs: DataFrame) -> np.ndarray:
         """The commonest shingles, the commonest last; at most ``common`` of them.
@@ -87,7 +101,8 @@ class JaccardJoin:
         return top["h"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
 
     def sketches(self, docs: DataFrame) -> DataFrame:
-        """One narrow pass over the texts: set size, set digest, window, parity bitmap."""
+        """One narrow pass over the texts, written: set size, set digest, window (and what further
+        splits need), parity bitmap."""
         size, over, den = self.size, self.den - self.num, self.den
         last = self.common_shingles(docs)
         by_hash = np.argsort(last)
@@ -100,7 +115,7 @@ class JaccardJoin:
                 cols: tuple[list, ...] = ([], [], [], [])
                 for text in b.column(1):
                     s = shingle_set(text.as_py(), size)
-                    window = len(s) * over // den + 1
+                    window = len(s) * over // den + 1 + _SPLITS
                     path = s[:window]
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -112,102 +127,188 @@ class JaccardJoin:
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n", "digest", "path", "bits"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SKETCH)
+        out = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SKETCH), "sketches")
+        shared.destroy()
+        return out
+
+    def _window(self, more: int = 0) -> Column:
+        """Length of the window of a set of n."""
+        return F.expr(f"n * {self.den - self.num} div {self.den}") + 1 + more
 
-    def _sizes(self, a: str, b: str) -> Column:
+    def _sizes(self) -> Column:
         """Whether sizes na and nb and positions pa and pb allow a link of rows a and b."""
-        na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+        na, nb = F.col("na"), F.col("nb")
         sizes = (na * self.den >= nb * self.num) & (nb * self.den >= na * self.num)
-        return sizes & ((F.col(f"p{a}") + F.col(f"p{b}")) * (self.den + self.num) <= (na + nb) * (self.den - self.num))
+        return sizes & ((F.col("pa") + F.col("pb")) * (self.den + self.num) <= (na + nb) * (self.den - self.num))
 
-    def _bits(self, a: str, b: str) -> Column:
-        """Whether the bitmaps allow a link."""
-        x, y = F.col(f"bits{a}"), F.col(f"bits{b}")
+    def _bits(self) -> Column:
+        """Whether the bitmaps bitsa and bitsb allow a link."""
+        x, y = F.col("bitsa"), F.col("bitsb")
         big, low = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
         # the larger bitmap folded to the smaller one's size
         half = F.zip_with(F.slice(big, 1, F.size(low)), F.slice(big, F.size(low) + 1, F.size(low)), lambda u, v: u.bitwiseXOR(F.coalesce(v, F.lit(0).cast("long"))))
         same = F.when(F.size(big) == F.size(low), big).otherwise(half)
         apart = F.aggregate(F.zip_with(same, low, lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-        return F.when(self._sizes(a, b), apart * (self.den + self.num) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (self.den - self.num)).otherwise(False)
+        return F.when(self._sizes(), apart * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num)).otherwise(False)
 
-    def _verify(self, near: DataFrame, docs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, from whole texts' sets."""
-        near = materialise(near, "near-pairs")
-        if near.isEmpty():
-            return near
-        ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        size, num, den = self.size, self.num, self.den
+    def _sets(self, ids: DataFrame, docs: DataFrame) -> DataFrame:
+        """(id, members) of the documents in ids (doc_id), written."""
+        size = self.size
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short_set(shingle_set(t.as_py(), size)) for t in b.column(1)], pa.binary())], names=["id", "members"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed_set(shingle_set(t.as_py(), size)) for t in b.column(1)], pa.binary())], names=["id", "members"])
+
+        whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hint_if_small(ids, self.small_rows), "doc_id", "left_semi")
+        return materialise(whole.mapInArrow(sets, "id long, members binary"), "sets")
 
-        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """pairs (a, b) with the exact distance d of their sets and whether they link, written.
+
+        Few pivots are the b of many pairs, so a's set travels with the pair.
+        """
+        num, den = self.num, self.den
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep, held = [], (None, None)
+                d, linked, held = [], [], (None, None)
                 for x, y in zip(batch.column(2), batch.column(3)):
                     if held[0] != (raw := y.as_py()):  # rows come sorted by b
-                        held = (raw, read_short_set(raw))
-                    u, v = read_short_set(x.as_py()), held[1]
-                    common = int(np.isin(u, v, assume_unique=True).sum()) if len(u) and len(v) else 0
-                    keep.append(den * common >= num * (len(u) + len(v) - common) and common > 0)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                        held = (raw, read_set(raw))
+                    u, v = read_set(x.as_py()), held[1]
+                    common = len(np.intersect1d(u, v, assume_unique=True))
+                    union = len(u) + len(v) - common
+                    d.append(1 - common / union if union else 1.0)
+                    linked.append(common > 0 and den * common >= num * union)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
+
+        with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
+        with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
+        return materialise(with_b.select("a", "b", "ma", "mb").mapInArrow(measure, "a long, b long, d double, linked boolean"), "distances")
+
+    @staticmethod
+    def _labels(found: list[DataFrame]) -> DataFrame:
+        return components(reduce(DataFrame.unionByName, found)).withColumnRenamed("id", "_id").withColumnRenamed("comp", "_c")
+
+    @staticmethod
+    def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows of the regions that hold more than one component and a member at home, with comp,
+        the region's largest component ``most``, its members k and those at home."""
+        rows = rows.join(labels, rows["id"] == labels["_id"], "left").select(*rows.columns, F.coalesce("_c", "id").alias("comp"))
+        per = rows.groupBy("key", "comp").agg(F.count("*").alias("_k"), F.count_if("home").alias("_h"))
+        top = per.groupBy("key").agg(F.count("*").alias("_kinds"), F.max_by("comp", F.struct("_k", "comp")).alias("most"), F.sum("_k").alias("k"), F.sum("_h").alias("homes"))
+        return rows.join(top.filter("_kinds > 1 and homes > 0").drop("_kinds"), "key")
+
+    def _pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components of one region, one of them at home, that positions,
+        sizes and distances to the last pivot allow; the least positions of each pair."""
+
+        def side(df: DataFrame, k: str, *more: str) -> DataFrame:
+            return df.select("key", *more, *(F.col(c).alias(f"{c_}{k}") for c, c_ in (("id", ""), ("pos", "p"), ("n", "n"), ("comp", "c"), ("home", "h"), ("d", "d"))))
 
-        whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hint_if_small(ids, self.small_rows), "doc_id", "left_semi")
-        whole = materialise(whole.mapInArrow(sets, "id long, members binary"), "near-sets")
-        with_a = near.join(whole.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
-        with_b = with_a.join(whole.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-        return materialise(with_b.select("a", "b", "ma", "mb").mapInArrow(linked, "a long, b long"), "true-links")
-
-    def _open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows of regions that hold more than one component, with comp and the region's largest
-        component as most."""
-        rows = rows.join(labels.withColumnRenamed("comp", "_c"), "id", "left").select(*rows.columns, F.coalesce("_c", "id").alias("comp"))
-        per = rows.groupBy("key", "comp").agg(F.count("*").alias("_k"))
-        top = per.groupBy("key").agg(F.count("*").alias("_kinds"), F.max_by("comp", F.struct("_k", "comp")).alias("most"))
-        return rows.join(top.filter("_kinds > 1").drop("_kinds"), "key")
+        once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("most"))
+        ok = (F.col("ca") != F.col("cb")) & once & (F.col("ha") | F.col("hb")) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - self.num / self.den + _SLACK, F.lit(True))
+        pairs = side(rows.filter("comp != most"), "a").join(side(rows, "b", "most"), "key").filter(ok & self._sizes())
+        return pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb")))
+
+    def _near(self, pairs: DataFrame, bits: DataFrame) -> DataFrame:
+        """Of the pairs those whose bitmaps allow a link, written."""
+        for k in ("a", "b"):
+            pairs = pairs.join(bits.select(F.col("id").alias(k), F.col("bits").alias(f"bits{k}")), k)
+        return materialise(pairs.filter(self._bits()).select("a", "b").distinct(), "near-pairs")
+
+    def _pivot_documents(self, rows: DataFrame) -> DataFrame:
+        """(key, b): up to ``pivots`` members of each region, of different components; of equals
+        the smallest ids, so that the regions of a group of copies choose the same ones."""
+        bucket = F.pmod(F.xxhash64("comp"), F.lit(self.pivots))
+        return rows.groupBy("key", bucket.alias("_b")).agg(F.min("id").alias("b")).select("key", "b")
+
+    def voronoi(self, rows: DataFrame, distances: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Voronoi regions of rows (key, id, home, ...): each member at home with its nearest
+        pivot, visiting what the window reaches; ``replicas`` is what its whole region became."""
+        at = rows.join(pivots, "key").join(distances.select(F.col("a").alias("id"), "b", F.col("d").alias("_d")), ["id", "b"])
+        one = at.groupBy(*rows.columns).agg(F.min(F.struct("_d", "b")).alias("_near"), F.collect_list(F.struct("_d", "b")).alias("_all"))
+        reach = F.col("_near._d") + 2 * (1 - self.num / self.den) + _SLACK
+        # a doc_id with several texts has no one distance: it visits every region
+        many = F.size("_all") > F.size(F.array_distinct(F.transform("_all", lambda q: q["b"])))
+        one = one.withColumn("_in", F.filter("_all", lambda q: many | (q["_d"] <= reach))).withColumn("_many", many)
+        one = materialise(one.drop("_all"), "assigned")
+        size = one.groupBy("key").agg(F.sum(F.size("_in")).alias("replicas"))
+        return one.join(size, "key").withColumn("_q", F.explode("_in")).drop("_in")
+
+    def _split(self, rows: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
+        """Regions divided by the members' next shingle after the last one that divides them."""
+        own = reps.select(F.col("doc_id").alias("id"), F.col("n").alias("_n"), "path")
+        at = rows.join(own, "id").select(*rows.columns, F.posexplode("path").alias("_p", "_s"))
+        deeper = at.filter((F.col("_p") > F.col("last")) & (F.col("_p") < self._window(depth)))
+        deeper = deeper.withColumns({"key": F.xxhash64("key", "_s"), "last": F.col("_p")}).drop("_p", "_s")
+        # two of the smallest sets may share one shingle only: those meet again without another
+        single = rows.filter(F.col("n") * self.num < F.lit((1 + depth) * self.den)).withColumn("key", F.xxhash64("key", F.lit(0)))
+        return deeper.unionByName(single)
 
     def links(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
         """Links (a, b) between class representatives that connect every pair that links."""
-        every = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("path").alias("pos", "key")).select("key", "id", "pos", "n")
+        every = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("path").alias("pos", "key")).filter(F.col("pos") < self._window())
+        every = every.select("key", "id", "pos", "n").repartition("key")  # counted and filtered from one shuffle
         shared = every.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
         rows = materialise(every.join(shared, "key"), "regions")
-        # a region of two is a pair already; only larger ones need their members
+        # a region of two is a pair already
         row = F.struct("id", "pos", "n")
         per = rows.filter("k = 2").groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).filter("lo.id != hi.id")
         two = per.select(*(F.col(f"{s}.{c}").alias(f"{c_}{t}") for s, t in (("lo", "a"), ("hi", "b")) for c, c_ in (("id", ""), ("pos", "p"), ("n", "n"))))
-        rows = rows.filter("k > 2").drop("k")
-        two = materialise(two.filter(self._sizes("a", "b")).groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb"))), "pairs")
-        met = rows.select(F.col("id").alias("doc_id")).union(two.select("a")).union(two.select("b")).distinct()
-        own = materialise(reps.select("doc_id", "bits").join(hint_if_small(met, self.small_rows), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), "met")
-
-        def near(pairs: DataFrame) -> DataFrame:
-            """Of pairs (a, b) with places and sizes those that may link."""
-            for k in ("a", "b"):
-                pairs = pairs.join(own.select(F.col("id").alias(k), F.col("bits").alias(f"bits{k}")), k)
-            return pairs.filter(self._bits("a", "b")).select("a", "b")
-
-        found = [self._verify(near(two), docs)]
-        labels = components(found[0])
-        for _ in range(self.rounds):
-            here = self._open(rows, labels).filter("comp != most")
-            pivot = here.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("comp").alias("cb")), F.struct("pos", "id")).alias("p")).select("key", "p.*")
-            pairs = self._open(rows, labels).select("key", F.col("id").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"), "comp").join(pivot, "key")
-            pairs = pairs.filter((F.col("a") != F.col("b")) & (F.col("comp") != F.col("cb")) & self._sizes("a", "b"))
-            pairs = pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb")))
-            found.append(self._verify(near(pairs), docs))
-            labels = components(reduce(DataFrame.unionByName, found))
-        left = materialise(self._open(rows, labels).join(own, "id"), "open-regions")
-        side = lambda df, k, *more: df.select(*more, F.col("id").alias(k), F.col("pos").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-        odd, rest = side(left.filter("comp != most"), "a", "key", F.col("comp").alias("ca")), side(left, "b", "key", "most", F.col("comp").alias("cb"))
-        once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("most"))
-        pairs = odd.join(rest, "key").filter((F.col("ca") != F.col("cb")) & once & self._sizes("a", "b") & self._bits("a", "b"))
-        found.append(self._verify(pairs.select("a", "b").distinct(), docs))
+        fresh = {"comp": F.col("id"), "most": F.lit(-1).cast("long"), "home": F.lit(True), "d": F.lit(0.0)}
+        few = rows.filter((F.col("k") > 2) & (F.col("k") <= self.leaf)).withColumns(fresh)
+        pairs = two.filter(self._sizes()).unionByName(self._pairs(few))
+        pairs = materialise(pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb"))), "pairs")
+        large = materialise(rows.filter(F.col("k") > self.leaf).select("key", "id", "pos", "n", F.lit(True).alias("home"), F.lit(0.0).alias("d"), F.col("pos").alias("last")), "large-regions")
+        members = large.select(F.col("id").alias("doc_id")).distinct()
+        met = members.union(pairs.select("a")).union(pairs.select("b")).distinct()
+        bits = materialise(reps.select(F.col("doc_id"), "bits").join(hint_if_small(met, self.small_rows), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), "bitmaps")
+        near = self._near(pairs, bits)
+        sets = self._sets(members.union(near.select("a")).union(near.select("b")).distinct(), docs)
+        found = [self._distances(near, sets).filter("linked").select("a", "b")]
+        labels = self._labels(found)
+
+        leaves = []
+        todo = large
+        for turn in range(self.rounds):
+            here = materialise(self._open(todo, labels), "open-regions")
+            small = F.col("homes") * F.col("k") <= self.leaf**2
+            names = large.columns
+            leaves.append(here.filter(small).select(*names))
+            here = here.filter(~small)
+            if here.isEmpty():
+                todo = None
+                break
+            pivots = materialise(self._pivot_documents(here), "pivots")
+            ask = here.select("key", F.col("id").alias("a")).join(pivots, "key").select("a", "b").distinct().filter("a != b")
+            distances = self._distances(ask, sets)
+            found.append(distances.filter("linked").select("a", "b"))
+            labels = self._labels(found)
+            # pivots have met all members of their regions and leave
+            rest = here.join(pivots.withColumnRenamed("b", "id"), ["key", "id"], "left_anti").select(*names, "k")
+            cells = self.voronoi(rest, distances, pivots)
+            divided = F.col("replicas") <= 2 * F.col("k")
+            leaves.append(cells.filter(~divided & (F.col("_q.b") == F.col("_near.b"))).select(*names))
+            inner = {"key": F.xxhash64("key", "_q.b"), "home": F.col("home") & (F.col("_q.b") == F.col("_near.b")), "d": F.when(~F.col("_many"), F.col("_q._d"))}
+            todo = materialise(cells.filter(divided).withColumns(inner).select(*names), "cells")
+        if todo is not None:
+            leaves.append(todo)
+        left = materialise(self._open(reduce(DataFrame.unionByName, leaves), labels), "leaves")
+        for depth in range(1, _SPLITS + 1):
+            over = left.filter(F.col("k") > self.split).select(*large.columns)
+            if over.isEmpty():
+                break
+            deeper = self._open(self._split(over, reps, depth), labels)
+            left = materialise(left.filter(F.col("k") <= self.split).unionByName(deeper), "leaves")
+        near = self._near(self._pairs(left), bits)
+        found.append(self._distances(near, sets).filter("linked").select("a", "b"))
         return reduce(DataFrame.unionByName, found)
 
     def join(self, docs: DataFrame) -> DataFrame:
         """Every row of docs (doc_id, text) as doc_id, n_shingles, component_id."""
-        sketch = materialise(self.sketches(docs), "sketches")
+        bound_batches(docs.sparkSession)
+        sketch = self.sketches(docs)
         classes = sketch.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
         own = sketch.select("doc_id", "n", "digest").join(classes, "digest", "left")
         own = materialise(own.select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")

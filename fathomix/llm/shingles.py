@@ -18,7 +18,7 @@ _STEP = _U(0xD6E8FEB86659FD93)
 class _Words(dict):
     """Hash of each word met, up to a bound."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -64,11 +64,11 @@ def set_digest(hashes: np.ndarray) -> bytes:
 
 @lru_cache(64)
 def _shift(size: int) -> int:
-    return max(6, int(size - 1).bit_length())
+    return max(6, int(size - 1).bit_length() - 1)
 
 
 def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
-    """One bit of parity per hash class, about one to two classes per member, as 64-bit words.
+    """One bit of parity per hash class, one class per one or two members, as 64-bit words.
 
     The bits in which two bitmaps differ are at most the members in which the sets differ.
     """
@@ -77,13 +77,10 @@ def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
-def short_set(hashes: np.ndarray) -> bytes:
-    """A set as its members' upper 40 bits, five bytes each, ascending."""
-    return (hashes >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def packed_set(hashes: np.ndarray) -> bytes:
+    """A set as its members' eight bytes each, ascending."""
+    return hashes.astype("<u8").tobytes()
 
 
-def read_short_set(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.reshape(-1).view("<u8")
+def read_set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")

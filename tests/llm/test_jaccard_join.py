@@ -4,7 +4,7 @@ import pytest
 
 from fathomix.llm import components as comps
 from fathomix.llm.jaccard_join import JaccardJoin
-from fathomix.llm.shingles import parity_bitmap, read_short_set, shingle_set, short_set
+from fathomix.llm.shingles import packed_set, parity_bitmap, read_set, shingle_set
 
 
 def brute(rows, size, num, den):
@@ -54,9 +54,10 @@ def corpus(seed, n=160):
 @pytest.mark.parametrize("seed, size, num", [(1, 4, 85), (2, 5, 80), (3, 2, 70), (4, 1, 50)])
 def test_components_against_brute_force(spark, seed, size, num):
     df = spark.createDataFrame(corpus(seed), "doc_id long, text string")
-    for rounds in (1, 3):
-        got = JaccardJoin(size, num, 100, rounds=rounds, common=50).join(df).collect()
-        assert found(got) == brute(df.collect(), size, num, 100)
+    want = brute(df.collect(), size, num, 100)
+    # regions as leaves, by pivot documents in several rounds, and divided by further shingles
+    for options in ({"rounds": 2}, {"leaf": 2, "pivots": 2, "rounds": 1, "split": 4})[seed % 2 :]:
+        assert found(JaccardJoin(size, num, 100, common=50, **options).join(df).collect()) == want
 
 
 def test_without_broadcasts_or_one_task(spark, monkeypatch):
@@ -66,6 +67,30 @@ def test_without_broadcasts_or_one_task(spark, monkeypatch):
     assert found(got) == brute(df.collect(), 4, 85, 100)
 
 
+def hot(n=150):
+    """All documents share a passage; a third are near copies of one, others near one another or alone."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage, whole = [word() for _ in range(60)], [word() for _ in range(90)]
+    out = []
+    for i in range(n):
+        if i % 3 == 0:
+            w = list(whole)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = word()
+        else:
+            w = [word() for _ in range(rng.choice([4, 9, 12, 40]))]
+        out.append((i, " ".join(passage + w)))
+    return out
+
+
+def test_one_hot_region(spark):
+    df = spark.createDataFrame(hot(), "doc_id long, text string")
+    want = brute(df.collect(), 4, 85, 100)
+    for options in ({"leaf": 4, "split": 16}, {"leaf": 4, "rounds": 1, "split": 8, "common": 1}):
+        assert found(JaccardJoin(4, 85, 100, **options).join(df).collect()) == want
+
+
 def test_odd_documents(odd_docs, no_docs):
     assert found(JaccardJoin(4, 85, 100).join(odd_docs).collect()) == brute(odd_docs.collect(), 4, 85, 100)
     assert JaccardJoin(4, 85, 100).join(no_docs).count() == 0
@@ -98,4 +123,4 @@ def test_bitmaps_bound_the_difference():
             else:
                 y = y[: len(y) // 2] ^ y[len(y) // 2 :]
         assert sum(int(v).bit_count() for v in (x ^ y).view("u8")) <= len(set(a.tolist()) ^ set(b.tolist()))
-        assert len(read_short_set(short_set(a))) == len(a)
+        assert read_set(packed_set(a)).tolist() == a.tolist()
