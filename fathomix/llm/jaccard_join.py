@@ -11,19 +11,21 @@ num/den of each other meets in some region.  Pivots of two kinds are used, one a
    stays within the largest symmetric difference.  This is what set joins call prefix
    filtering.  Documents as pivots can't do it: nearly every document is at distance 1 from nearly
    every other, so each would be replicated to every region (README has the figures).
-2. Documents, in every region of more than ``leaf`` members.  Distances of all members to a few
-   pivots are computed exactly; a member within e of a pivot is linked to it at once.  Each
-   member is at home in the Voronoi region of its nearest pivot and visits each other region q
-   with d(x, q) <= d(x, nearest) + 2e.  Pivots leave, regions whose members are one component
-   are closed, and the other regions are worked on again with pivots of their own.
-
-A region ends as a leaf when it is small, or when pivots don't divide it (its members are all
-about equally far from one another).  A leaf of more than ``split`` members is divided by the
-members' next shared shingle first: two that link and share the region's shingle share
-another one within windows longer by one.  In a leaf, members at home are compared with all others
-of other components, if positions, sizes, distances to the last pivot (they differ by at most e)
-and parity bitmaps (which bound the symmetric difference from below) allow a link.  The last
-word always has the comparison of whole sets of 64-bit hashes.
+2. Documents, in every region of more than ``leaf`` members.  A few members become pivots.  Their
+   distance to a member is computed exactly, from whole sets, unless a parity bitmap (which bounds
+   the symmetric difference from below) shows it to be above 2e, which is all that needs to be
+   known then.  A member within e of a pivot is linked to it and at home in the Voronoi region of
+   its nearest pivot.  If d(x, y) <= e and y is at home with q, d(x, q) <= 2e: so each member
+   visits the regions of all pivots within 2e, and those are the only replicas.  Members that are
+   within e of no pivot stay together and are worked on again with pivots of their own.
+
+Regions whose members are one component are closed.  A region ends as a leaf when it is small, is a
+Voronoi region, or when its pivots have no other member near.  A leaf of more than ``split``
+members is divided by the members' next shared shingle first: two that link and share the
+region's shingle share another one within windows longer by one.  In a leaf, members at home are
+compared with all others of other components, if positions, sizes, distances to the pivot (they
+differ by at most e) and parity bitmaps allow a link.  The last word always has the comparison of
+whole sets of 64-bit hashes.
 
 The order of shingles only serves speed.  It comes from counts over all documents of the shingles
 that repeat within a block; the commonest of them go last, so a passage that many documents share
@@ -65,7 +67,7 @@ class JaccardJoin:
     bounds what is broadcast.  None of them changes a result.
     """
 
-    def __init__(self, size: int = 5, num: int = 80, den: int = 100, leaf: int = 16, pivots: int = 4, rounds: int = 4, split: int = 1024, common: int = 1_000_000, small_rows: int = 2_000_000):
+    def __init__(self, size: int = 5, num: int = 80, den: int = 100, leaf: int = 16, pivots: int = 2, rounds: int = 3, split: int = 1024, common: int = 1_000_000, small_rows: int = 2_000_000):
         self.size, self.num, self.den = size, num, den
         self.leaf, self.pivots, self.rounds, self.split = leaf, pivots, rounds, split
         self.common, self.small_rows = common, small_rows
@@ -135,21 +137,31 @@ class JaccardJoin:
         """Length of the window of a set of n."""
         return F.expr(f"n * {self.den - self.num} div {self.den}") + 1 + more
 
-    def _sizes(self) -> Column:
-        """Whether sizes na and nb and positions pa and pb allow a link of rows a and b."""
-        na, nb = F.col("na"), F.col("nb")
-        sizes = (na * self.den >= nb * self.num) & (nb * self.den >= na * self.num)
-        return sizes & ((F.col("pa") + F.col("pb")) * (self.den + self.num) <= (na + nb) * (self.den - self.num))
-
-    def _bits(self) -> Column:
-        """Whether the bitmaps bitsa and bitsb allow a link."""
-        x, y = F.col("bitsa"), F.col("bitsb")
-        big, low = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
-        # the larger bitmap folded to the smaller one's size
-        half = F.zip_with(F.slice(big, 1, F.size(low)), F.slice(big, F.size(low) + 1, F.size(low)), lambda u, v: u.bitwiseXOR(F.coalesce(v, F.lit(0).cast("long"))))
-        same = F.when(F.size(big) == F.size(low), big).otherwise(half)
-        apart = F.aggregate(F.zip_with(same, low, lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-        return F.when(self._sizes(), apart * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num)).otherwise(False)
+    @property
+    def _wide(self) -> int:
+        """What num is for pairs at most 2e apart."""
+        return max(0, 2 * self.num - self.den)
+
+    def _sizes(self, num: int) -> Column:
+        """Whether sizes na and nb allow num / den."""
+        return (F.col("na") * self.den >= F.col("nb") * num) & (F.col("nb") * self.den >= F.col("na") * num)
+
+    def _places(self) -> Column:
+        """Whether sizes, and positions pa and pb, allow a link of rows a and b."""
+        return self._sizes(self.num) & ((F.col("pa") + F.col("pb")) * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num))
+
+    @staticmethod
+    def _folded(bits: Column, words: Column) -> Column:
+        """A bitmap folded to ``words`` words, if it has twice as many."""
+        half = F.zip_with(F.slice(bits, 1, words), F.slice(bits, words + 1, words), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(bits) == 2 * words, half).otherwise(bits)
+
+    def _bits(self, num: int) -> Column:
+        """Whether the bitmaps bitsa and bitsb of sets of na and nb allow num / den; sizes do."""
+        words = F.least(F.size("bitsa"), F.size("bitsb"))
+        apart = F.zip_with(self._folded(F.col("bitsa"), words), self._folded(F.col("bitsb"), words), lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long"))
+        apart = F.aggregate(apart, F.lit(0).cast("long"), lambda s, v: s + F.coalesce(v, F.lit(0).cast("long")))
+        return apart * (self.den + num) <= (F.col("na") + F.col("nb")) * (self.den - num)
 
     def _sets(self, ids: DataFrame, docs: DataFrame) -> DataFrame:
         """(id, members) of the documents in ids (doc_id), written."""
@@ -162,12 +174,13 @@ class JaccardJoin:
         whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hint_if_small(ids, self.small_rows), "doc_id", "left_semi")
         return materialise(whole.mapInArrow(sets, "id long, members binary"), "sets")
 
-    def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """pairs (a, b) with the exact distance d of their sets and whether they link, written.
+    def _distances(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+        """pairs (a, b) with the exact distance d of their whole sets and whether they link, written.
 
         Few pivots are the b of many pairs, so a's set travels with the pair.
         """
         num, den = self.num, self.den
+        sets = self._sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -208,33 +221,36 @@ class JaccardJoin:
 
         once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("most"))
         ok = (F.col("ca") != F.col("cb")) & once & (F.col("ha") | F.col("hb")) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - self.num / self.den + _SLACK, F.lit(True))
-        pairs = side(rows.filter("comp != most"), "a").join(side(rows, "b", "most"), "key").filter(ok & self._sizes())
+        pairs = side(rows.filter("comp != most"), "a").join(side(rows, "b", "most"), "key").filter(ok & self._places())
         return pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb")))
 
-    def _near(self, pairs: DataFrame, bits: DataFrame) -> DataFrame:
-        """Of the pairs those whose bitmaps allow a link, written."""
+    def _near(self, pairs: DataFrame, bits: DataFrame, num: int) -> DataFrame:
+        """Of pairs (a, b, na, nb) those whose bitmaps allow num / den, written."""
         for k in ("a", "b"):
             pairs = pairs.join(bits.select(F.col("id").alias(k), F.col("bits").alias(f"bits{k}")), k)
-        return materialise(pairs.filter(self._bits()).select("a", "b").distinct(), "near-pairs")
+        return materialise(pairs.filter(self._bits(num)).select("a", "b").distinct(), "near-pairs")
 
     def _pivot_documents(self, rows: DataFrame) -> DataFrame:
-        """(key, b): up to ``pivots`` members of each region, of different components; of equals
-        the smallest ids, so that the regions of a group of copies choose the same ones."""
+        """(key, b, nb): up to ``pivots`` members of each region, of different components; of
+        equals the smallest ids, so that the regions of a group of copies choose the same ones."""
         bucket = F.pmod(F.xxhash64("comp"), F.lit(self.pivots))
-        return rows.groupBy("key", bucket.alias("_b")).agg(F.min("id").alias("b")).select("key", "b")
-
-    def voronoi(self, rows: DataFrame, distances: DataFrame, pivots: DataFrame) -> DataFrame:
-        """Voronoi regions of rows (key, id, home, ...): each member at home with its nearest
-        pivot, visiting what the window reaches; ``replicas`` is what its whole region became."""
-        at = rows.join(pivots, "key").join(distances.select(F.col("a").alias("id"), "b", F.col("d").alias("_d")), ["id", "b"])
-        one = at.groupBy(*rows.columns).agg(F.min(F.struct("_d", "b")).alias("_near"), F.collect_list(F.struct("_d", "b")).alias("_all"))
-        reach = F.col("_near._d") + 2 * (1 - self.num / self.den) + _SLACK
-        # a doc_id with several texts has no one distance: it visits every region
-        many = F.size("_all") > F.size(F.array_distinct(F.transform("_all", lambda q: q["b"])))
-        one = one.withColumn("_in", F.filter("_all", lambda q: many | (q["_d"] <= reach))).withColumn("_many", many)
-        one = materialise(one.drop("_all"), "assigned")
-        size = one.groupBy("key").agg(F.sum(F.size("_in")).alias("replicas"))
-        return one.join(size, "key").withColumn("_q", F.explode("_in")).drop("_in")
+        return rows.groupBy("key", bucket.alias("_b")).agg(F.min(F.struct("id", "n")).alias("_p")).select("key", F.col("_p.id").alias("b"), F.col("_p.n").alias("nb"))
+
+    def voronoi(self, rows: DataFrame, distances: DataFrame, pivots: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(cells, far) of rows (key, id, home, d, ...): the Voronoi regions, whose members are at
+        home with their nearest pivot within e or visitors from within 2e, and the regions' other
+        members.  A doc_id of ``several`` texts has no one place: it visits and stays far."""
+        names = rows.columns
+        close = distances.filter(F.col("d") <= 2 * (1 - self.num / self.den) + _SLACK).select(F.col("a").alias("id"), "b", F.col("d").alias("_d"), "linked")
+        close = close.join(hint_if_small(several, self.small_rows), "id", "left").withColumn("linked", F.col("linked") & F.col("_several").isNull())
+        at = materialise(rows.join(pivots, "key").join(close, ["id", "b"]), "visits")
+        home = at.filter("linked").groupBy("key", "id").agg(F.min(F.struct("_d", "b")).alias("_near")).select("key", "id", F.col("_near.b").alias("_home"))
+        own = at.join(home, ["key", "id"], "left").withColumns({
+            "key": F.xxhash64("key", "b"),
+            "home": F.col("home") & F.coalesce(F.col("_home") == F.col("b"), F.lit(False)),
+            "d": F.when(F.col("_several").isNull(), F.col("_d")),
+        })
+        return own.select(*names), rows.join(home, ["key", "id"], "left_anti")
 
     def _split(self, rows: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
         """Regions divided by the members' next shingle after the last one that divides them."""
@@ -246,7 +262,7 @@ class JaccardJoin:
         single = rows.filter(F.col("n") * self.num < F.lit((1 + depth) * self.den)).withColumn("key", F.xxhash64("key", F.lit(0)))
         return deeper.unionByName(single)
 
-    def links(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    def links(self, docs: DataFrame, reps: DataFrame, several: DataFrame) -> DataFrame:
         """Links (a, b) between class representatives that connect every pair that links."""
         every = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("path").alias("pos", "key")).filter(F.col("pos") < self._window())
         every = every.select("key", "id", "pos", "n").repartition("key")  # counted and filtered from one shuffle
@@ -258,51 +274,57 @@ class JaccardJoin:
         two = per.select(*(F.col(f"{s}.{c}").alias(f"{c_}{t}") for s, t in (("lo", "a"), ("hi", "b")) for c, c_ in (("id", ""), ("pos", "p"), ("n", "n"))))
         fresh = {"comp": F.col("id"), "most": F.lit(-1).cast("long"), "home": F.lit(True), "d": F.lit(0.0)}
         few = rows.filter((F.col("k") > 2) & (F.col("k") <= self.leaf)).withColumns(fresh)
-        pairs = two.filter(self._sizes()).unionByName(self._pairs(few))
+        pairs = two.filter(self._places()).unionByName(self._pairs(few))
         pairs = materialise(pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb"))), "pairs")
         large = materialise(rows.filter(F.col("k") > self.leaf).select("key", "id", "pos", "n", F.lit(True).alias("home"), F.lit(0.0).alias("d"), F.col("pos").alias("last")), "large-regions")
-        members = large.select(F.col("id").alias("doc_id")).distinct()
-        met = members.union(pairs.select("a")).union(pairs.select("b")).distinct()
-        bits = materialise(reps.select(F.col("doc_id"), "bits").join(hint_if_small(met, self.small_rows), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), "bitmaps")
-        near = self._near(pairs, bits)
-        sets = self._sets(members.union(near.select("a")).union(near.select("b")).distinct(), docs)
-        found = [self._distances(near, sets).filter("linked").select("a", "b")]
+        names = large.columns
+
+        def bitmaps(ids: DataFrame, bits: Column) -> DataFrame:
+            own = reps.select("doc_id", bits.alias("bits")).join(hint_if_small(ids.distinct(), self.small_rows), "doc_id", "left_semi")
+            return materialise(own.withColumnRenamed("doc_id", "id"), "bitmaps")
+
+        # half as wide where only links matter
+        half = F.when(F.size("bits") > 1, self._folded(F.col("bits"), F.floor(F.size("bits") / 2).cast("int"))).otherwise(F.col("bits"))
+        bits = bitmaps(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), half)
+        found = [self._distances(self._near(pairs, bits, self.num), docs).filter("linked").select("a", "b")]
         labels = self._labels(found)
 
-        leaves = []
-        todo = large
-        for turn in range(self.rounds):
+        bits = bitmaps(large.select(F.col("id").alias("doc_id")), F.col("bits"))
+        leaves, todo = [], large
+        for _ in range(self.rounds):
             here = materialise(self._open(todo, labels), "open-regions")
             small = F.col("homes") * F.col("k") <= self.leaf**2
-            names = large.columns
             leaves.append(here.filter(small).select(*names))
             here = here.filter(~small)
             if here.isEmpty():
                 todo = None
                 break
             pivots = materialise(self._pivot_documents(here), "pivots")
-            ask = here.select("key", F.col("id").alias("a")).join(pivots, "key").select("a", "b").distinct().filter("a != b")
-            distances = self._distances(ask, sets)
+            ask = here.select("key", F.col("id").alias("a"), F.col("n").alias("na")).join(pivots, "key").filter((F.col("a") != F.col("b")) & self._sizes(self._wide))
+            distances = self._distances(self._near(ask.select("a", "b", "na", "nb").distinct(), bits, self._wide), docs)
             found.append(distances.filter("linked").select("a", "b"))
             labels = self._labels(found)
             # pivots have met all members of their regions and leave
-            rest = here.join(pivots.withColumnRenamed("b", "id"), ["key", "id"], "left_anti").select(*names, "k")
-            cells = self.voronoi(rest, distances, pivots)
-            divided = F.col("replicas") <= 2 * F.col("k")
-            leaves.append(cells.filter(~divided & (F.col("_q.b") == F.col("_near.b"))).select(*names))
-            inner = {"key": F.xxhash64("key", "_q.b"), "home": F.col("home") & (F.col("_q.b") == F.col("_near.b")), "d": F.when(~F.col("_many"), F.col("_q._d"))}
-            todo = materialise(cells.filter(divided).withColumns(inner).select(*names), "cells")
+            rest = here.join(pivots.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti").select(*names)
+            cells, far = self.voronoi(rest, distances, pivots, several)
+            cells = materialise(cells, "cells")
+            leaves.append(cells)
+            # where pivots had no member near, others would hardly have any
+            alone = pivots.select("key").distinct().join(rest.join(pivots, "key").join(distances.filter("linked").select(F.col("a").alias("id"), "b"), ["id", "b"]).select("key").distinct(), "key", "left_anti")
+            far = materialise(far.join(alone.withColumn("_alone", F.lit(True)), "key", "left"), "far")
+            leaves.append(far.filter("_alone").select(*names))
+            todo = far.filter("_alone is null").select(*names)
         if todo is not None:
             leaves.append(todo)
         left = materialise(self._open(reduce(DataFrame.unionByName, leaves), labels), "leaves")
         for depth in range(1, _SPLITS + 1):
-            over = left.filter(F.col("k") > self.split).select(*large.columns)
+            over = left.filter(F.col("k") > self.split).select(*names)
             if over.isEmpty():
                 break
             deeper = self._open(self._split(over, reps, depth), labels)
             left = materialise(left.filter(F.col("k") <= self.split).unionByName(deeper), "leaves")
-        near = self._near(self._pairs(left), bits)
-        found.append(self._distances(near, sets).filter("linked").select("a", "b"))
+        near = self._near(self._pairs(left), bits, self.num)
+        found.append(self._distances(near, docs).filter("linked").select("a", "b"))
         return reduce(DataFrame.unionByName, found)
 
     def join(self, docs: DataFrame) -> DataFrame:
@@ -314,8 +336,9 @@ class JaccardJoin:
         own = materialise(own.select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
         copies = own.filter("n > 0 and rep != doc_id").select("doc_id").join(own.filter("rep = doc_id").select("doc_id"), "doc_id", "left_anti").distinct()
         reps = sketch.filter("n > 0 and doc_id is not null").drop("digest").join(hint_if_small(copies, self.small_rows), "doc_id", "left_anti")
-        links = self.links(docs, reps)
-        # a repeated doc_id ties its rows' classes together
+        # a doc_id may have rows of several texts: it ties their classes together
+        several = reps.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("_several"))
+        links = self.links(docs, reps, materialise(several, "several-texts"))
         some = own.filter("doc_id is not null and n > 0")
         multi = some.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("doc_id")
         repeated = some.join(multi, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

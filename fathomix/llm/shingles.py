@@ -64,11 +64,11 @@ def set_digest(hashes: np.ndarray) -> bytes:
 
 @lru_cache(64)
 def _shift(size: int) -> int:
-    return max(6, int(size - 1).bit_length() - 1)
+    return max(6, int(size - 1).bit_length())
 
 
 def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
-    """One bit of parity per hash class, one class per one or two members, as 64-bit words.
+    """One bit of parity per hash class, one to two classes per member, as 64-bit words.
 
     The bits in which two bitmaps differ are at most the members in which the sets differ.
     """
