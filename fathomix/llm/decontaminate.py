@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, hint_if_small, materialise
+from .common import bound_batches, claim, hint_if_small, materialise
 from .token_store import mix64
 
 # Units and number words.
@@ -72,7 +72,7 @@ def _token(raw: str) -> int:
 class _Tokens(dict):
     """What each raw token is, for those met, up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.LIMIT:
@@ -214,6 +214,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
     windows are counted to be few, else shuffled), then grouped by document and item.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, range_edges
+from .common import bound_batches, partitions, range_edges
 from .shingles import shingle_hashes
 
 
@@ -113,6 +113,7 @@ def compare_with_next(docs: DataFrame, size: int = 5, k: int = 128) -> DataFrame
     global window arises.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = partitions(spark)
     edges = range_edges(docs, ["doc_id"], 4 * n)  # some ranges a task, to even them out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, range_edges
+from .common import bound_batches, partitions, range_edges
 from .url_filter import parts
 
 # Elements by what they mean for text.
@@ -174,6 +174,7 @@ def extract(pages: DataFrame) -> DataFrame:
     over many ranges.  A range's first and last page also go to the ranges next to it.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     host, path = parts(F.col("url"))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"))
     n = partitions(spark)

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim
+from .common import bound_batches, claim
 
 SYMBOLS, SHARED = 64, 37
 CODES = SYMBOLS**3
-_CHARS = 1 << 20  # characters looked at together
+_CHARS = 1 << 19  # characters looked at together
 
 
 @lru_cache(1)
@@ -87,9 +87,9 @@ def _bundle(rows: np.ndarray, codes: np.ndarray, n: int, dim: int, seed: int) ->
     place = np.zeros(CODES, np.int64)
     place[own] = np.arange(len(own))
     out = np.zeros((n, dim), np.float32)
-    for at in range(0, len(own), 8192):  # bounds the matrices for very mixed alphabets
-        part = own[at : at + 8192]
-        inside = (place[codes] >= at) & (place[codes] < at + len(part)) if len(own) > 8192 else slice(None)
+    for at in range(0, len(own), 4096):  # bounds the matrices for very mixed alphabets
+        part = own[at : at + 4096]
+        inside = (place[codes] >= at) & (place[codes] < at + len(part)) if len(own) > 4096 else slice(None)
         m = np.bincount(rows[inside] * len(part) + place[codes[inside]] - at, minlength=n * len(part)).reshape(n, len(part))
         out += m.astype(np.float32) @ trigram_vectors(part, dim, seed).astype(np.float32)
     return out
@@ -128,6 +128,7 @@ def train(docs: DataFrame, dim: int = 1024, seed: int = 7) -> dict[str, list[flo
         if held:
             yield flush()
 
+    bound_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     rows = (
         known.mapInArrow(partial, "lang string, bundle array<long>")
@@ -150,6 +151,7 @@ def predict(docs: DataFrame, model: dict[str, list[float]], dim: int = 1024, see
     protos = np.array([model[k] for k in names], np.float64).reshape(len(names), dim)
     protos = (protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(protos)
+    bound_batches(docs.sparkSession)
     kept = docs.columns
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 

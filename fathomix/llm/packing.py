@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,6 +33,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids with end_id, cut after
     every ``capacity`` ids.  Narrow: no shuffle, texts stay where they are."""
 
+    bound_batches(docs.sparkSession)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:

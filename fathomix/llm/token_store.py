@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_fs, partitions
+from .common import arrow_fs, bound_batches, partitions
 from .tokens import encoder
 
 _U = np.uint64
@@ -167,6 +167,7 @@ def write_store(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, shar
     of its own attempt and renames at the end, so retried and speculative tasks are harmless.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     shards = shards or partitions(spark)
     schema = "shard int, docs long, ids long, first long, last long"
 

@@ -37,7 +37,7 @@ class WordEncoder:
     the library's full path, which gives the same ids more slowly.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

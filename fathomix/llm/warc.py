@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_fs, materialise
+from .common import arrow_fs, bound_batches, materialise
 
 HEADERS = "shard string, at long, size long, page_id long, payload_bytes long, payload_digest string"
 _NAMES = ["shard", "at", "size", "page_id", "payload_bytes", "payload_digest"]
@@ -108,6 +108,8 @@ def write_archives(pages: DataFrame, out: str, date: str = "2024-01-01T00:00:00Z
     """Write pages (page_id, url, html) as response records below the URI out, one archive per
     input split; gives the headers as a table.  No shuffle."""
 
+    bound_batches(pages.sparkSession)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             shard = None
