@@ -1,8 +1,10 @@
 """Licence scan by canonical digests: whole texts are normalised and hash-joined to licences.
 
 DataFrame functions only.  Two texts have the same canonical form if they differ in case,
-punctuation, white space, copyright lines and spellings that licence matching treats as equal.
-The join is on the SHA-256 of the canonical form, one row per document.
+punctuation, white space, copyright lines and spellings that licence matching treats as equal.  A
+sentence that happens to wrap right before "copyright the ..." looks like a copyright line.
+The join is on the SHA-256 of the canonical form, one row per document.  Short licences are stated
+as texts, long ones as digests; ``scan`` takes any other table of digests.
 
 Defined cases: a null or empty text, or one of copyright lines only, has the empty canonical form
 and matches nothing; repeated rows are matched one by one; a null doc_id is kept; an empty table
@@ -12,6 +14,8 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +64,6 @@ EQUIVALENT = [
     ("wilful", "willful"),
 ]
 
-#: Words of which every left-hand spelling begins; keeps the replacement to one pass.
-_SINGLE = {a: b for a, b in EQUIVALENT if " " not in a}
-_PHRASES = [(a, b) for a, b in EQUIVALENT if " " in a]
-
 # Short texts of public licences and licence notices.
 KNOWN = [
     (
@@ -147,11 +147,43 @@ TITLES = {
 }
 KNOWN += [(n, f"{title}\n\n{t}") for n, t in KNOWN if "\n" in t for title in TITLES[n]]
 
+# Canonical digests of whole licences too long to state here; of those with terms and
+# an appendix also without the appendix, with and without the line between.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "dbb777d3ad1fb948fbe99e6748cbd3fea3f269381f3f7efe3f4259a28a9269c9"),
+    ("Apache-2.0", "9ce71eb31a8abf79414c431def165019f9604548c79edc94fe0d7d50b2f8703e"),
+    ("Apache-2.0", "37aa90548985ac0057637d42c3153e8b5d107a21d9556d7fbe60e3e426fdacaa"),
+    ("Artistic-1.0-Perl", "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "8446e2329e3fe2b35501056164a645d74fef33dc1b8a2a132629bf1935fa72e7"),
+    ("GFDL-1.2", "9d570a7110338b3eacc840b5643cc88bd41ffb358c687f93890528b8fb33308b"),
+    ("GFDL-1.3", "961b6d8afa12e353079f8676ad28084c800a46123e76f7f4f7e7f81df82289dc"),
+    ("GFDL-1.3", "5371fc4f9303e1edf123c5c02914bd79da38ca56e37592703dd48ac98152313d"),
+    ("GPL-1.0", "2b62a0899e7031347a9577241eb9b504d0eafb4d91b28e1f99580099701d0a1a"),
+    ("GPL-1.0", "c4d0d6a72ff991b9d8d8b8de6b66b3ed4e1ace78a8cfb4061b2b63c98deb700b"),
+    ("GPL-1.0", "fb6d85b04cce9e961a8ac49322a422ceed03720cc44b403f8769a1966d803f0b"),
+    ("GPL-2.0", "d3d1ea54d09952fcd9626a8c4c7c325e00c7f6febdc41bf004285919d6bfaa0a"),
+    ("GPL-2.0", "ddaa86ecaccd4e34457b7bf4dc7686fa86c10d64951e30e8968efc41b4fba4f1"),
+    ("GPL-2.0", "c2043b33557c653c50c7526295a77726952cb3ecaffc4bfd33a9d0bd36a4fb38"),
+    ("GPL-3.0", "68ca42869e9a3e25843be66c6f296ce2b1f3629ac71d77465db0636dc8781c06"),
+    ("GPL-3.0", "71ebfd10fca4514433d163174bf2f5e27e4829ad059834ac56dae1098f4ebe49"),
+    ("GPL-3.0", "df20d6920a2688bef2bb6fb95fc7472aa40799a7027c0ce468190c67658a9656"),
+    ("LGPL-2.0", "1862ecc2c3c5e3b9e88481e95603c88e089c43e9d5702b2ec01391491b606a9e"),
+    ("LGPL-2.0", "b927da98cda221c8fbc56dfd2b6b2e80f6df686482d12dbac6b79da1ce6bb98a"),
+    ("LGPL-2.0", "e29dcc167f8a363847b3c4b0a7ced67d7a2bb7b9112a3311b6877a9c0570d635"),
+    ("LGPL-2.1", "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
+    ("LGPL-2.1", "2a9689b90bf823adea3df9024818d21d6041c74f3f12ab46ac5ac4d86f654b2e"),
+    ("LGPL-2.1", "2858f5a00f6672bd47f63b69b9bf4e1bc31f3541b08a5a263e59d9b384f72fdc"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "2ccf6e5e40827e08f861c75b089d4ee0714ef61b39cfbbccc919708ff48113bd"),
+    ("MPL-2.0", "2ae5d4417f09cff2e3412d0e35c4ee2439f6c18ca69d7d9cc799b33614c368a5"),
+]
+
 # Words that follow "copyright" in a sentence; any other begins a holder's name.
-IN_SENTENCES = """act and are as at attribution claim claims disclaimer disclaimers for grant grants holder holders in
+IN_SENTENCES = """act and are as at attribution claim claims disclaimer disclaimers doctrine doctrines for grant grants holder holders if in
 information infringement interest interests is it law laws legend legends licence licences license licenses line lines management
 may message messages mark marks notice notices of on or owner owners ownership patent patents permission permissions protection
-protections relinquishment right rights shall statement statements status term terms that to treaties treaty which with""".split()
+protections relinquishment resulting right rights shall statement statements status term terms that to treaties treaty which with""".split()
 
 
 def other_word(words: list[str], ends: tuple[str, ...] = (r"[^\x00-\x7f]",)) -> str:
@@ -166,36 +198,73 @@ def other_word(words: list[str], ends: tuple[str, ...] = (r"[^\x00-\x7f]",)) ->
 
 
 # Copyright lines, and whatever isn't a letter or digit; both in the syntax common to engines.  A
-# line that begins with the word copyright is one if a sign, a year or a holder follows.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright[ \t]*:?[ \t]*(\(c\)|©|&copy;|[0-9<\[{])|copyright([ \t]+|[ \t]*:[ \t]*)" + other_word(IN_SENTENCES) + r"|\(c\)|©|all rights reserved)[^\n]*"
+# line that begins with the word copyright is one if a sign, a year or a holder follows; one that
+# begins with (c) only if it has a year or the word, since clauses are lettered too.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t#*/;-]*((copyright[ \t]*:?[ \t]*(\(c\)|©|&copy;|[0-9<\[{])"
+    r"|copyright([ \t]+|[ \t]*:[ \t]*)" + other_word(IN_SENTENCES) + r"|©|&copy;"
+    r"|\(c\)[ \t]*(copyright|[0-9<\[{]|[^\n]*[^0-9\n](19|20)[0-9][0-9]([^0-9]|$)))[^\n]*"
+    r"|all rights reserved)"
+)
 OTHER = r"[^\p{L}\p{N}]+"
+#: What must be in a lower-case text for COPYRIGHT_LINE to find anything.
+_SIGNS = ("copyright", "(c)", "©", "&copy;", "all rights reserved")
+
+
+def any_of(words: list[str]) -> str:
+    """Pattern for any of some words, letter by letter, so that most places fail at once."""
+    after: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    inner = "|".join(c + any_of(rest) for c, rest in sorted(after.items()))
+    return f"(?:{inner})?" if "" in words and inner else f"(?:{inner})" if len(after) > 1 else inner
+
+
+_SPELT = f" {any_of([a.replace(' ', '  ') for a, _ in EQUIVALENT])} "
+
+
+def _bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once, however often use names it."""
+    return F.transform(F.array(c), use)[0]
 
 
 def canonical(text: Column) -> Column:
     """Canonical form: lower case, no copyright lines, one blank for each run of anything but
-    letters and digits, equivalent spellings made one."""
-    c = F.lower(F.coalesce(text, F.lit("")))
-    c = F.regexp_replace(c, COPYRIGHT_LINE, " ")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, OTHER, " ")), F.lit(" "))
-    spelt = c
-    for a, b in EQUIVALENT:
-        spelt = F.replace(spelt, F.lit(f" {a} "), F.lit(f" {b} "))
-    # few texts hold any of the spellings: one look decides
-    return F.trim(F.when(c.rlike("|".join(f" {a} " for a, _ in EQUIVALENT)), spelt).otherwise(c))
+    letters and digits, equivalent spellings made one.
+
+    Words stand between blanks of their own, so that neighbours are respelt alike."""
+
+    def respelt(c: Column) -> Column:
+        out = F.concat(F.lit(" "), c, F.lit(" "))
+        for a, b in EQUIVALENT:
+            out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+        # few texts hold any of the spellings: one look decides
+        return F.trim(F.replace(F.when(F.concat(F.lit(" "), c, F.lit(" ")).rlike(_SPELT), out).otherwise(c), F.lit("  "), F.lit(" ")))
+
+    def without_lines(c: Column) -> Column:
+        signs = [F.contains(c, F.lit(x)) for x in _SIGNS]
+        return F.when(reduce(lambda a, b: a | b, signs), F.regexp_replace(c, COPYRIGHT_LINE, " ")).otherwise(c)
+
+    c = _bound(F.lower(F.coalesce(text, F.lit(""))), without_lines)
+    return _bound(F.trim(F.regexp_replace(c, OTHER, "  ")), respelt)
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(digest, license) of the canonical texts above; its size is that of the list."""
-    rows = spark.createDataFrame(KNOWN, "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """(digest, license) of the texts and digests above; its size is that of the lists."""
+    rows = spark.createDataFrame(KNOWN, "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
+    rows = rows.unionByName(spark.createDataFrame(DIGESTS, "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """docs (doc_id, text) as doc_id, canonical_chars, digest, license (null: none)."""
-    known = F.broadcast(known_licenses(docs.sparkSession)) if known is None else known
-    own = docs.select("doc_id", canonical(F.col("text")).alias("_c")).select(
-        "doc_id", F.length("_c").cast("long").alias("canonical_chars"), F.when(F.length("_c") > 0, F.sha2("_c", 256)).alias("digest")
-    )
+    """docs (doc_id, text) as doc_id, canonical_chars, digest, license (null: none).
+
+    ``known`` (digest, license) may be any table of canonical digests in place of the list; it is
+    broadcast only if Spark knows it to be small."""
+    known = F.broadcast(known_licenses(docs.sparkSession)) if known is None else known.select("digest", "license")
+    form = _bound(canonical(F.col("text")), lambda c: F.struct(F.length(c).cast("long").alias("n"), F.when(F.length(c) > 0, F.sha2(c, 256)).alias("d")))
+    own = docs.select("doc_id", form.alias("_f")).select("doc_id", F.col("_f.n").alias("canonical_chars"), F.col("_f.d").alias("digest"))
     return own.join(known, "digest", "left").select("doc_id", "canonical_chars", "digest", "license")
 
 
@@ -207,14 +276,15 @@ def oracle() -> str:
 
     def form(c: str) -> str:
         c = f"regexp_replace(lower(coalesce({c}, '')), {text(COPYRIGHT_LINE)}, ' ', 'g')"
-        c = f"' ' || trim(regexp_replace({c}, {text(OTHER)}, ' ', 'g')) || ' '"
+        c = f"' ' || trim(regexp_replace({c}, {text(OTHER)}, '  ', 'g')) || ' '"
         for a, b in EQUIVALENT:
-            c = f"replace({c}, ' {a} ', ' {b} ')"
-        return f"trim({c})"
+            c = f"replace({c}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"trim(replace({c}, '  ', ' '))"
 
     rows = ", ".join(f"({text(a)}, {text(b)})" for a, b in KNOWN)
+    digests = ", ".join(f"({text(a)}, {text(b)})" for a, b in DIGESTS)
     return f"""
-WITH known AS (SELECT sha256({form('t')}) AS digest, min(l) AS license FROM (VALUES {rows}) v(l, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(l) AS license FROM (SELECT sha256({form('t')}) AS digest, l FROM (VALUES {rows}) v(l, t) UNION ALL SELECT d, l FROM (VALUES {digests}) v(l, d)) GROUP BY 1),
 own AS (SELECT doc_id, {form('text')} AS c FROM documents),
 d AS (SELECT doc_id, CAST(length(c) AS BIGINT) AS canonical_chars, CASE WHEN length(c) > 0 THEN sha256(c) END AS digest FROM own)
 SELECT doc_id, canonical_chars, d.digest, license FROM d LEFT JOIN known k ON d.digest = k.digest"""

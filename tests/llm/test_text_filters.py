@@ -135,6 +135,36 @@ def test_usual_license_files(spark):
     assert [got[i] for i in range(len(files))] == [n for n, _ in files]
 
 
+def test_neighbouring_spellings_and_lettered_clauses(spark):
+    texts = ["licence licence organisation licence", "license license organization license", "the copyright holder copyright holder", "the copyright owner copyright owner",
+             "(a) keep this\n(c) You must retain the notices\n", "(a) keep this\n", "(a) keep this\n(c) 2020 Someone\n(c) Someone, 2019-2021\n", "Terms. All rights reserved. More terms",
+             "All rights reserved. More terms", "More terms"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    d = {r.doc_id: r.digest for r in licenses.scan(df).collect()}
+    assert d[0] == d[1] and d[2] == d[3] and d[4] != d[5] and d[5] == d[6] and d[8] == d[9] and d[7] != d[9]
+
+
+def test_whole_licenses_of_the_system(spark):
+    """Long licences, as they are and wrapped anew, if this machine has their texts."""
+    import os
+    import re
+    import textwrap
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    files = [(n, open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read()) for f, n in names.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    if not files:
+        pytest.skip("no licence texts here")
+
+    def wrapped(t, w):  # lines that name a copyright stay lines of their own
+        parts = re.split(r"(?im)(^[ \t]*(?:copyright|\(c\)).*$)", t)
+        return "\n".join(x if i % 2 else "\n".join(textwrap.fill(p, w, break_on_hyphens=False) for p in re.split(r"\n\s*\n", x)) for i, x in enumerate(parts))
+
+    rows = [(n, v) for n, t in files for v in (t, wrapped(t, 72), wrapped(re.sub(r"\bLICENSE\b", "LICENCE", t.upper()), 100))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
 def test_native_plans_run_no_python(spark):
     for name in ("op8_url_filter", "op10_license_scan"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
