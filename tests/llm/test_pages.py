@@ -83,6 +83,29 @@ def test_copies_delete_nothing(spark):
     assert [r.text for r in got] == ["one\ntwo\nthree"] * 4
 
 
+def test_copies_are_compared_with_other_pages(spark):
+    page = lambda k: f"<p>Menu one<p>Menu two<p>Menu three<p>Menu four<p>Menu five<p>Menu six<p>Story {k}<p>told by {k}<p>for {k}"
+    rows = [(i, "http://h.test/a", page(0)) for i in range(5)] + [(9, "http://h.test/b", page(1))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_diff.extract(df).collect()}
+    assert len(got) == 6 and all(got[i] == "Story 0\ntold by 0\nfor 0" for i in range(5)) and got[9] == "Story 1\ntold by 1\nfor 1"
+    whole = {r.page_id: r.text for r in html_diff.extract(df, differencing=False).collect()}
+    assert all(whole[k].startswith("Menu one") for k in whole)
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for html in ("<a " * 1_700_000, "<a '" * 1_250_000, "<div>" * 500_000 + "</b>" * 500_000, "<!" * 2_500_000, "<script></script" * 300_000, "</p><p class='" * 300_000, "<a b=\"c>" * 500_000):
+        began = time.perf_counter()
+        html_diff.blocks(html)
+        assert time.perf_counter() - began < 15, html[:20]
+    began = time.perf_counter()
+    same = ["x"] * 20_000
+    assert sum(html_diff.common_lines(same + ["y"] * 20_000, ["z"] + same + ["y"])) == 20_001
+    assert time.perf_counter() - began < 10
+
+
 def test_differencing_decides_outside_articles(spark):
     page = lambda k: f"<p>Welcome to the site<article><p>Teaser {k}<p>Quoted by all</article><p>Body {k} told here<p>More of {k}<p>All rights with us"
     rows = [(i, f"http://h.test/news/{i}", page(i)) for i in range(4)]
