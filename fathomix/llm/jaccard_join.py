@@ -19,8 +19,8 @@ num/den of each other meets in some region.  Pivots of two kinds are used, one a
    visits the regions of all pivots within 2e, and those are the only replicas.  Members that are
    within e of no pivot stay together and are worked on again with pivots of their own.
 
-Regions whose members are one component are closed.  A region ends as a leaf when it is small, is a
-Voronoi region, or when its pivots have no other member near.  A leaf of more than ``split``
+Regions whose members are one component are closed.  Voronoi regions are leaves, compared at once.
+Another region ends as a leaf when it is small or when its pivots have no other member near.  A leaf of more than ``split``
 members is divided by the members' next shared shingle first: two that link and share the
 region's shingle share another one within windows longer by one.  In a leaf, members at home are
 compared with all others of other components, if positions, sizes, distances to the pivot (they
@@ -307,8 +307,10 @@ class JaccardJoin:
             # pivots have met all members of their regions and leave
             rest = here.join(pivots.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti").select(*names)
             cells, far = self.voronoi(rest, distances, pivots, several)
-            cells = materialise(cells, "cells")
-            leaves.append(cells)
+            cells = materialise(self._open(cells, labels), "cells")
+            if not cells.isEmpty():  # at once: what links there closes regions of the others
+                found.append(self._distances(self._near(self._pairs(cells), bits, self.num), docs).filter("linked").select("a", "b"))
+                labels = self._labels(found)
             # where pivots had no member near, others would hardly have any
             alone = pivots.select("key").distinct().join(rest.join(pivots, "key").join(distances.filter("linked").select(F.col("a").alias("id"), "b"), ["id", "b"]).select("key").distinct(), "key", "left_anti")
             far = materialise(far.join(alone.withColumn("_alone", F.lit(True)), "key", "left"), "far")
