@@ -3,9 +3,9 @@
 Documents are encoded and measured where they are read; from then on only lengths move.  Pieces
 are dealt into groups of bounded size, each packed in one task: best-fit decreasing first, then
 local search that empties the emptiest bins by moving documents, exchanging one for one, or two
-for one, whenever that increases the sum of squared fills.  Pieces of bins that stay underfull
-go on to a further round with fewer groups, until one group of bounded size is left, so the
-number of underfull bins doesn't grow with the number of groups.
+for one, whenever that increases the sum of squared fills, to a local optimum.  Pieces of bins
+with room left are dealt anew and packed again in further rounds, so the number of underfull bins
+doesn't grow with the number of groups.
 
 Defined cases: a null text is empty and still has its end id; a null doc_id is kept as null;
 repeated rows are documents of their own; an empty table gives no rows; further columns are
@@ -73,64 +73,70 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], sizes: list[int], room: int) -> tuple[tuple[int, ...], tuple[int, ...], int]:
-    """The items of give and of take whose exchange fills take best within room; gain 0: none."""
-    best: tuple[tuple[int, ...], tuple[int, ...], int] = ((), (), 0)
-    for x, a in enumerate(give):
-        for other in ((), *((b,) for b in give[x + 1 :])):
-            out = sizes[a] + sum(sizes[i] for i in other)
-            if best[2] < out <= room:
-                best = ((a, *other), (), out)
-            for y, c in enumerate(take):
-                gain = out - sizes[c]
-                if best[2] < gain <= room:
-                    best = ((a, *other), (c,), gain)
-                if other or gain <= best[2]:
-                    continue
-                for d in take[y + 1 :]:
-                    if best[2] < gain - sizes[d] <= room:
-                        best = ((a,), (c, d), gain - sizes[d])
-            if best[2] == room:
-                return best
-    return best
-
-
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = 3, work: int = 4_000_000) -> list[list[int]]:
-    """Empty the emptiest bins into the others' room.
-
-    Every exchange moves ids from an emptier bin to a fuller one, so the sum of squared fills
-    grows and the search ends.  Passes over the bins follow one another while they move anything.
-    It stops at the lower bound ceil(total / capacity), when the room left can't hold the
-    emptiest bin, or after ``work`` looked-at pairs; a pass ends after ``patience`` bins in a row
-    that gave nothing away.  Every state is a valid packing.
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Empty the emptiest bins into the others' room, to a local optimum.
+
+    From the emptiest bin up, each bin gives to fuller ones by moving an item, exchanging one for
+    one, two for one or one for two, always the exchange that shifts most of all open bins.  Each
+    moves ids from an emptier bin to a fuller one, so the sum of squared fills grows and the search
+    ends: when a whole pass finds no exchange, or when the bins are as few as their total allows.
+    Every state is a valid packing.
     """
     bins = [b for b in bins if b]
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive, moved = len(bins), True
-    while moved and alive > least and work > 0:
-        moved, failures = False, 0
-        open_ = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
-        room = sum(capacity - fill[k] for k in open_)
-        for k in open_:
-            if alive <= least or failures >= patience or work <= 0 or room - (capacity - fill[k]) < fill[k]:
+    size = np.array(sizes, np.int64)
+    fill = np.array([size[b].sum() for b in bins], np.int64)
+    alive, least = len(bins), -(-int(fill.sum()) // capacity)
+    if alive <= least:
+        return bins
+    owner = np.zeros(len(size), np.int64)
+    for k, b in enumerate(bins):
+        owner[b] = k
+    moved = True
+    while moved and alive > least:
+        moved = False
+        open_ = np.flatnonzero((fill < capacity) & (fill > 0))
+        open_ = open_[np.argsort(fill[open_], kind="stable")]
+        items = np.concatenate([np.array(bins[k], np.int64) for k in open_])
+        pairs = [np.triu_indices(len(bins[k]), 1) for k in open_]
+        one = np.concatenate([np.array(bins[k], np.int64)[p[0]] for k, p in zip(open_, pairs)])
+        two = np.concatenate([np.array(bins[k], np.int64)[p[1]] for k, p in zip(open_, pairs)])
+        for k in open_.tolist():
+            if alive <= least:
                 break
-            before = fill[k]
-            for o in reversed(open_) if fill[k] else ():  # fullest first, they gain most
-                while o != k and bins[k] and bins[o] and fill[k] <= fill[o] < capacity:
-                    work -= len(bins[k]) ** 2 * (1 + len(bins[o])) + len(bins[k]) * len(bins[o]) ** 2
-                    out, back, gain = _exchange(bins[k], bins[o], sizes, capacity - fill[o])
-                    if not gain:
-                        break
-                    bins[k] = [i for i in bins[k] if i not in out] + list(back)
-                    bins[o] = [i for i in bins[o] if i not in back] + list(out)
-                    fill[k], fill[o] = fill[k] - gain, fill[o] + gain
-                if not bins[k] or work <= 0:
+            while bins[k]:
+                # what other open bins, at least as full, can take: nothing, one item or two
+                own = np.array(bins[k], np.int64)
+                room = np.where((fill >= fill[k]) & (fill > 0), capacity - fill, 0)
+                room[k] = 0
+                gives = [(x,) for x in own.tolist()] + [(int(own[x]), int(own[y])) for x, y in zip(*np.triu_indices(len(own), 1))]
+                low = room[open_]
+                item_room, item_size = room[owner[items]], size[items]
+                pair_room = np.where(owner[one] == owner[two], room[owner[one]], 0)
+                pair_size = size[one] + size[two]
+                best, gain = None, 0
+                for give in gives:
+                    out = int(size[list(give)].sum())
+                    if gain < out <= low.max(initial=0):
+                        fits = np.flatnonzero(low >= out)
+                        best, gain = (give, (), int(open_[fits[low[fits].argmin()]])), out
+                    for take_room, take_size, kind in ((item_room, item_size, 1), (pair_room, pair_size, 2))[: 3 - len(give)]:
+                        shift = out - take_size
+                        ok = np.where((shift > gain) & (shift <= take_room), shift, 0)
+                        at = int(ok.argmax()) if len(ok) else 0
+                        if len(ok) and ok[at]:
+                            take = (int(items[at]),) if kind == 1 else (int(one[at]), int(two[at]))
+                            best, gain = (give, take, int(owner[take[0]])), int(ok[at])
+                if best is None:
                     break
-            moved |= fill[k] != before
-            if not bins[k]:
-                alive, room = alive - 1, room - capacity
-            failures = failures + 1 if fill[k] == before else 0
+                give, take, o = best
+                bins[k] = [i for i in bins[k] if i not in give] + list(take)
+                bins[o] = [i for i in bins[o] if i not in take] + list(give)
+                owner[list(give)] = o
+                owner[list(take)] = k
+                fill[k] -= gain
+                fill[o] += gain
+                moved = True
+            alive -= not bins[k]
     return [b for b in bins if b]
 
 
@@ -139,8 +145,8 @@ def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
     return local_search(best_fit(sizes, capacity), sizes, capacity)
 
 
-def _packer(names: list[str], capacity: int, settled: float, last: bool, base: int) -> Callable[[pa.Table], pa.Table]:
-    """What packs one group: its rows with sequence_id, offset, and whether they go on."""
+def _packer(names: list[str], capacity: int, base: int) -> Callable[[pa.Table], pa.Table]:
+    """What packs one group: its rows with sequence_id, offset, and whether the bin has room."""
 
     def one(t: pa.Table) -> pa.Table:
         sizes = t["length"].to_pylist()
@@ -151,7 +157,7 @@ def _packer(names: list[str], capacity: int, settled: float, last: bool, base: i
             for i in items:
                 seq[i], off[i] = first + k, at
                 at += sizes[i]
-            open_[items] = not last and at < settled * capacity
+            open_[items] = at < capacity
         out = t.select(names)
         for name, v in (("sequence_id", seq), ("offset", off), ("_open", open_)):
             out = out.append_column(name, pa.array(v))
@@ -160,32 +166,34 @@ def _packer(names: list[str], capacity: int, settled: float, last: bool, base: i
     return one
 
 
-def pack(pieces: DataFrame, capacity: int, group_rows: int = 16_384, settled: float = 0.97) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, group_rows: int = 8192, least_gain: float = 0.001) -> DataFrame:
     """Give each row of pieces (any columns with a ``length`` up to capacity) a sequence_id and
     an offset.
 
-    ``group_rows`` bounds what one task packs.  Bins filled to ``settled`` of the capacity are
-    final; the others' pieces meet again in the next round, unless that no longer makes them
-    fewer than half.
+    ``group_rows`` bounds what one task packs.  Pieces of bins with room left are dealt into new
+    groups and packed again, until they were one group or a round saved less than ``least_gain`` of
+    their sequences; a round that saves none isn't kept.
     """
     spark = pieces.sparkSession
     names = pieces.columns
-    todo, done, rows, round_ = materialise(pieces, "pieces"), [], None, 0
     schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("_open")).schema
-    while True:
-        n = todo.count()
-        if not n:
+    done, todo, placed, bins, round_ = [], materialise(pieces, "pieces"), None, None, 0
+    while n := todo.count():
+        groups = max(1, -(-n // group_rows))
+        group = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups))
+        fresh = todo.select(*names).withColumn("_group", group).groupBy("_group").applyInArrow(_packer(names, capacity, round_ << 56), schema)
+        fresh = materialise(fresh, "packed")
+        now = fresh.select("sequence_id").distinct().count()
+        if placed is not None and now >= bins:
+            done.append(placed.filter("_open").drop("_open"))
             break
-        last = rows is not None and n > rows // 2
-        groups, rows = max(1, -(-n // group_rows)), n
-        last, base = last or groups == 1, round_ << 56
-
-        placed = todo.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        placed = materialise(placed.groupBy("_group").applyInArrow(_packer(names, capacity, settled, last, base), schema), "packed")
-        done.append(placed.filter(~F.col("_open")).drop("_open"))
-        if last:
+        saved, placed = None if bins is None else (bins - now) / bins, fresh
+        if groups == 1 or (saved is not None and saved < least_gain):
+            done.append(placed.drop("_open"))
             break
-        todo, round_ = placed.filter("_open").select(*names), round_ + 1
+        done.append(placed.filter(~F.col("_open")).drop("_open"))
+        todo, round_ = placed.filter("_open"), round_ + 1
+        bins = todo.select("sequence_id").distinct().count()
     if not done:
         return spark.createDataFrame([], schema).drop("_open")
     return reduce(DataFrame.unionByName, done)
