@@ -166,3 +166,8 @@ def shoulder(x: Num, strength: Num, threshold: Num) -> Column:
 
 def gamma(x: Num, g: Num) -> Column:
     return F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c(x))), 1.0 / c(g))
+
+
+def across_angle(y: Num, z: Num, y_rx: Num, z_rx: Num) -> Column:
+    """Angle of a detection across the track as its receiver sees it, in degrees."""
+    return F.degrees(F.atan2(c(y) - c(y_rx), c(z) - c(z_rx)))

@@ -232,3 +232,29 @@ def beam_direction(tx: Num, rx: Num, delta: Num) -> tuple[Column, Column]:
     x, y = F.sin(t), F.sin(t) * F.tan(d) - F.sin(r) / F.cos(d)
     flat = F.sqrt(x * x + y * y)
     return F.degrees(F.atan2(flat, F.sqrt(F.greatest(F.lit(0.0), 1.0 - x * x - y * y)))), F.degrees(F.atan2(y, x))
+
+
+def cell_count(low: Num, high: Num, step: float) -> Column:
+    """Rows or columns of an extent: the ceiling of its length, rounded to ten digits, in steps."""
+    return F.ceil(F.round((c(high) - c(low)) / step, 10))
+
+
+def crosses_antimeridian(left: Num, right: Num) -> Column:
+    """Whether the box is smaller the other way round."""
+    return c(left) - c(right) + 360.0 < c(right) - c(left)
+
+
+def rounded_resolution(metres: Num) -> Column:
+    """10 m from 100 on, 1 m from 10 on, else 0.01 m; halves to even."""
+    m = c(metres)
+    return F.when(m >= 100, F.rint(m / 10) * 10).when(m >= 10, F.rint(m)).otherwise(F.rint(m / 0.01) * 0.01)
+
+
+def quadratic_roots(a: Num, b: Num, cc: Num) -> tuple[Column, Column]:
+    """Real roots of a x^2 + b x + c, the smaller first; null where there is none.  With a (almost)
+    zero the one root comes first."""
+    a, b, cc = c(a), c(b), c(cc)
+    d = b * b - 4 * a * cc
+    one, two = (-b - F.sqrt(d)) / (2 * a), (-b + F.sqrt(d)) / (2 * a)
+    flat = F.abs(a) < 1e-12
+    return F.when(flat, -cc / F.nullif(b, F.lit(0.0))).when(d >= 0, F.least(one, two)), F.when(~flat & (d >= 0), F.greatest(one, two))

@@ -134,3 +134,8 @@ def array_histogram(values: Column, lo: float, hi: float, n: int) -> Column:
     width = (hi - lo) / n
     at = lambda x: F.least(F.floor((x - lo) / width), F.lit(n - 1))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter(values, lambda x: x.between(lo, hi) & (at(x) == i))))
+
+
+def json_key(text: Num, key: str, kind: str = "string") -> Column:
+    """A top-level key of a JSON text; null if the text is no JSON or lacks it."""
+    return F.get_json_object(c(text), f"$.{key}").cast(kind)

@@ -29,6 +29,13 @@ def merge_curves(curves: DataFrame, keys: list[str], value: str = "mean_db") ->
     return curves.groupBy(*keys).agg((F.sum(F.col(value) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias(value), F.sum("n").alias("n"))
 
 
+def merge_values(curves: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Several values of the curves of several files as one, each weighted by the counts of the
+    curves that have it."""
+    mean = lambda v: (F.sum(F.col(v) * F.col("n")) / F.nullif(F.sum(F.when(F.col(v).isNotNull(), F.col("n"))), F.lit(0))).alias(v)
+    return curves.groupBy(*keys).agg(*map(mean, values), F.sum("n").alias("n"))
+
+
 def reference_level(curves: DataFrame, value: str = "mean_db") -> DataFrame:
     """Count-weighted mean of all levels, as levels."""
     return curves.agg((F.sum(F.col(value) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("level"))

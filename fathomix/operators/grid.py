@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions._cols import Num, c
@@ -44,6 +44,54 @@ def keep_last(points: DataFrame, value: Num, order: list[Num], keys: list[str] =
     return points.groupBy(*keys).agg((factor * F.max_by(v, F.when(v.isNotNull(), F.struct(*(c(o) for o in order))))).alias("last")).filter("last is not null")
 
 
+def cell_deviation(points: DataFrame, value: Num, keys: list[str] = CELL) -> DataFrame:
+    """Population deviation of each cell, in one pass (a pooled sum of squares); 0 for one value."""
+    return points.groupBy(*keys).agg(F.stddev_pop(c(value)).alias("stdev"))
+
+
+def cell_extremes(points: DataFrame, value: Num, keys: list[str] = CELL) -> DataFrame:
+    """Least and greatest value of each cell; nulls don't count."""
+    return points.groupBy(*keys).agg(F.min(c(value)).alias("min"), F.max(c(value)).alias("max"))
+
+
+def last_label(points: DataFrame, label: Num, order: list[Num], keys: list[str] = CELL, name: str = "cdi") -> DataFrame:
+    """The label of each cell's last point in a total order."""
+    return points.groupBy(*keys).agg(F.max_by(c(label), F.struct(*(c(o) for o in order))).alias(name))
+
+
+def axis_resolution(points: DataFrame, axis: str, keys: list[str]) -> DataFrame:
+    """Least and median step between neighbouring distinct positions, by keys; null for one."""
+    w = Window.partitionBy(*keys).orderBy(axis)
+    steps = points.select(axis, *keys).distinct().withColumn("_d", F.nullif(F.col(axis) - F.lag(axis).over(w), F.lit(0.0)))
+    return steps.groupBy(*keys).agg(F.min(F.abs("_d")).alias("least"), F.percentile("_d", F.lit(0.5)).alias("median"))
+
+
+def nearest_cell(grid: DataFrame, row: float, col: float) -> DataFrame:
+    """The cell nearest to a place in grid coordinates; of equals the first by row, then column.
+    An aggregate with map-side minima; an empty grid gives one row of nulls."""
+    d = F.pow(F.col("row") - row, F.lit(2.0)) + F.pow(F.col("col") - col, F.lit(2.0))
+    best = grid.agg(F.min_by(F.struct(*grid.columns), F.struct(d, "row", "col")).alias("_k"))
+    return best.select("_k.*")
+
+
+def crop(grid: DataFrame, inside: Column) -> DataFrame:
+    """The cells inside a mask, numbered from the corner of the smallest box that holds them.
+
+    The box is one aggregated row; it is joined to every cell."""
+    kept = grid.filter(inside)
+    box = kept.agg(F.min("row").alias("_r0"), F.min("col").alias("_c0"))
+    return kept.crossJoin(F.broadcast(box)).withColumns({"row": F.col("row") - F.col("_r0"), "col": F.col("col") - F.col("_c0")}).drop("_r0", "_c0")
+
+
+def grid_points(points: DataFrame, spec, value: str, order: list[Num], how: str = "last") -> DataFrame:
+    """Points (x, y) on the grid of a GridSpec: ``last`` value of each cell in a total order, or its
+    ``mean``; points outside it and missing values don't count."""
+    row, col = spec.cell("x", "y")
+    p = points.withColumns({"row": row, "col": col}).filter(F.col("row").isNotNull() & F.col(value).isNotNull())
+    v = F.max_by(value, F.struct(*(c(o) for o in order))) if how == "last" else F.avg(value)
+    return p.groupBy(*CELL).agg(v.alias(value), F.count("*").alias("value_count"))
+
+
 def extent(points: DataFrame, x: Num, y: Num, keys: list[str] = ()) -> DataFrame:
     """Bounding box, of all points or by keys."""
     return points.groupBy(*keys).agg(F.min(c(x)).alias("west"), F.max(c(x)).alias("east"), F.min(c(y)).alias("south"), F.max(c(y)).alias("north"))

@@ -73,3 +73,8 @@ def seeded_sample(rows: DataFrame, keys: list[str], id_: str, n: int, seed: int
     """n rows per key in an order fixed by a hash; a sampling operator."""
     w = Window.partitionBy(*keys).orderBy(F.xxhash64(id_, F.lit(seed)), id_)
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def distances(x: Num, y: Num, z: Num, transducer: Num, scale: float = 1.0) -> tuple[Column, Column, Column]:
+    """Along and across distance, and depth below the transducer; ``scale`` is that of x."""
+    return c(x) * scale, c(y) * 1.0, c(z) - c(transducer)

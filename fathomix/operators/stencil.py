@@ -40,6 +40,14 @@ def convolve(grid: DataFrame, layer: str, kernel: list[list[float]], normalise:
     return (out.filter("_own") if preserve_missing else out).drop("_own")
 
 
+def smooth(grid: DataFrame, kernel: str, layer: str = "mean") -> DataFrame:
+    """A layer smoothed by a named kernel over present cells; min and max are widened where the
+    smoothed value leaves them.  Missing cells stay missing."""
+    new = convolve(grid, layer, [[float(w) for w in row] for row in KERNELS[kernel]]).withColumnRenamed(layer, "_new")
+    out = grid.join(new, CELL, "left")
+    return out.withColumns({layer: F.col("_new"), "min": F.least("min", "_new"), "max": F.greatest("max", "_new")}).drop("_new")
+
+
 def box_mean(grid: DataFrame, layer: str, size: int, mask: Column | None = None) -> DataFrame:
     """Mean of present cells in an odd window, where the mask holds; other cells unchanged."""
     means = convolve(grid, layer, [[1.0] * size] * size).withColumnRenamed(layer, "_m")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import functions_q, grid_q, io_q, series_q, solver_q, streaming_q, track_q  # noqa: F401  they register themselves
+from . import functions_q, grid_q, io_q, series_q, solver_q, streaming_q, survey_q, track_q  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "a01_grid_statistics"

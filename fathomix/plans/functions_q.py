@@ -196,7 +196,7 @@ def f48(spark, sf):
 
 @query("f49_json_keys", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def f49(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return table(spark, sf, "events").select("event_id", text.json_key("props", "k", "long").alias("k"))
 
 
 @query("s38_f50_array_histogram", """WITH x AS (SELECT vec_id, unnest(embedding) AS v FROM embeddings), b AS (SELECT vec_id, CAST(least(floor((v + 1) / 0.25), 7) AS INTEGER) AS bin FROM x WHERE v BETWEEN -1 AND 1)
@@ -214,7 +214,7 @@ def s08(spark, sf):
 
 @query("s09_across_angle", f"""WITH {DET} SELECT ok, ln, p, round(CASE WHEN antenna - 2 >= 0 THEN degrees(atan2(px / 10.0 - antenna, -z - 1)) END, 4) AS across FROM det""")
 def s09(spark, sf):
-    a = F.when(F.col("antenna") - 2 >= 0, F.degrees(F.atan2(F.col("px") / 10.0 - F.col("antenna"), -F.col("z") - 1)))
+    a = F.when(F.col("antenna") - 2 >= 0, ac.across_angle(F.col("px") / 10.0, -F.col("z"), F.col("antenna"), 1))
     return detections(spark, sf).select(*_KEY, F.round(a, 4).alias("across"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import acoustics as ac
 from ..operators import grid as g
+from ..operators import records as rc
 from ..operators import stencil as st
 from .bind import DET, GRID, GRIDS, ORDER, detections, grid, grids, r, rs
 from .registry import query
@@ -36,12 +37,12 @@ def a03(spark, sf):
 
 @query("a04_cell_deviation", f"""WITH {DET} SELECT "row", col, round(stddev_pop(z), 4) AS stdev FROM det GROUP BY ALL""")
 def a04(spark, sf):
-    return detections(spark, sf).groupBy("row", "col").agg(F.round(F.stddev_pop("z"), 4).alias("stdev"))
+    return g.cell_deviation(detections(spark, sf), "z").select("row", "col", F.round("stdev", 4).alias("stdev"))
 
 
 @query("a05_cell_extremes", f"""WITH {DET} SELECT "row", col, min(z) AS min, max(z) AS max FROM det GROUP BY ALL""")
 def a05(spark, sf):
-    return detections(spark, sf).groupBy("row", "col").agg(F.min("z").alias("min"), F.max("z").alias("max"))
+    return g.cell_extremes(detections(spark, sf), "z")
 
 
 @query("a06_oblique_weighted_level", f"""WITH {DET}, x AS (SELECT *, exp(-0.5 * power((angle - 45) / 15, 2)) AS ow FROM det)
@@ -63,8 +64,7 @@ def a07(spark, sf):
 
 @query("a10_last_label", f"""WITH {DET} SELECT "row", col, last('CDI:' || mode || sector ORDER BY t, ok, ln, p) AS cdi FROM det GROUP BY ALL""")
 def a10(spark, sf):
-    d = detections(spark, sf)
-    return d.groupBy("row", "col").agg(F.max_by(F.concat(F.lit("CDI:"), "mode", "sector"), F.struct(*ORDER)).alias("cdi"))
+    return g.last_label(detections(spark, sf), F.concat(F.lit("CDI:"), "mode", "sector"), ORDER)
 
 
 @query("a11_merge_mean", f"""WITH {GRIDS} SELECT "row", col, round(avg(mean), 4) AS mean FROM grids GROUP BY ALL""")
@@ -144,12 +144,7 @@ def a35(spark, sf):
 @query("a36_resolution", """WITH x AS (SELECT DISTINCT l_extendedprice AS p, l_suppkey AS s FROM lineitem), d AS (SELECT s, p - lag(p) OVER (PARTITION BY s ORDER BY p) AS d FROM x)
 SELECT s AS sy, round(min(nullif(abs(d), 0)), 4) AS least, round(quantile_cont(nullif(d, 0), 0.5), 4) AS median FROM d GROUP BY ALL""")
 def a36(spark, sf):
-    from pyspark.sql import Window
-
-    x = detections(spark, sf).select("p", "sy").distinct()
-    d = x.withColumn("d", F.col("p") - F.lag("p").over(Window.partitionBy("sy").orderBy("p")))
-    d = d.withColumn("d", F.nullif("d", F.lit(0.0)))
-    return d.groupBy("sy").agg(F.round(F.min(F.abs("d")), 4).alias("least"), F.round(F.percentile("d", F.lit(0.5)), 4).alias("median"))
+    return g.axis_resolution(detections(spark, sf), "p", ["sy"]).select("sy", *r("least", "median"))
 
 
 @query("a51_block_mean", f"""WITH {GRID} SELECT CAST(floor("row" / 3) AS INTEGER) AS "row", CAST(floor(col / 3) AS INTEGER) AS col, round(avg(mean), 4) AS mean
@@ -189,7 +184,7 @@ def p05(spark, sf):
 
 @query("p06_set_where", f"""WITH {GRID} SELECT "row", col, CASE WHEN "row" < 5 AND cdi = 'c1' THEN 'set' ELSE cdi END AS cdi FROM grid""")
 def p06(spark, sf):
-    return grid(spark, sf).select("row", "col", F.when((F.col("row") < 5) & (F.col("cdi") == "c1"), "set").otherwise(F.col("cdi")).alias("cdi"))
+    return rc.set_where(grid(spark, sf), "cdi", (F.col("row") < 5) & (F.col("cdi") == "c1"), "set").select("row", "col", "cdi")
 
 
 @query("p07_linear_transform", f"""WITH {GRID} SELECT "row", col, round(-2 * mean + 7, 4) AS mean, round(-2 * max + 7, 4) AS min, round(-2 * min + 7, 4) AS max, round(2 * stdev, 4) AS stdev FROM grid""")
@@ -246,17 +241,18 @@ def p13(spark, sf):
 
 @query("p14_remap_labels", f"""WITH {GRID} SELECT "row", col, CASE cdi WHEN 'c0' THEN 'x' WHEN 'c2' THEN 'y' ELSE cdi END AS cdi FROM grid""")
 def p14(spark, sf):
-    return grid(spark, sf).select("row", "col", F.coalesce(F.element_at(F.create_map(F.lit("c0"), F.lit("x"), F.lit("c2"), F.lit("y")), F.col("cdi")), F.col("cdi")).alias("cdi"))
+    return rc.relabel(grid(spark, sf), {"c0": "x", "c2": "y"}).select("row", "col", "cdi")
 
 
 @query("p15_set_label", f"""WITH {GRID} SELECT "row", col, coalesce(CASE WHEN cdi <> 'c0' THEN cdi END, CASE WHEN value_count > 3 THEN 'new' END) AS cdi FROM grid""")
 def p15(spark, sf):
-    return grid(spark, sf).select("row", "col", F.coalesce(F.when(F.col("cdi") != "c0", F.col("cdi")), F.when(F.col("value_count") > 3, "new")).alias("cdi"))
+    cells = grid(spark, sf).withColumn("cdi", F.when(F.col("cdi") != "c0", F.col("cdi")))
+    return rc.label_missing(cells, "new", F.col("value_count") > 3).select("row", "col", "cdi")
 
 
 @query("p16_split_by_label", f"""WITH {GRID} SELECT cdi, count(*) AS cells, CAST(sum(value_count) AS BIGINT) AS values FROM grid GROUP BY ALL""")
 def p16(spark, sf):
-    return grid(spark, sf).groupBy("cdi").agg(F.count("*").alias("cells"), F.sum("value_count").alias("values"))
+    return rc.by_label(grid(spark, sf))
 
 
 @query("p17_compact_labels", f"""WITH {GRIDS}, u AS (SELECT DISTINCT mode || cdi AS name FROM grids WHERE mode <> 'N') SELECT name AS old_id, name, CAST(dense_rank() OVER (ORDER BY name) - 1 AS INTEGER) AS new_id FROM u""")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import records as rc
 from ..sources import readers, writers
 from .bind import DET, GRID, PINGS, detections, grid, pings, table
 from .registry import query
@@ -77,10 +78,10 @@ def s12(spark, sf):
 
 @query("s43_bounds_per_file", f"WITH {DET} SELECT mode AS file, min(px) AS west, max(px) AS east, min(sy) AS south, max(sy) AS north, count(*) AS n FROM det GROUP BY ALL")
 def s43(spark, sf):
-    return detections(spark, sf).groupBy(F.col("mode").alias("file")).agg(F.min("px").alias("west"), F.max("px").alias("east"), F.min("sy").alias("south"), F.max("sy").alias("north"), F.count("*").alias("n"))
+    return rc.bounds(detections(spark, sf).withColumnRenamed("mode", "file"), {"px": "west east", "sy": "south north"}, ["file"])
 
 
 @query("p28_p29_status_flags", f"WITH {DET} SELECT ok, ln, p, antenna % 4 | CASE WHEN angle > 40 THEN 2 ELSE 0 END AS status, CASE WHEN angle > 40 THEN 1 ELSE 0 END AS detail FROM det")
 def p28(spark, sf):
-    out = F.col("angle") > 40
-    return detections(spark, sf).select("ok", "ln", "p", (F.col("antenna") % 4).bitwiseOR(F.when(out, 2).otherwise(0)).alias("status"), F.when(out, 1).otherwise(0).alias("detail"))
+    d = rc.translate_status(detections(spark, sf).withColumn("status", F.col("antenna") % 4), {1: 1, 2: 2, 3: 3})
+    return rc.reject(d, F.col("angle") > 40).select("ok", "ln", "p", "status", "detail")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import acoustics as ac
 from ..functions import geo
 from ..operators import angular as an
+from ..operators import records as rc
 from ..operators import slices as sl
 from ..operators import temporal as tp
 from .bind import DET, PINGS, TRACK, detections, pings, r, table, track
 from .registry import query
+from .tables import cut
 
 # -- angular curves -----------------------------------------------------------------------------
 
@@ -88,16 +90,15 @@ def a46(spark, sf):
     return an.modes(pings(spark, sf), ["kind"], "t")
 
 
-@query("a47_emission_plans", f"""WITH {DET}, x AS (SELECT mode, sector, antenna, list_sort(list(DISTINCT CAST(angle AS INTEGER))) AS f FROM det WHERE angle < 3 GROUP BY ALL) SELECT mode, sector, antenna, CAST(dense_rank() OVER (ORDER BY f) AS INTEGER) AS plan FROM x""")
+@query("a47_emission_plans", f"""WITH {DET}, x AS (SELECT mode, sector, antenna, list_sort(list(DISTINCT CAST(angle AS INTEGER))) AS f FROM det GROUP BY ALL) SELECT mode, sector, antenna, CAST(dense_rank() OVER (ORDER BY f) AS INTEGER) AS plan FROM x""")
 def a47(spark, sf):
-    x = detections(spark, sf).filter("angle < 3").groupBy("mode", "sector", "antenna").agg(F.array_sort(F.collect_set(F.col("angle").cast("int"))).alias("f"))
-    plans = x.select("f").distinct().withColumn("plan", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("f")))  # a few plans
-    return x.join(plans, "f").select("mode", "sector", "antenna", "plan")
+    x = detections(spark, sf).groupBy("mode", "sector", "antenna").agg(F.array_sort(F.collect_set(F.col("angle").cast("int"))).alias("f"))
+    return rc.dense_ids(x, ["f"], "plan", cut).select("mode", "sector", "antenna", "plan")
 
 
 @query("a48_group_to_list", """SELECT n_regionkey, list_sort(list(n_name)) AS names FROM nation GROUP BY ALL""")
 def a48(spark, sf):
-    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    return rc.to_list(table(spark, sf, "nation"), ["n_regionkey"], "n_name", "names")
 
 
 @query("a50_mean_level", f"""WITH {DET} SELECT mode, round(10 * log10(avg(power(10, db / 10)) FILTER (angle < 30)), 5) AS level FROM det GROUP BY ALL""")
@@ -107,8 +108,7 @@ def a50(spark, sf):
 
 @query("a52_span_filter", f"""WITH {PINGS} SELECT file, max(value) AS top, count(*) AS n FROM pings GROUP BY ALL HAVING max(t) - min(t) <= CAST(20 AS BIGINT) * 86400000000""")
 def a52(spark, sf):
-    g = pings(spark, sf).groupBy("file").agg(F.max("value").alias("top"), F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"))
-    return g.filter(F.col("span") <= 20 * 86_400_000_000).drop("span")
+    return rc.shorter_than(pings(spark, sf), ["file"], "t", 20 * 86_400_000_000, [F.max("value").alias("top"), F.count("*").alias("n")])
 
 
 @query("a53_first_per_day", f"""WITH {PINGS}, x AS (SELECT *, t // 86400000000 AS day, row_number() OVER (PARTITION BY file, t // 86400000000 ORDER BY t, event_id) AS k FROM pings) SELECT file, day, event_id FROM x WHERE k = 1""")
@@ -119,7 +119,7 @@ def a53(spark, sf):
 
 @query("a54_time_bounds", f"WITH {PINGS} SELECT file, min(t) AS start, max(t) AS stop FROM pings GROUP BY ALL")
 def a54(spark, sf):
-    return pings(spark, sf).groupBy("file").agg(F.min("t").alias("start"), F.max("t").alias("stop"))
+    return rc.bounds(pings(spark, sf), {"t": "start stop"}, ["file"]).drop("n")
 
 
 # -- as-of and interpolating lookups ---------------------------------------------------------------
@@ -219,7 +219,7 @@ def j04b(spark, sf):
 def j17(spark, sf):
     d = detections(spark, sf)
     ref = d.filter("mode = 'A'").groupBy("row", "col").agg(F.avg("z").alias("ref"))
-    return d.join(ref, ["row", "col"], "left").select("ok", "ln", "p", F.round(F.col("z") - F.col("ref"), 7).alias("bias"))
+    return rc.bias_to(d, ref, ["row", "col"], "z", "ref").select("ok", "ln", "p", F.round("bias", 7).alias("bias"))
 
 
 @query("j19_s06_fixed_depth", """SELECT l_orderkey AS ok, l_linenumber AS ln, l_extendedprice AS p, round(l_extendedprice / 100 - o_custkey % 7 - o_custkey % 3, 4) AS depth FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
@@ -233,7 +233,7 @@ def s06(spark, sf):
 def j25(spark, sf):
     n = table(spark, sf, "nation").filter("n_regionkey < 3")
     s = table(spark, sf, "supplier")
-    return s.join(n, s["s_nationkey"] == n["n_nationkey"], "left").select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("cdi"))
+    return rc.look_up(s, n, s["s_nationkey"] == n["n_nationkey"], "n_name", "cdi").select("s_suppkey", "cdi")
 
 
 # -- windows ----------------------------------------------------------------------------------------
@@ -404,11 +404,9 @@ def a41(spark, sf):
     return _energy(spark, sf, ["row", "col"])
 
 
-@query("a37_slice_extent", f"WITH {_ECHO} SELECT ok, min(px) AS across_min, max(px) AS across_max, min(z) AS z_min, max(z) AS z_max, count(*) AS n FROM echo WHERE antenna < 5 GROUP BY ALL ORDER BY n DESC, ok LIMIT 25")
+@query("a37_slice_extent", f"WITH {_ECHO} SELECT ok, min(px) AS across_min, max(px) AS across_max, min(z) AS z_min, max(z) AS z_max, count(*) AS n FROM echo GROUP BY ALL")
 def a37(spark, sf):
-    """The pings with most echoes: a top-k report."""
-    g = detections(spark, sf).filter("antenna < 5").groupBy("ok").agg(F.min("px").alias("across_min"), F.max("px").alias("across_max"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.count("*").alias("n"))
-    return g.orderBy(F.desc("n"), "ok").limit(25)
+    return rc.bounds(detections(spark, sf), {"px": "across_min across_max", "z": "z_min z_max"}, ["ok"])
 
 
 @query("a43_a44_section_grid", f"WITH {DET} SELECT CAST(greatest(0, least(19, ceil((-z - 10) / 50 - 0.5))) AS INTEGER) AS zi, CAST(greatest(0, least(39, ceil((px - 1) / 50.0 - 0.5))) AS INTEGER) AS xi, round(avg(db), 4) AS value FROM det GROUP BY ALL")
@@ -434,19 +432,18 @@ def p24(spark, sf):
 
 @query("o02_files_by_first_ping", f"WITH {PINGS} SELECT file, min(t) AS first_ping FROM pings GROUP BY ALL ORDER BY first_ping")
 def o02(spark, sf):
-    return pings(spark, sf).groupBy("file").agg(F.min("t").alias("first_ping")).orderBy("first_ping")
+    return rc.bounds(pings(spark, sf), {"t": "first_ping last_ping"}, ["file"]).select("file", "first_ping").orderBy("first_ping", "file")
 
 
 @query("o04_modes_by_count", f"WITH {PINGS} SELECT kind, count(*) AS n FROM pings GROUP BY ALL ORDER BY n DESC")
 def o04(spark, sf):
-    return pings(spark, sf).groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
+    return rc.most_frequent(pings(spark, sf), ["kind"], [])
 
 
 @query("o05_best_match", """SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(o_totalprice - c_acctbal), o_orderkey) AS k FROM customer JOIN orders ON c_custkey = o_custkey) WHERE k = 1""")
 def o05(spark, sf):
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    j = c.join(o, c["c_custkey"] == o["o_custkey"])
-    return j.groupBy("c_custkey").agg(F.min_by("o_orderkey", F.struct(F.abs(F.col("o_totalprice") - F.col("c_acctbal")), "o_orderkey")).alias("o_orderkey"))
+    return rc.best_match(c, o, c["c_custkey"] == o["o_custkey"], "c_custkey", F.abs(F.col("o_totalprice") - F.col("c_acctbal")), "o_orderkey")
 
 
 @query("o06_first_last", f"WITH {PINGS}, x AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY t) AS u, row_number() OVER (PARTITION BY file ORDER BY t DESC) AS d FROM pings) SELECT event_id FROM x WHERE u <= 10 OR d <= 10")
@@ -469,20 +466,20 @@ def o08(spark, sf):
 @query("u03_modes_in_both", """SELECT DISTINCT l_returnflag AS mode, l_linenumber AS antenna FROM lineitem WHERE l_quantity < 5 INTERSECT SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_quantity > 45""")
 def u03(spark, sf):
     d = detections(spark, sf)
-    return d.filter("angle < 5").select("mode", "antenna").intersect(d.filter("angle > 45").select("mode", "antenna"))
+    return rc.in_both(d.filter("angle < 5"), d.filter("angle > 45"), ["mode", "antenna"])
 
 
 @query("u04_modes_not_seen", """SELECT DISTINCT l_partkey AS px FROM lineitem WHERE l_quantity < 3 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40""")
 def u04(spark, sf):
     d = detections(spark, sf)
-    return d.filter("angle < 3").select("px").distinct().join(d.filter("angle > 40").select("px").distinct(), "px", "left_anti")
+    return rc.not_in(d.filter("angle < 3"), d.filter("angle > 40"), ["px"])
 
 
 @query("u02_merge_by_time", f"WITH {PINGS} SELECT kind AS source, count(*) AS n, min(t) AS start, max(t) AS stop FROM pings WHERE kind IN ('click', 'purchase') GROUP BY ALL")
 def u02(spark, sf):
     p = pings(spark, sf)
-    u = p.filter("kind = 'click'").unionByName(p.filter("kind = 'purchase'")).orderBy("t")
-    return u.groupBy(F.col("kind").alias("source")).agg(F.count("*").alias("n"), F.min("t").alias("start"), F.max("t").alias("stop"))
+    u = rc.together([p.filter("kind = 'click'"), p.filter("kind = 'purchase'")], ["t"]).withColumnRenamed("kind", "source")
+    return rc.bounds(u, {"t": "start stop"}, ["source"])
 
 
 @query("w22_w23_path_vertices", f"""WITH {TRACK}, d AS (SELECT *, lead(lat) OVER w AS ny, lead(lon) OVER w AS nx FROM track WINDOW w AS (PARTITION BY file ORDER BY t)) SELECT event_id, round(CASE WHEN degrees(atan2(nx - lon, ny - lat)) < 0 THEN degrees(atan2(nx - lon, ny - lat)) + 360 ELSE degrees(atan2(nx - lon, ny - lat)) END, 4) AS azimuth,

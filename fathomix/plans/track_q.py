@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.geo import GridSpec
 from ..operators import angular as an
+from ..operators import grid as gr
+from ..operators import records as rc
 from ..operators import resample as rs_
 from ..operators import temporal as tp
 from ..operators import tracks as tr
@@ -33,8 +35,7 @@ def j18(spark, sf):
 
 @query("j14_nearest_cell", f"""WITH {GRID} SELECT "row", col FROM grid ORDER BY power("row" - 3.2, 2) + power(col - 17.4, 2), "row", col LIMIT 1""")
 def j14(spark, sf):
-    d = F.pow(F.col("row") - 3.2, F.lit(2.0)) + F.pow(F.col("col") - 17.4, F.lit(2.0))
-    return grid(spark, sf).agg(F.min_by(F.struct("row", "col"), F.struct(d, "row", "col")).alias("k")).select("k.row", "k.col")
+    return gr.nearest_cell(grid(spark, sf), 3.2, 17.4).select("row", "col")
 
 
 _IDW = """w AS (SELECT t."row", t.col, sum(s.mean / sqrt(power(s."row" - t."row", 2) + power(s.col - t.col, 2))) / sum(1 / sqrt(power(s."row" - t."row", 2) + power(s.col - t.col, 2))) AS mean
@@ -127,20 +128,19 @@ def j23(spark, sf):
     return tr.first_match(n, g, F.col("r_regionkey") <= F.col("n_regionkey"), ["n_nationkey"], rank, ["r_regionkey"])
 
 
-@query("j24_frequency_interpolation", f"""WITH {DET}, f AS (SELECT mode, antenna * 100.0 AS x, avg(db) AS y FROM det WHERE antenna % 2 = 1 GROUP BY ALL), q AS (SELECT DISTINCT mode, antenna FROM det WHERE antenna % 2 = 0 AND antenna < 7)
+@query("j24_frequency_interpolation", f"""WITH {DET}, f AS (SELECT mode, antenna * 100.0 AS x, avg(db) AS y FROM det WHERE antenna % 2 = 1 GROUP BY ALL), q AS (SELECT DISTINCT mode, antenna FROM det WHERE antenna % 2 = 0)
 SELECT q.mode, q.antenna, round(a.y + (b.y - a.y) * 0.5, 5) AS level FROM q JOIN f a ON a.mode = q.mode AND a.x = (q.antenna - 1) * 100 JOIN f b ON b.mode = q.mode AND b.x = (q.antenna + 1) * 100""")
 def j24(spark, sf):
     d = detections(spark, sf)
     f = d.filter("antenna % 2 = 1").groupBy("mode", (F.col("antenna") * 100.0).alias("bin")).agg(F.avg("db").alias("mean_db"))
-    q = d.filter("antenna % 2 = 0 and antenna < 7").select("mode", "antenna").distinct()
+    q = d.filter("antenna % 2 = 0").select("mode", "antenna").distinct()
     return q.join(an.as_lookup(f, ["mode"]), "mode").select("mode", "antenna", F.round(an.interpolate(F.col("lut"), F.col("antenna") * 100.0), 5).alias("level"))
 
 
 @query("j26_merge_curves_outer", f"""WITH {DET} SELECT mode, bin, max(a) AS a, max(b) AS b FROM (SELECT mode, antenna AS bin, count(*) AS a, NULL AS b FROM det WHERE antenna < 5 GROUP BY ALL UNION ALL SELECT mode, antenna, NULL, count(*) FROM det WHERE antenna > 3 GROUP BY ALL) GROUP BY ALL""")
 def j26(spark, sf):
     g = lambda cond, k: detections(spark, sf).filter(cond).groupBy("mode", F.col("antenna").alias("bin")).agg(F.count("*").alias(k))
-    u = g("antenna < 5", "a").unionByName(g("antenna > 3", "b"), allowMissingColumns=True)
-    return u.groupBy("mode", "bin").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return rc.outer_merge([g("antenna < 5", "a"), g("antenna > 3", "b")], ["mode", "bin"])
 
 
 @query("p21_expected_deviation", f"""WITH {DET}, x AS (SELECT *, greatest(0, least(60, degrees(atan(px / 10.0 / -z)))) AS a FROM det) SELECT ok, ln, p, round(CASE WHEN a <= 30 THEN 0.1 + a / 30 * 0.2 ELSE 0.3 + (a - 30) / 30 * 0.7 END, 5) AS expected FROM x""")
@@ -152,17 +152,17 @@ def p21(spark, sf):
 
 @query("p27_mask_invalid", f"WITH {DET} SELECT ok, ln, p, CASE WHEN antenna % 3 = 0 THEN z END AS z FROM det")
 def p27(spark, sf):
-    return detections(spark, sf).select("ok", "ln", "p", F.when(F.col("antenna") % 3 == 0, F.col("z")).alias("z"))
+    return rc.mask_invalid(detections(spark, sf), ["z"], F.col("antenna") % 3 == 0).select("ok", "ln", "p", "z")
 
 
-@query("a45_elevation_range", f"WITH {DET} SELECT min(z) AS low, max(z) AS high FROM det WHERE antenna < 5")
+@query("a45_elevation_range", f"WITH {DET} SELECT min(z) AS low, max(z) AS high, count(*) AS n FROM det")
 def a45(spark, sf):
-    return detections(spark, sf).filter("antenna < 5").agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    return rc.bounds(detections(spark, sf), {"z": "low high"})
 
 
 @query("o01_sort_navigation", f"WITH {TRACK} SELECT event_id, t, round(lon, 6) AS lon, round(lat, 6) AS lat FROM track ORDER BY t")
 def o01(spark, sf):
-    return track(spark, sf).select("event_id", "t", *r("lon", "lat", digits=6)).orderBy("t")
+    return rc.together([track(spark, sf)], ["t"]).select("event_id", "t", *r("lon", "lat", digits=6))
 
 
 @query("w04_reference_level", f"""WITH {_LV}, f AS (SELECT mode, t // 3600000000 AS h, avg(CASE WHEN bin >= 3 THEN mean_db END) AS v FROM lv GROUP BY ALL), k AS (SELECT * FROM f WHERE v IS NOT NULL),
