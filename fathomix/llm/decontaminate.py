@@ -1,17 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a benchmark question and the same question
-with other parameters have one template.  Windows of template tokens of documents and benchmark
-items are hash-joined; for each document and item the windows that met are aligned, and the
-slots must be consistent: one value of the item stands for one value of the document throughout,
-the one in most windows; windows that contradict it are left out.
-A pair counts if the consistent windows cover enough of the item or a long enough run of it.
-Windows are joined on their bare lower-case tokens too, so a verbatim copy is found whatever its
-share of slots and wherever it stands; only a copy with other values needs enough literals.
+with other parameters have one template.  Words of a name are one placeholder, a number glued to
+its unit is two, and a word that begins a sentence is a name unless it usually begins one.
+Windows of template tokens of documents and benchmark items are hash-joined; for each document and
+item the windows that met are aligned, and the slots must be consistent: values of the item and of
+the document stand for one another one to one throughout, as most windows have it; windows that
+contradict that are left out.  A pair counts if the consistent windows cover enough of the item or
+a long enough run of it.  Windows are joined on their bare lower-case tokens too, so a verbatim
+copy is found whatever its share of slots and wherever it stands; only a copy with other values
+needs enough literals.
 
 Defined cases: null or empty texts and items match nothing; an item shorter than a window is one
 window of its own length; one under ``shortest`` tokens, and windows with fewer literal tokens
-than slots, are only found verbatim; repeated document or item rows count once; rows with a null id match
+than slots, are only found verbatim; windows that an item and a document both repeat meet in order,
+the first with the first; repeated document or item rows count once; rows with a null id match
 nothing; empty tables give no rows; further columns are ignored.
 """
 
@@ -40,6 +43,12 @@ mhz ghz w kw mw v kv a ma j kj kb mb gb tb""".split()
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
 nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen""".split()
 
+# Words that often begin a sentence and then are no names.
+OPENERS = """a about after all also although an and another any are as at be because before both but by can could did do does during each either every few
+find first for from give given had has have he her here his how however i if in is it its just let like many may more most much my neither next no not now
+of often on once one only or other our over she should since so some still such suppose than that the their them then there these they this those though
+through to under until up upon was we were what when where whether which while who whom whose why will with within without would yes yet you your""".split()
+
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d+(?:[.,:/]\d+)*")
 _QUANTITY = re.compile(r"([+\-]?[$€£]?\d+(?:[.,:/]\d+)*)([^\W\d_/]+(?:/\w+)?|%|°[cf]?)")
 _EDGE = re.compile(r"^[^\w$€£+\-%°]+|[^\w%°]+$")
@@ -47,7 +56,7 @@ _U = np.uint64
 
 LITERAL, NUMBER, UNIT, NAME, QUANTITY = range(5)
 _VERBATIM = 1 << 32
-_CAPITAL, _STOP, _MAY_UNIT = 1, 2, 4
+_CAPITAL, _STOP, _SPECIAL = 1, 2, 4  # special: may be a unit, or of a capital word: may open a sentence
 _SLOT_HASH = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in ("number", "unit", "name", "quantity"))], np.uint64)
 
 
@@ -64,8 +73,8 @@ def _token(raw: str) -> int:
         kind = NUMBER
     elif (m := _QUANTITY.fullmatch(low)) and m[2] in _UNIT_SET:
         kind = QUANTITY
-    elif low in _UNIT_SET:
-        flags |= _MAY_UNIT
+    elif low in _UNIT_SET or (flags & _CAPITAL and low in _OPENERS):
+        flags |= _SPECIAL
     return (xxhash.xxh64_intdigest(low) | 64) & ~63 | kind << 3 | flags
 
 
@@ -82,7 +91,7 @@ class _Tokens(dict):
 
 
 _TOKENS = _Tokens()
-_NUMBERS, _UNIT_SET = frozenset(NUMBER_WORDS), frozenset(UNITS)
+_NUMBERS, _UNIT_SET, _OPENERS = frozenset(NUMBER_WORDS), frozenset(UNITS), frozenset(OPENERS)
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,18 +119,40 @@ class Template:
         first[1:] |= (flags & _STOP) > 0  # the token after the end of a sentence
         real = info > _U(63)
         kind = (info >> _U(3) & _U(7)).astype(np.int64)
-        kind[(kind == LITERAL) & ((flags & _CAPITAL) > 0) & ~first[:-1]] = NAME
+        special = (flags & _SPECIAL) > 0
+        kind[(kind == LITERAL) & ((flags & _CAPITAL) > 0) & ~(first[:-1] & special)] = NAME
         after = np.concatenate([[False], kind[:-1] == NUMBER]) if len(kind) else np.zeros(0, bool)
-        kind[((flags & _MAY_UNIT) > 0) & after] = UNIT
+        kind[special & after & (kind == LITERAL)] = UNIT
         at = np.flatnonzero(real)
-        self.kind = kind[at]
-        self.bare = info[at] & ~_U(63)
-        self.hash = np.where(self.kind == LITERAL, self.bare, _SLOT_HASH[self.kind])
-        self.at, self.values = at, values
+        self.bare, self.values = info[at] & ~_U(63), values
+        # a name of several words is one slot, a quantity two
+        kind = kind[at]
+        same = np.concatenate([[False], (kind[1:] == NAME) & (kind[:-1] == NAME) & ~first[at[1:]]]) if len(at) else np.zeros(0, bool)
+        times = np.where(same, 0, np.where(kind == QUANTITY, 2, 1))
+        self.at, self.last = np.repeat(at, times), np.repeat(at, times)
+        whole = np.cumsum(times)
+        self.place = np.maximum(whole - times, 0)  # of each real token in the template
+        self.place[same] = whole[same] - 1
+        self.first_word = np.repeat(np.arange(len(at)), times)  # words of each template token
+        self.last_word = self.first_word.copy()
+        if len(at):
+            np.maximum.at(self.last, self.place, at)
+            np.maximum.at(self.last_word, self.place, np.arange(len(at)))
+        self.kind = np.repeat(kind, times)
+        second = np.concatenate([[False], self.at[1:] == self.at[:-1]]) if len(self.at) else np.zeros(0, bool)
+        self.kind[self.kind == QUANTITY] = NUMBER
+        self.kind[second] = UNIT
+        self.second = second
+        self.hash = np.where(self.kind == LITERAL, np.repeat(self.bare, times), _SLOT_HASH[self.kind])
 
     def __len__(self) -> int:
         return len(self.at)
 
+    def item_window(self, at: int, n: int, place: int) -> dict:
+        """A window of n words from the word ``at`` on, which begins at a place of the template."""
+        last = int(self.place[at + n - 1])
+        return {"at": at, "n": n, "slots": self.slots(place, last - place + 1)}
+
     @staticmethod
     def _rolled(tokens: np.ndarray, size: int, seed: int) -> np.ndarray:
         """Hash of each window of tokens, from hashes of its parts of 1, 2, 4, ... tokens."""
@@ -154,46 +185,65 @@ class Template:
 
     def slots(self, at: int, size: int) -> list[str]:
         """Values of the slots of one window, as type:value."""
-        return [f"{self.kind[i]}:{_EDGE.sub('', self.values[self.at[i]]).lower()}" for i in range(at, at + size) if self.kind[i] != LITERAL]
+        out = []
+        for i in range(at, at + size):
+            if self.kind[i] != LITERAL:
+                words = [_EDGE.sub("", w).lower() for w in self.values[self.at[i] : self.last[i] + 1]]
+                if (self.second[i] or (i + 1 < len(self.second) and self.second[i + 1])) and (m := _QUANTITY.fullmatch(words[0])):
+                    words = [m[2] if self.second[i] else m[1]]
+                out.append(f"{self.kind[i]}:{' '.join(words)}")
+        return out
+
 
+def in_order(item_windows: list[list[tuple]], doc_windows: list[list[tuple]]) -> list[tuple[tuple, tuple]]:
+    """Windows of one item and one document that met, hash by hash: the first with the first, and
+    so on, the shorter list again from its start.  So repeats don't multiply."""
+    out = []
+    for a, b in zip(item_windows, doc_windows):
+        out += [(a[k % len(a)], b[k % len(b)]) for k in range(max(len(a), len(b)))]
+    return out
 
-def judge(item_len: int, size: np.ndarray, item_at: np.ndarray, doc_at: np.ndarray, item_slots: list, doc_slots: list) -> tuple[float, int, bool]:
-    """(coverage, longest run, verbatim) over the consistent windows of one document and item.
+
+def judge(item_len: int, size: np.ndarray, item_at: np.ndarray, shift: np.ndarray, item_slots: list, doc_slots: list) -> tuple[float, int, bool]:
+    """(coverage, longest run, verbatim) over the consistent windows of one document and item, in
+    words of the item; ``shift`` is how many words the window stands further on in the document.
 
     Windows that met verbatim have None for the document's slots: these are the item's.
     Alignments are taken from the one with most windows down, of equals the one with most
     verbatim.  In each, a value of the item that has no value of the document yet gets the one
-    most windows give it; windows whose slots contradict that are left out, the others stay.  A
-    pair is verbatim if no value differs and no token of a window left out lies outside the ones
-    that stay.
+    most windows give it, if no other value has that; windows whose slots contradict this are left
+    out, the others stay.  A pair is verbatim if no value differs and no token of a window left out
+    lies outside the ones that stay.
     """
     exact = np.array([b is None for b in doc_slots], bool)
-    order = np.lexsort((~exact, size, doc_at, item_at))  # of a window that met twice the verbatim one
-    where = np.stack([item_at, doc_at, size], 1)[order]
+    order = np.lexsort((~exact, size, shift, item_at))  # of a window that met twice the verbatim one
+    where = np.stack([item_at, shift, size], 1)[order]
     once = order[np.concatenate([[True], (where[1:] != where[:-1]).any(1)])]
-    item_at, doc_at, size, exact = (x[once] for x in (item_at, doc_at, size, exact))
+    item_at, shift, size, exact = (x[once] for x in (item_at, shift, size, exact))
     pairs = [frozenset(zip(item_slots[r], item_slots[r] if doc_slots[r] is None else doc_slots[r])) for r in once]
-    shift = doc_at - item_at
     kinds, which, n = np.unique(shift, return_inverse=True, return_counts=True)
     by_shift = np.split(np.argsort(which, kind="stable"), np.cumsum(n)[:-1])
     taken: dict[str, str] = {}
+    back: dict[str, str] = {}
     covered, against = np.zeros(item_len, bool), np.zeros(item_len, bool)
     longest = 0
     for s in np.lexsort((kinds, -np.bincount(which, exact), -n)):
         here, left = np.zeros(item_len, bool), by_shift[s].tolist()
         while left:
             # values whose windows were all left out are voted on again among the rest
-            left = [r for r in left if all(taken.get(a, b) == b for a, b in pairs[r])] if taken else left
+            left = [r for r in left if all(taken.get(a, b) == b and back.get(b, a) == a for a, b in pairs[r])]
             votes = Counter(p for r in left for p in pairs[r] if p[0] not in taken)
-            own: dict[str, str] = {}
+            own, gone = dict(taken), dict(back)
             for a, b in sorted(votes, key=lambda p: (-votes[p], p[0] != p[1], p)):
-                own.setdefault(a, b)
-            stay = [r for r in left if all(taken.get(a, own.get(a)) == b for a, b in pairs[r])]
+                if a not in own and b not in gone:
+                    own[a], gone[b] = b, a
+            stay = [r for r in left if all(own.get(a) == b for a, b in pairs[r])]
             if not stay:
                 break
             for r in stay:
                 here[item_at[r] : item_at[r] + size[r]] = True
                 taken.update(pairs[r])
+                back.update((b, a) for a, b in pairs[r])
             left = sorted(set(left) - set(stay))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], here.astype(np.int8), [0]])))
         if len(edge):
@@ -206,12 +256,34 @@ def judge(item_len: int, size: np.ndarray, item_at: np.ndarray, doc_at: np.ndarr
     return float(covered.mean()), longest, verbatim
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: float = 0.5, run: int = 13, shortest: int = 4, filter_bits: int = 1 << 23, small_rows: int = 1_000_000) -> DataFrame:
+class WindowFilter:
+    """One bit for each of a power of two classes of window hashes, some 16 to 32 classes a window."""
+
+    def __init__(self, hashes: np.ndarray, most: int = 1 << 28):
+        self.mask = min(most, 1 << max(16, int(16 * len(hashes)).bit_length())) - 1
+        bits = np.zeros((self.mask + 1) >> 3, np.uint8)
+        at = hashes.view(np.uint64) & _U(self.mask)
+        np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
+        self.bits = bits
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes whose bit is set."""
+        at = hashes.view(np.uint64) & _U(self.mask)
+        return np.flatnonzero(self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1)
+
+
+_ITEM = "h long, size int, item_id long, item_len int, windows array<struct<at:int,n:int,slots:array<string>>>"
+_WINDOW = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("slots", pa.list_(pa.string()))]))
+_MET = pa.list_(pa.struct([("at", pa.int32()), ("slots", pa.list_(pa.string()))]))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: float = 0.5, run: int = 13, shortest: int = 4, small_rows: int = 1_000_000) -> DataFrame:
     """Pairs (doc_id, item_id, coverage, longest_run, verbatim) of documents that hold an item.
 
-    Texts stay where they are: a scan keeps only windows whose hash is in a filter of fixed size
-    made from all item windows.  The kept ones are joined on the full hash (broadcast if the item
-    windows are counted to be few, else shuffled), then grouped by document and item.
+    Texts stay where they are: a scan keeps only windows whose hash is in a filter made from all
+    item windows and sized by their number (the driver gets their hashes, eight bytes each, and no
+    documents').  The kept ones are joined on the full hash (broadcast if the item windows are
+    counted to be few, else shuffled), then grouped by document and item.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -221,41 +293,50 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = Template(text)
+                held: dict[tuple[int, int], list] = {}
                 size = min(window, len(t))
                 if size >= shortest:
                     at, h = t.windows(size)
-                    rows += [(int(x), item, size, int(p), len(t), t.slots(p, size)) for p, x in zip(at.tolist(), h.view(np.int64))]
+                    for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                        first = int(t.first_word[p])
+                        held.setdefault((x, size), []).append(t.item_window(first, int(t.last_word[p + size - 1]) - first + 1, p))
+                size = min(window, len(t.bare))
                 if size:
-                    rows += [(x, item, size, p, len(t), t.slots(p, size)) for p, x in enumerate(t.verbatim_windows(size).view(np.int64).tolist())]
+                    for p, x in enumerate(t.verbatim_windows(size).view(np.int64).tolist()):
+                        held.setdefault((x, -size), []).append(t.item_window(p, size, int(t.place[p])))
+                rows += [(x, k, item, len(t.bare), own) for (x, k), own in held.items()]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "item_id", "size", "item_at", "item_len", "item_slots"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), _WINDOW]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "size", "item_id", "item_len", "windows"])
 
     theirs = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    theirs = materialise(theirs.mapInArrow(item_windows, "h long, item_id long, size int, item_at int, item_len int, item_slots array<string>"), "item-windows")
-    # at most filter_bits numbers, whatever the size of the benchmark
-    marks = np.zeros(filter_bits, bool)
-    marks[[r[0] for r in theirs.select(F.pmod("h", F.lit(filter_bits)).cast("int")).distinct().collect()]] = True
+    theirs = materialise(theirs.mapInArrow(item_windows, _ITEM), "item-windows")  # size < 0: verbatim
+    hashes = theirs.select("h").distinct().toArrow().column(0).to_numpy()
     sizes = [r[0] for r in theirs.select("size").distinct().collect()]
-    shared = spark.sparkContext.broadcast(np.packbits(marks))
+    shared = spark.sparkContext.broadcast(WindowFilter(hashes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
+        known = shared.value
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 t = Template(text.as_py())
+                held: dict[tuple[int, int], list] = {}
                 for size in sizes:
-                    if size >= shortest:
+                    if size > 0:
                         at, h = t.windows(size)
-                        for k in np.flatnonzero(bits[(h.view(np.int64) % filter_bits)]).tolist():
-                            rows.append((int(h[k : k + 1].view(np.int64)[0]), doc, size, int(at[k]), t.slots(int(at[k]), size)))
-                    h = t.verbatim_windows(size).view(np.int64)
-                    at = np.flatnonzero(bits[h % filter_bits])
-                    rows += [(x, doc, size, p, None) for p, x in zip(at.tolist(), h[at].tolist())]
+                        k = known.hits(h)
+                        for x, p in zip(h[k].view(np.int64).tolist(), at[k].tolist()):
+                            held.setdefault((x, size), []).append({"at": int(t.first_word[p]), "slots": t.slots(p, size)})
+                    else:
+                        h = t.verbatim_windows(-size)
+                        k = known.hits(h)
+                        for x, p in zip(h[k].view(np.int64).tolist(), k.tolist()):
+                            held.setdefault((x, size), []).append({"at": p, "slots": None})
+                rows += [(x, k, doc, own) for (x, k), own in held.items()]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "doc_id", "size", "doc_at", "doc_slots"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), _MET]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["h", "size", "doc_id", "met"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
@@ -268,9 +349,12 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
             return out
 
         for (doc, item), own in groupby(rows, key=lambda r: r[:2]):
-            own = list(own)  # the windows that one document and one item have in common
-            size, item_at, doc_at = (np.array([r[k] for r in own]) for k in (3, 4, 5))
-            cover, longest, verbatim = judge(own[0][2], size, item_at, doc_at, [r[6] for r in own], [r[7] for r in own])
+            own = list({r[3:5]: r for r in own}.values())  # hashes that this document and this item share
+            n = own[0][2]
+            theirs_ = [[(w["at"], w["n"], w["slots"]) for w in r[5]] for r in own]
+            met = in_order(theirs_, [[(w["at"], w["slots"]) for w in r[6]] for r in own])
+            size, item_at, shift = (np.array(v) for v in zip(*((a[1], a[0], b[0] - a[0]) for a, b in met)))
+            cover, longest, verbatim = judge(n, size, item_at, shift, [a[2] for a, _ in met], [b[1] for _, b in met])
             if cover >= coverage or longest >= run:
                 held.append((doc, item, cover, longest, verbatim))
             if len(held) >= 5000:
@@ -279,9 +363,9 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
             yield flush()
 
     ours = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = ours.mapInArrow(scan, "h long, doc_id long, size int, doc_at int, doc_slots array<string>").join(hint_if_small(theirs, small_rows), ["h", "size"])
-    met = met.select("doc_id", "item_id", "item_len", "size", "item_at", "doc_at", "item_slots", "doc_slots")
-    met = met.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "item_at", "doc_at")
+    met = ours.mapInArrow(scan, "h long, size int, doc_id long, met array<struct<at:int,slots:array<string>>>").join(hint_if_small(theirs, small_rows), ["h", "size"])
+    met = met.select("doc_id", "item_id", "item_len", "h", "size", "windows", "met")
+    met = met.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id")
     return met.mapInArrow(pair, "doc_id long, item_id long, coverage double, longest_run int, verbatim boolean")
 
 

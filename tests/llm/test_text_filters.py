@@ -77,6 +77,50 @@ def test_one_changed_value_leaves_the_other_windows(spark):
     assert 0.4 < got[1, 1].coverage < 1 and not got[1, 1].verbatim
 
 
+def test_names_and_units_as_slots(spark):
+    question = "{a} has {n} apples and {b} gives {a} {m} more apples. {b} then walks {k} km to {c}. How far is it from {c} to the house of {a}?"
+    item = question.format(a="Alice", b="Bob", c="New York", n=5, m=3, k=120)
+    same = question.format(a="Maria", b="Peter", c="Rome", n=7, m=2, k=40)
+    glued = question.format(a="Maria", b="Peter", c="San Jose", n=7, m=2, k=40).replace("40 km", "40km")
+    one = question.format(a="Maria", b="Maria", c="Rome", n=7, m=2, k=40)  # two people became one
+    got = hits(spark, [same, f"Look here. {glued} Thanks", one, item], [item])
+    assert {(0, 0), (1, 0), (3, 0)} <= set(got)
+    assert got[0, 0].coverage == got[1, 0].coverage == got[3, 0].coverage == 1.0
+    assert got[3, 0].verbatim and not got[0, 0].verbatim
+    assert (2, 0) not in got or got[2, 0].coverage < 0.8
+
+
+def test_repeats_do_not_multiply(spark):
+    import time
+
+    hits(spark, ["a b c d e f g h"], ["a b c d e f g h"])
+    began = time.perf_counter()
+    got = hits(spark, ["go " * 20_000, "to and fro " * 7000], ["go " * 500, "to and fro " * 150])
+    assert set(got) == {(0, 0), (1, 1)} and got[0, 0].longest_run == 500 and got[1, 1].coverage == 1.0
+    assert time.perf_counter() - began < 60
+
+
+def test_generated_questions_against_a_plain_matcher(spark):
+    """Re-parameterised questions: a document that has an item's words with other values, one for
+    one, is found; one with a word changed in every window isn't."""
+    import random
+
+    rng = random.Random(5)
+    verbs = "carries buys sells brings takes finds keeps makes".split()
+    things = "baskets of red pears|boxes of old books|bags of fine sand|crates of green tea".split("|")
+    items, docs, want = [], [], set()
+    for i in range(12):
+        v, t, u = rng.choice(verbs), rng.choice(things), rng.choice(verbs)
+        q = "In the morning {a} " + v + " {n} " + t + " to the market while {b} " + u + " {m} of them for the long way home with {a}"
+        own = rng.sample("Anna Boris Clara David Elena Felix".split(), 4)
+        items.append(f"q{i} " + q.format(a=own[0], b=own[1], n=rng.randrange(2, 50), m=rng.randrange(50, 90)))
+        docs.append(f"q{i} " + q.format(a=own[2], b=own[3], n=rng.randrange(100, 150), m=rng.randrange(150, 190)))
+        want.add((2 * i, i))
+        docs.append(" ".join(w if k % 4 else f"x{k}" for k, w in enumerate(docs[-1].split())))
+    got = hits(spark, docs, items, coverage=0.9, run=99)
+    assert {k for k in got if k[0] % 2 == 0 and k[0] // 2 == k[1]} == want and not any(d % 2 for d, _ in got)
+
+
 def test_decontamination_edges(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (None, ITEM), (4, "word word word word word")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd_docs, items).collect()} == {(7, 4)}
