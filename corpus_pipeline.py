@@ -1,6 +1,8 @@
 """A training-corpus pipeline: language ID, near-duplicates, decontamination, packing.
 
-Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  Columns of
+docs other than doc_id, text and lang pass through unread, whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ LEAST_SCORE = 0.03
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or like no learnt language, go."""
+    """Documents with a language: those without a letter (null and empty texts among them), or like
+    no learnt language, go.  Repeated rows and rows with a null doc_id or lang are judged alike; a
+    null lang isn't learnt from, and without any lang all documents go."""
     model = langid.train(docs.filter(~langid.held_out()).select("lang", "text"))
     marked = langid.predict(docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns if c in ("lang_pred", "score")}), model)
     kept = marked.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
@@ -27,25 +31,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group linked at 80 % of five-word
-    shingles; of rows repeating that doc_id the first in column order."""
+    shingles.
+
+    Texts without words are in no group and stay, as do rows with a null doc_id.  Of rows with one
+    doc_id and one text the first in column order stays; other texts under that doc_id stay too."""
     groups = JaccardJoin(5, 80, 100).join(docs)
     gone = materialise(groups.filter("component_id != doc_id").select("doc_id").distinct(), "near-copies")
     kept = docs.join(hint_if_small(gone, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
     repeated = materialise(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    first = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    first = first.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    text = F.coalesce("text", F.lit(""))
+    first = kept.join(hint_if_small(repeated, 2_000_000), "doc_id", "left_semi").groupBy("doc_id", text.alias("_t")).agg(F.min(F.struct(*docs.columns)).alias("_r"))
+    first = first.select(*(F.col("_r")[c].alias(c) for c in docs.columns))
+    return kept.join(hint_if_small(repeated, 2_000_000), "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.  All rows of a doc_id go together; rows with a null
+    doc_id, null and empty texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of what is left."""
+    """Token sequences of what is left: a row for each piece.  A null text is empty and still has
+    its end id; repeated rows are documents of their own."""
     return packing.pack_documents(docs, tokenizer_path(), 2048, 0)
 
 
