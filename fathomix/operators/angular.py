@@ -48,12 +48,18 @@ def as_lookup(curves: DataFrame, keys: list[str], x: str = "bin", y: str = "mean
 
 
 def interpolate(lut: Column, x: Num) -> Column:
-    """Linear interpolation in a sorted array of (x, y), clamped at both ends."""
+    """Linear interpolation in a sorted array of (x, y), clamped at both ends; null for a null x or
+    an empty array.  The two neighbours are looked up once a row."""
     at = c(x)
     below, above = F.filter(lut, lambda p: p["x"] <= at), F.filter(lut, lambda p: p["x"] >= at)
-    a, b = F.element_at(below, -1), F.element_at(above, 1)
-    between = a["y"] + (b["y"] - a["y"]) * (at - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
-    return F.when(F.size(below) == 0, F.try_element_at(lut, F.lit(1))["y"]).when(F.size(above) == 0, F.try_element_at(lut, F.lit(-1))["y"]).otherwise(F.coalesce(between, a["y"]))
+    ends = F.struct(F.try_element_at(below, F.lit(-1)).alias("a"), F.try_element_at(above, F.lit(1)).alias("b"))
+
+    def between(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        inner = a["y"] + (b["y"] - a["y"]) * (at - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
+        return F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(F.coalesce(inner, a["y"]))
+
+    return F.transform(F.array(ends), between)[0]
 
 
 def normalise(beams: DataFrame, curves: DataFrame, level: Num, angle: Num, keys: list[str], reference: float = -20.0, compensate: bool = True) -> DataFrame:

@@ -44,12 +44,22 @@ def nearest_within(points: DataFrame, path: DataFrame, limit: float, lon: str =
     return points.select(*key).join(best, list(key), "left").select(*key, F.coalesce("path_id", F.lit(-1)).alias("path_id"), "distance")
 
 
-def clip(points: DataFrame, polygons: DataFrame, lon: str, lat: str, key: list[str], reverse: bool = False) -> DataFrame:
-    """Points in any polygon (ring), or in none.  Masks are few; their join is on the points' side
-    bounded by the polygons' bounding boxes."""
+def clip(points: DataFrame, polygons: DataFrame, lon: str, lat: str, key: list[str], reverse: bool = False, few: int = 1000, cell: float = 1.0) -> DataFrame:
+    """Points in any polygon (ring), or in none.
+
+    Masks counted to be few are broadcast and compared by their bounding boxes; more are cut into
+    cells of ``cell`` units and joined on the cell.  A point without a position is in no polygon."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     box = polygons.select("ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    hit = points.join(F.broadcast(box), F.col(lon).between(F.col("x0"), F.col("x1")) & F.col(lat).between(F.col("y0"), F.col("y1"))).filter(in_ring(lon, lat, F.col("ring"))).select(*key).distinct()
+    near = F.col(lon).between(F.col("x0"), F.col("x1")) & F.col(lat).between(F.col("y0"), F.col("y1"))
+    if polygons.limit(few + 1).count() <= few:
+        met = points.join(F.broadcast(box), near)
+    else:
+        span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+        tiles = box.withColumn("_cx", span("x0", "x1")).withColumn("_cy", span("y0", "y1"))
+        at = points.withColumns({"_cx": F.floor(F.col(lon) / cell), "_cy": F.floor(F.col(lat) / cell)})
+        met = at.join(tiles, ["_cx", "_cy"]).filter(near)
+    hit = met.filter(in_ring(lon, lat, F.col("ring"))).select(*key).distinct()
     return points.join(hit, key, "left_anti" if reverse else "left_semi")
 
 

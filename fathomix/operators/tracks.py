@@ -55,9 +55,12 @@ def chain_code(points: DataFrame, key: str, order: str, width: float) -> DataFra
     return p.select(key, order, "along", (side(0, half) - side(-half, 0)).alias("code"))
 
 
-def first_match(left: DataFrame, right: DataFrame, on: Column, key: list[str], rank: list[Column], value: list[str]) -> DataFrame:
+def first_match(left: DataFrame, right: DataFrame, on: Column, key: list[str], rank: list[Column], value: list[str], most: int = 10_000) -> DataFrame:
     """left's keys with the first right row in rank order among those that ``on`` allows; left rows
-    without one are kept.  Mode tables are short on both sides, so this theta join is too."""
+    without one are kept.  ``on`` may be any condition, so right is broadcast; it is counted first,
+    and a table of more than ``most`` rows is refused."""
+    if right.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to choose from: join on a key instead")
     j = left.join(F.broadcast(right), on, "left")
     return j.groupBy(*key).agg(F.min_by(F.struct(*value), F.struct(*rank)).alias("_m")).select(*key, *(F.col(f"_m.{k}").alias(k) for k in value))
 

@@ -43,11 +43,14 @@ GRIDS = DET + """, grids AS (SELECT *, 'c' || CAST(value_count % 3 AS VARCHAR) A
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """One grid."""
-    return grids(spark, sf).filter("mode = 'A'").drop("mode", "priority")
+    """One grid of all observations."""
+    d = detections(spark, sf)
+    g = d.groupBy("row", "col").agg(F.avg("z").alias("mean"), F.min("z").alias("min"), F.max("z").alias("max"), F.stddev_pop("z").alias("stdev"), F.count("*").alias("value_count"), F.min((F.col("ln") == 1).cast("int")).alias("flag"))
+    return g.withColumn("cdi", F.concat(F.lit("c"), (F.col("value_count") % 3).cast("string")))
 
 
-GRID = GRIDS + """, grid AS (SELECT * EXCLUDE (mode, priority) FROM grids WHERE mode = 'A')"""
+GRID = GRIDS + """, grid AS (SELECT *, 'c' || CAST(value_count % 3 AS VARCHAR) AS cdi FROM (SELECT "row", col, avg(z) AS mean, min(z) AS min, max(z) AS max, stddev_pop(z) AS stdev,
+  count(*) AS value_count, min(CASE WHEN ln = 1 THEN 1 ELSE 0 END) AS flag FROM det GROUP BY ALL))"""
 
 
 def pings(spark: SparkSession, sf: str) -> DataFrame:
