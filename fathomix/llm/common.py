@@ -4,30 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="fathomix-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..plans.tables import shared_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared root."""
-    return f"{shared_root(spark)}/fathomix/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/fathomix/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
