@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.seabed import level_array
+
 # -- curves -----------------------------------------------------------------------------------
 
 
@@ -121,6 +123,27 @@ def anneal(cost, start: np.ndarray, low: np.ndarray, high: np.ndarray, step: np.
     return best, least
 
 
+def invert_seabed(curves: DataFrame, keys: list[str], frequency: float, cycles: int = 15, each: int = 300, seed: int = 0) -> DataFrame:
+    """Seabed properties (impedance, slope, second, volume_db) of each curve (bin, mean_db) by
+    annealing, with the root mean square of what is left.
+
+    A curve has a point per degree, so one is a task's small work.  Null levels don't count; a curve
+    without points gives no row; the same curve and seed always give the same answer."""
+    low, high = np.array([1.1, 2.0, 5.0, -45.0]), np.array([6.0, 25.0, 40.0, -5.0])
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        first, p = p[keys].iloc[:1], p[p["mean_db"].notna()]
+        if not len(p):
+            return first.iloc[:0].assign(impedance=0.0, slope=0.0, second=0.0, volume_db=0.0, rms=0.0)
+        x, y = p["bin"].to_numpy(float), p["mean_db"].to_numpy(float)
+        cost = lambda q: float(np.sqrt(np.mean((level_array(x, frequency, *q) - y) ** 2)))
+        q, least = anneal(cost, (low + high) / 2, low, high, (high - low) / 40, seed, cycles, each)
+        return first.assign(**dict(zip(("impedance", "slope", "second", "volume_db"), map(float, q))), rms=least)
+
+    schema = curves.select(*keys, *(F.lit(0.0).alias(k) for k in ("impedance", "slope", "second", "volume_db", "rms"))).schema
+    return curves.select(*keys, "bin", "mean_db").groupBy(*keys).applyInPandas(one, schema)
+
+
 # -- series -----------------------------------------------------------------------------------
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import acoustics as ac
+from ..functions import geo, seabed, text
 from ..functions.geo import GridSpec
 from ..operators import angular as an
 from ..operators import grid as g
 from ..operators import navigation as nv
 from ..operators import records as rc
 from ..operators import slices as sl
+from ..operators import solvers as so
 from ..operators import stencil as st
 from ..operators import temporal as tp
 from ..sources import readers, writers
@@ -296,3 +298,30 @@ def o03(spark, sf):
 def s10(spark, sf):
     along, across, vertical = sl.distances("px", "sy", -F.col("z"), F.lit(1.5), 0.1)
     return detections(spark, sf).select("ok", "ln", "p", F.round(along, 4).alias("along"), F.round(across, 4).alias("across"), F.round(vertical, 4).alias("vertical"))
+
+
+# -- seabed -------------------------------------------------------------------------------------------------
+
+_G = "10.0 / 3"
+_ESAB = f"""WITH {DET}, x AS (SELECT ok, ln, p, greatest(1e-8, radians(angle)) AS t, 1.5 + antenna / 2.0 AS z, 4.0 + antenna AS s1, -30.0 + antenna AS mu FROM det),
+y AS (SELECT *, 0.7030 + 0.2055 * z AS ratio, power(radians(s1 * power(2.0, ({_G} - 2) / 4)), 2) AS d1, power(radians(20.0), 2) AS d2, power((z - 1) / (z + 1), 2) AS v0, power(tan(t), 2) AS tan2, power(cos(t), 4) AS cos4 FROM x),
+k AS (SELECT *, ratio * sin(t) AS s, list_reduce(list_prepend(2 * d1 * 1.5 * ln(10.0), list_transform(range(40), lambda i: CAST(i AS DOUBLE))), lambda u, i: 2 * d1 * (2 * ln(1 + u) + 1.5 * ln(10.0))) AS u FROM y),
+w AS (SELECT *, sqrt(greatest(0, 1 - s * s)) AS down FROM k), r AS (SELECT *, CASE WHEN s < 1 THEN power((z * cos(t) - down) / (z * cos(t) + down), 2) ELSE 1.0 END AS v2, 1 / (1 + exp(-degrees(t - atan(sqrt(u))))) AS inner_ FROM w),
+q AS (SELECT *, power(2.0, {_G} - 5) * power(pi(), {_G} - 3) * power(4 - {_G}, ({_G} - 2) / 2) * power({_G} - 2, 1 - ({_G} - 2) / 2) * v2 * cos4 / power(sin(t), {_G}) * power(d1, ({_G} - 2) / 2) AS bragg,
+  v0 * exp(-tan2 / (2 * d1)) / (8 * pi() * d1 * cos4) * exp(-1) AS f1, v0 * exp(-tan2 / (2 * d2)) / (8 * pi() * d2 * cos4) * exp(-1) AS f2,
+  CASE WHEN s < 1 THEN power(10.0, mu / 10) * power(2.0, 0.65) * power(1 - v2, 2) * ratio * ratio * power(cos(t), 2) / greatest(down, 1e-6) / (1 + exp(-degrees(t - radians(10)) / 2)) ELSE 0 END AS vol FROM r)
+SELECT ok, ln, p, round(10 * log10((bragg + f2) * inner_ + (1 - inner_) * f1 + vol + 1e-15), 4) AS level FROM q"""
+
+
+@query("f18_seabed_level", _ESAB)
+def f18(spark, sf):
+    a = F.col("antenna")
+    v = seabed.level("angle", F.lit(300_000.0), 1.5 + a / 2.0, 4.0 + a, F.lit(20.0), -30.0 + a)
+    return detections(spark, sf).select("ok", "ln", "p", F.round(v, 4).alias("level"))
+
+
+@query("x24_seabed_inversion")
+def x24(spark, sf):
+    """Seabed properties of each mode's mean curve; annealing, so there is no SQL."""
+    d = detections(spark, sf).groupBy("mode", F.col("angle").alias("bin")).agg(ac.mean_db(F.col("db") - F.col("angle") / 5).alias("mean_db"))
+    return so.invert_seabed(d, ["mode"], 300_000.0).select("mode", *r("impedance", "slope", "second", "volume_db", "rms"))
