@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from ..functions import acoustics as ac
@@ -15,7 +17,7 @@ from ..operators import slices as sl
 from ..operators import solvers as so
 from ..operators import stencil as st
 from ..operators import temporal as tp
-from ..sources import readers, writers
+from ..sources import netcdf3, rasters, readers, writers
 from .bind import DET, GRID, PINGS, TRACK, detections, grid, pings, r, table, track
 from .io_q import _folder
 from .registry import query
@@ -325,3 +327,37 @@ def x24(spark, sf):
     """Seabed properties of each mode's mean curve; annealing, so there is no SQL."""
     d = detections(spark, sf).groupBy("mode", F.col("angle").alias("bin")).agg(ac.mean_db(F.col("db") - F.col("angle") / 5).alias("mean_db"))
     return so.invert_seabed(d, ["mode"], 300_000.0).select("mode", *r("impedance", "slope", "second", "volume_db", "rms"))
+
+
+# -- rasters and files ------------------------------------------------------------------------------------
+
+
+@query("s18_s19_k06_raster_round_trip", f"""WITH {GRID} SELECT col * 0.5 + 0.25 AS x, "row" + 0.5 AS y, floor(min) AS value FROM grid""")
+def k06(spark, sf):
+    path = _folder(spark, "raster")
+    cells = grid(spark, sf).withColumn("v", F.floor("min"))
+    size = cells.agg(F.max("row"), F.max("col")).first()
+    spec = GridSpec(0.0, 0.0, 0.5, 1.0, (size[0] or 0) + 1, (size[1] or 0) + 1)
+    rasters.write_tiles(cells, "v", spec, path, 16).write.format("noop").mode("overwrite").save()
+    return rasters.read_raster(spark, path).select("x", "y", "value")
+
+
+@query("k09_raster_lines", f"""WITH {GRID} SELECT format('{{:.8f}} {{:.8f}} {{:.2f}}', col * 0.5 + 0.25, "row" + 0.5, CAST(floor(min) AS DOUBLE)) AS value FROM grid""")
+def k09(spark, sf):
+    return writers.xyz_lines(k06(spark, sf).withColumnRenamed("value", "z"))
+
+
+@query("s02_s03_sounding_file", """SELECT CAST(i AS BIGINT) AS "mbCycleNbr", CAST(j AS BIGINT) AS "mbBeamNbr", CASE WHEN (i * 7 + j) % 5 <> 0 THEN -(i * 7 + j) * 0.5 + 10 END AS depth, CAST(j % 3 AS DOUBLE) AS flag FROM range(40) a(i), range(7) b(j)""")
+def s02(spark, sf):
+    """A sounding file of 40 pings written and read by its extension."""
+    path = _folder(spark, "soundings") + ".mbg"
+    n = np.arange(280).reshape(40, 7)
+    layers = {"mbAlongDistance": n, "mbAcrossDistance": n, "mbDepth": np.where(n % 5 == 0, -9999, -n), "mbSFlag": n % 7 % 3}
+    extra = {"mbDepth": {"_FillValue": -9999.0, "scale_factor": 0.5, "add_offset": 10.0, "units": "m"}}
+    dims = dict(zip(readers.MBG_DIMENSIONS, (40, 7)))
+    raw = netcdf3.file_bytes(dims, {k: (readers.MBG_DIMENSIONS, v.astype("i4"), extra.get(k, {})) for k, v in layers.items()})
+    fs, base = pafs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/line.mbg") as f:
+        f.write(raw)
+    return readers.read(spark, path).select(*readers.MBG_DIMENSIONS, F.col("mbDepth").alias("depth"), F.col("mbSFlag").alias("flag"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .netcdf3 import read_variables
+from .rasters import read_raster
 
 # Schemas of the logical inputs.
 DETECTION = """file STRING, ping INT, beam INT, ping_time_ns BIGINT, lon DOUBLE, lat DOUBLE, x_along FLOAT, y_across FLOAT, z FLOAT, backscatter_db FLOAT,
@@ -21,6 +23,8 @@ PING = "file STRING, ping INT, ping_time_ns BIGINT, lon DOUBLE, lat DOUBLE, head
 CELL = """row INT, col INT, elevation FLOAT, elevation_smoothed FLOAT, elevation_min FLOAT, elevation_max FLOAT, stdev FLOAT, value_count INT, filtered_sounding INT,
 interpolation_flag TINYINT, cdi_index INT, backscatter FLOAT, min_across_distance FLOAT, max_across_distance FLOAT, max_across_angle FLOAT"""
 NAV = "name STRING, time_ns BIGINT, lat DOUBLE, lon DOUBLE, heading FLOAT, altitude FLOAT, vertical_offset FLOAT, speed FLOAT, cog FLOAT, quality INT"
+# Dimensions and layers of the older sounding format.
+MBG_DIMENSIONS, MBG_VARIABLES = ["mbCycleNbr", "mbBeamNbr"], ["mbAlongDistance", "mbAcrossDistance", "mbDepth", "mbSFlag"]
 # Missing markers of stored layers.
 MISSING = {"int": -1, "tinyint": 127, "string": ""}
 
@@ -50,7 +54,8 @@ def _needs(package: str) -> Callable[[SparkSession, str], DataFrame]:
 #: Readers by extension; register() adds more.
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ".detections": parquet_reader(DETECTION), ".pings": parquet_reader(PING), ".cells": parquet_reader(CELL), ".nav": parquet_reader(NAV),
-    ".mbg": _needs("netCDF4"), ".nc": _needs("netCDF4"), ".xsf": _needs("netCDF4"), ".dtm": _needs("netCDF4"), ".tif": _needs("GDAL"), ".tiff": _needs("GDAL"),
+    ".mbg": lambda spark, path: read_variables(spark, path, MBG_DIMENSIONS, MBG_VARIABLES), ".tif": read_raster, ".tiff": read_raster,
+    ".nc": _needs("HDF5"), ".xsf": _needs("HDF5"), ".dtm": _needs("HDF5"),
 }
 
 

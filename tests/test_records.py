@@ -70,3 +70,20 @@ def test_seabed_model_and_its_inversion(spark):
     assert np.allclose([r.mean_db for r in df.orderBy("bin").collect()], want, atol=1e-6)
     got = so.invert_seabed(df, ["mode"], 200_000.0).collect()
     assert len(got) == 1 and got[0].rms < 0.5 and so.invert_seabed(df.limit(0), ["mode"], 200_000.0).count() == 0
+
+
+def test_raster_and_file_formats():
+    import pytest
+    from fathomix.sources import netcdf3, rasters
+
+    v = np.array([[1.5, np.nan, 3.0], [4.0, 5.0, -6.25]])
+    got, west, north, sx, sy = rasters.parse_tiff(rasters.tiff_bytes(v, 10.0, 50.0, 0.5, 0.25))
+    assert np.array_equal(got, v, equal_nan=True) and (west, north, sx, sy) == (10.0, 50.0, 0.5, 0.25)
+    for bad in (b"", b"II*\0", b"%PDF-1.4"):
+        with pytest.raises((ValueError, Exception)):
+            rasters.parse_tiff(bad)
+    raw = netcdf3.file_bytes({"a": 2, "b": 3}, {"x": (["a", "b"], np.arange(6, dtype="f8").reshape(2, 3), {}), "s": (["a"], np.array([7, 8], "i2"), {"scale_factor": 0.1})})
+    head = netcdf3._Header(raw)
+    assert head.values("x").tolist() == [0, 1, 2, 3, 4, 5] and np.allclose(head.values("s"), [0.7, 0.8]) and head.shape("x") == [("a", 2), ("b", 3)]
+    with pytest.raises(ValueError):
+        netcdf3._Header(b"\x89HDF")
