@@ -158,6 +158,22 @@ def butterworth(order: int, cutoff: float) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+def chebyshev2(order: int, attenuation: float, edge: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order low-pass sections of an even order that reach ``attenuation`` dB from ``edge`` on, a
+    share of half the sampling rate; gain 1 at rest."""
+    k = math.tan(math.pi * edge / 2)
+    mu = math.asinh(math.sqrt(10 ** (attenuation / 10) - 1)) / order
+    out = []
+    for m in range(1, order, 2):
+        turn = math.pi * m / (2 * order)
+        pole = k / complex(-math.sinh(mu) * math.cos(turn), -math.cosh(mu) * math.sin(turn))
+        zero = 1j * k / math.sin(turn)
+        p, z = (1 + pole) / (1 - pole), (1 + zero) / (1 - zero)
+        a, b = np.array([1.0, -2 * p.real, abs(p) ** 2]), np.array([1.0, -2 * z.real, abs(z) ** 2])
+        out.append((b * a.sum() / b.sum(), a))
+    return out
+
+
 def filtfilt(sections: list[tuple[np.ndarray, np.ndarray]], v: np.ndarray) -> np.ndarray:
     """Zero-phase filtering: forward and backward, with odd reflection at the ends."""
     pad = min(len(v) - 1, 300)
@@ -176,12 +192,14 @@ def filtfilt(sections: list[tuple[np.ndarray, np.ndarray]], v: np.ndarray) -> np
     return x[pad : pad + len(v)] if pad > 0 else x
 
 
-def low_pass(rows: DataFrame, keys: list[str], t: str, value: str, order: int = 4, cutoff: float = 0.1) -> DataFrame:
-    """Zero-phase Butterworth of each series."""
+def low_pass(rows: DataFrame, keys: list[str], t: str, value: str, order: int = 4, cutoff: float = 0.1, attenuation: float | None = None) -> DataFrame:
+    """Zero-phase low-pass of each series: Butterworth, or Chebyshev of the second kind if an
+    attenuation in dB is given.  A series is a task's work; equal times keep any order."""
+    sections = butterworth(order, cutoff) if attenuation is None else chebyshev2(order, attenuation, cutoff)
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(t)
-        return p.assign(filtered=filtfilt(butterworth(order, cutoff), p[value].to_numpy(float)) if len(p) > 1 else p[value])
+        return p.assign(filtered=filtfilt(sections, p[value].to_numpy(float)) if len(p) > 1 else p[value])
 
     schema = rows.select(*keys, t, value, F.lit(0.0).alias("filtered")).schema
     return rows.select(*keys, t, value).groupBy(*keys).applyInPandas(one, schema)
@@ -232,6 +250,42 @@ def ray_by_time(depths: np.ndarray, speeds: np.ndarray, seconds: np.ndarray, inc
     return x * sign, depth
 
 
+def ray_by_depth(depths: np.ndarray, speeds: np.ndarray, target: np.ndarray, incidence: np.ndarray, tx_depth: float) -> tuple[np.ndarray, np.ndarray]:
+    """(horizontal distance, seconds) of rays down to the target depths, through the layers of
+    ``ray_by_time``; null above the transducer or where the ray has turned before."""
+    sv = float(np.interp(tx_depth, depths, speeds))
+    below = depths > tx_depth
+    z = np.concatenate([[tx_depth], depths[below], [12_000.0]])
+    v = np.concatenate([[sv], speeds[below], [speeds[-1] if below.any() else sv]]).astype(float)
+    v[1:][np.abs(np.diff(v)) < 1e-6] += 1e-6
+    p = np.sin(np.radians(np.abs(incidence))) / sv
+    x, t = np.zeros(len(target)), np.zeros(len(target))
+    lost = target < tx_depth
+    for i in np.flatnonzero(np.diff(z) > 0):
+        g = (v[i + 1] - v[i]) / (z[i + 1] - z[i])
+        end = np.clip(target, z[i], z[i + 1])
+        ve = v[i] + g * (end - z[i])
+        lost = lost | ((end > z[i]) & (p * np.maximum(v[i], ve) >= 1))
+        c0, c1 = (np.sqrt(np.maximum(0, 1 - (p * w) ** 2)) for w in (v[i], ve))
+        flat = p < 1e-12
+        x += np.where(flat, 0.0, (c0 - c1) / np.where(flat, 1, p * g))
+        t += np.abs(np.log(ve * (1 + c0) / (v[i] * (1 + c1))) / g)
+    nan = np.where(lost, np.nan, 1.0)
+    return x * np.sign(incidence) * nan, t * nan
+
+
+def trace_to_depth(beams: DataFrame, depths: list[float], speeds: list[float], tx_depth: float) -> DataFrame:
+    """beams (id, depth, incidence) with x and seconds; one profile, Arrow batches."""
+    d, s = np.array(depths, float), np.array(speeds, float)
+
+    def run(batches):
+        for p in batches:
+            x, t = ray_by_depth(d, s, p["depth"].to_numpy(float), p["incidence"].to_numpy(float), tx_depth)
+            yield p.assign(x=x, seconds=t)
+
+    return beams.select("id", "depth", "incidence").mapInPandas(run, beams.select("id", "depth", "incidence", F.lit(0.0).alias("x"), F.lit(0.0).alias("seconds")).schema)
+
+
 def trace_rays(beams: DataFrame, depths: list[float], speeds: list[float], tx_depth: float) -> DataFrame:
     """beams (id, seconds, incidence) with x and depth; one profile, Arrow batches."""
     d, s = np.array(depths, float), np.array(speeds, float)
@@ -301,21 +355,24 @@ def with_tiles(grid: DataFrame, size: int, halo: int) -> DataFrame:
 
 def quadrant_fill(values: np.ndarray, reach: int) -> np.ndarray:
     """Missing cells from the nearest value of each quadrant within reach, inverse-distance
-    weighted, where three quadrants or more have one."""
-    out = values.copy()
+    weighted, where three quadrants or more have one; of equals the one further south, then west.
+
+    All cells look at one offset at a time, the nearest offsets first."""
+    hole = np.isnan(values)
+    wide = np.pad(values, reach, constant_values=np.nan)
     rows, cols = values.shape
-    for r, c in np.argwhere(np.isnan(values)):
-        found = {}
-        r0, r1, c0, c1 = max(0, r - reach), min(rows, r + reach + 1), max(0, c - reach), min(cols, c + reach + 1)
-        for i, j in np.argwhere(~np.isnan(values[r0:r1, c0:c1])):
-            di, dj = i + r0 - r, j + c0 - c
-            q, d = (di + dj >= 0, di - dj >= 0), di * di + dj * dj
-            if q not in found or d < found[q][0]:
-                found[q] = (d, values[i + r0, j + c0])
-        if len(found) >= 3:
-            w = [1 / d for d, _ in found.values()]
-            out[r, c] = sum(a * v for a, (_, v) in zip(w, found.values())) / sum(w)
-    return out
+    total, weight = np.zeros(values.shape), np.zeros(values.shape)
+    have = np.zeros((4, *values.shape), bool)
+    span = range(-reach, reach + 1)
+    for d, i, j in sorted((i * i + j * j, i, j) for i in span for j in span if i or j):
+        v = wide[reach + i : reach + i + rows, reach + j : reach + j + cols]
+        q = 2 * (i + j >= 0) + (i - j >= 0)
+        new = hole & ~have[q] & ~np.isnan(v)
+        have[q] |= new
+        total[new] += v[new] / d
+        weight[new] += 1 / d
+    ok = hole & (have.sum(0) >= 3)
+    return np.where(ok, total / np.where(ok, weight, 1.0), values)
 
 
 def harmonic_fill(values: np.ndarray, rounds: int = 400) -> np.ndarray:

@@ -361,3 +361,16 @@ def s02(spark, sf):
     with fs.open_output_stream(f"{base}/line.mbg") as f:
         f.write(raw)
     return readers.read(spark, path).select(*readers.MBG_DIMENSIONS, F.col("mbDepth").alias("depth"), F.col("mbSFlag").alias("flag"))
+
+
+@query("x18_rays_to_depth")
+def x18(spark, sf):
+    d = detections(spark, sf).select(F.xxhash64("ok", "ln", "p").alias("id"), (-F.col("z")).alias("depth"), F.col("angle").alias("incidence"))
+    out = so.trace_to_depth(d, [0.0, 100.0, 400.0, 1200.0], [1500.0, 1490.0, 1480.0, 1495.0], 5.0)
+    return out.select("id", *r("x", "seconds"))
+
+
+@query("w19_stop_band")
+def w19b(spark, sf):
+    """Each file's series through the stop-band filter of order 2, 40 dB."""
+    return so.low_pass(pings(spark, sf), ["file"], "t", "value", 2, 0.2, 40.0).select("file", "t", *r("filtered"))

@@ -87,3 +87,18 @@ def test_raster_and_file_formats():
     assert head.values("x").tolist() == [0, 1, 2, 3, 4, 5] and np.allclose(head.values("s"), [0.7, 0.8]) and head.shape("x") == [("a", 2), ("b", 3)]
     with pytest.raises(ValueError):
         netcdf3._Header(b"\x89HDF")
+
+
+def test_stop_band_filter():
+    (b, a), = so.chebyshev2(2, 40.0, 0.25)
+    gain = lambda w: abs(np.polyval(b[::-1], np.exp(-1j * np.pi * w)) / np.polyval(a[::-1], np.exp(-1j * np.pi * w)))
+    assert abs(gain(0.0) - 1) < 1e-9 and abs(20 * np.log10(gain(0.25)) + 40) < 1e-6
+    assert all(gain(w) <= 10**-2 + 1e-9 for w in np.linspace(0.25, 1, 50))
+
+
+def test_rays_to_depth_undo_rays_by_time():
+    depths, speeds = np.array([0.0, 50.0, 300.0, 900.0]), np.array([1500.0, 1480.0, 1470.0, 1490.0])
+    target, angle = np.array([20.0, 200.0, 700.0, 1500.0, 700.0, 2.0]), np.array([30.0, -45.0, 10.0, 0.0, 60.0, 20.0])
+    x, t = so.ray_by_depth(depths, speeds, target, angle, 5.0)
+    x2, z2 = so.ray_by_time(depths, speeds, t[:5], angle[:5], 5.0)
+    assert np.allclose(z2, target[:5], atol=1e-3) and np.allclose(x2, x[:5], atol=1e-2) and np.isnan(x[5])
