@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,7 +227,7 @@ def write_store(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, shar
 
 
 class TokenStore:
-    """Constant-time keyed access to a store."""
+    """Keyed access to a store: the shard by bisecting the manifest, then constant time in its index."""
 
     def __init__(self, uri: str):
         self.fs, self.root = arrow_fs(uri)
@@ -244,15 +245,18 @@ class TokenStore:
     def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
         """The ids of one document, or None if the store doesn't hold it."""
         order = lambda x: (x is not None, x or 0)  # noqa: E731  nulls first
-        for s in self.manifest["shards"]:
-            if order(s["first"]) <= order(doc_id) <= order(s["last"]):
-                one = lambda v, t: np.array([v], t)
-                found, at, n = self.index(s["shard"]).find(one(doc_id or 0, np.int64), one(doc_id is None, bool), one(occurrence, np.uint32))
-                if found[0]:
-                    size = self.manifest["id_bytes"]
-                    with self.fs.open_input_file(f"{self.root}/shard-{s['shard']:06d}.bin") as f:
-                        return np.frombuffer(f.read_at(int(n[0]) * size, int(at[0]) * size), self.kind)
-        return None
+        shards = self.manifest["shards"]  # in order of their keys, which never share one
+        k = bisect_right(shards, order(doc_id), key=lambda s: order(s["first"])) - 1
+        if k < 0:
+            return None
+        shard = shards[k]["shard"]
+        one = lambda v, t: np.array([v], t)
+        found, at, n = self.index(shard).find(one(doc_id or 0, np.int64), one(doc_id is None, bool), one(occurrence, np.uint32))
+        if not found[0]:
+            return None
+        size = self.manifest["id_bytes"]
+        with self.fs.open_input_file(f"{self.root}/shard-{shard:06d}.bin") as f:
+            return np.frombuffer(f.read_at(int(n[0]) * size, int(at[0]) * size), self.kind)
 
 
 def read_store(spark: SparkSession, uri: str, block: int = 4 << 20) -> DataFrame:
