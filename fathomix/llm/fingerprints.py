@@ -127,7 +127,13 @@ def compare_with_next(docs: DataFrame, size: int = 5, k: int = 128) -> DataFrame
         for b in batches:
             ids = [order(v) for v in b.column(0).to_pylist()]
             own = [bisect.bisect_right(lows, v) - 1 for v in ids]
-            extra = [i for i, (v, k_) in enumerate(zip(ids, own)) if v == highs[k_]]
+            first: dict[int, tuple] = {}  # of rows of a range's largest doc_id one a batch will do: the first by text
+            for i, (v, k_) in enumerate(zip(ids, own)):
+                if v == highs[k_]:
+                    text = b.column(1)[i].as_py()
+                    now = (text is not None, text or "", i)
+                    first[k_] = min(first.get(k_, now), now)
+            extra = [i for _, _, i in first.values()]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([False] * len(own)), b.column(0), b.column(1)], names=["bucket", "guest", "doc_id", "text"])
             if extra:
                 guests = b.take(pa.array(extra))
