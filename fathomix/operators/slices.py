@@ -80,8 +80,9 @@ def argmax_first(rows: DataFrame, keys: list[str], index: str, value: str) -> Da
 
 
 def seeded_sample(rows: DataFrame, keys: list[str], id_: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows per key in an order fixed by a hash; a sampling operator."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(id_, F.lit(seed)), id_)
+    """n rows per key in an order fixed by the MD5 of id and seed; a sampling operator.  Rows of one
+    id follow one another; a null id comes first."""
+    w = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", id_, F.lit(str(seed)))), id_)
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 

@@ -319,7 +319,11 @@ def w13(spark, sf):
     return tp.resample(pings(spark, sf).select("kind", "t", "value"), ["kind"], "t", "value", 86_400_000_000).select("kind", "t", *r("value", digits=5))
 
 
-@query("w17_lines_between_turns")
+@query("w17_lines_between_turns", f"""WITH {PINGS}, h AS (SELECT *, event_id % 40 / 4.0 AS heading FROM pings), j AS (SELECT *, heading - lag(heading) OVER (PARTITION BY file ORDER BY t) AS jump FROM h),
+u AS (SELECT *, heading + sum(coalesce(-round_even(jump / 360.0, 0) * 360.0, 0)) OVER (PARTITION BY file ORDER BY t ROWS UNBOUNDED PRECEDING) AS uh FROM j),
+s AS (SELECT *, coalesce(stddev_samp(uh) OVER (PARTITION BY file ORDER BY t RANGE BETWEEN 43200000000 PRECEDING AND 43200000000 FOLLOWING), 0) < 3 AS i FROM u), d AS (SELECT *, lag(i) OVER (PARTITION BY file ORDER BY t) AS b FROM s),
+x AS (SELECT *, sum(CASE WHEN i AND NOT coalesce(b, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY t) AS run FROM d)
+SELECT file, CAST(run AS BIGINT) AS run, min(t) AS start, max(t) AS stop FROM x WHERE i GROUP BY file, run HAVING max(t) - min(t) >= 3600000000""")
 def w17(spark, sf):
     return tp.turns(track(spark, sf).withColumn("heading", F.col("event_id") % 40 / 4), ["file"], "t", "heading", 86_400_000_000, 3.0, 3_600_000_000)
 
@@ -457,10 +461,12 @@ def o07(spark, sf):
     return sl.argmax_first(e, ["vec_id"], "i", "v")
 
 
-@query("o08_seeded_sample")
+@query("o08_seeded_sample", f"""WITH {DET}, e AS (SELECT "row", ok, ln, ok || '-' || ln || '-' || CAST(round(p * 100) AS BIGINT) AS id FROM det), x AS (SELECT *, row_number() OVER (PARTITION BY "row" ORDER BY md5(id || ':0'), id) AS k FROM e)
+SELECT "row", ok, ln FROM x WHERE k <= 100""")
 def o08(spark, sf):
     """100 echoes per ping at most, a sampling operator."""
-    return sl.seeded_sample(_echo(spark, sf), ["row"], "ok", 100).select("row", "ok", "ln")
+    e = _echo(spark, sf).withColumn("id", F.concat_ws("-", "ok", "ln", F.round(F.col("p") * 100).cast("long")))
+    return sl.seeded_sample(e, ["row"], "id", 100).select("row", "ok", "ln")
 
 
 @query("u03_modes_in_both", """SELECT DISTINCT l_returnflag AS mode, l_linenumber AS antenna FROM lineitem WHERE l_quantity < 5 INTERSECT SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_quantity > 45""")

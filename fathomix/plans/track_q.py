@@ -81,7 +81,13 @@ def x19(spark, sf):
     return detections(spark, sf).select("ok", "ln", "p", F.round(i, 4).alias("incidence"), F.round(a, 4).alias("azimuth"))
 
 
-@query("x31_j20_shift_navigation")
+_LERP = "CASE WHEN t0 IS NULL OR t1 IS NULL THEN 0 WHEN t0 = t1 THEN {0}0 ELSE {0}0 + ({0}1 - {0}0) * (t - t0) / (t1 - t0) END"
+
+
+@query("x31_j20_shift_navigation", f"""WITH {TRACK}, v AS (SELECT file, t, value - 50 AS e, 50 - value AS n FROM track WHERE kind = 'purchase'),
+a AS (SELECT k.*, v.t AS t0, v.e AS e0, v.n AS n0 FROM track k ASOF LEFT JOIN v ON k.file = v.file AND k.t >= v.t), b AS (SELECT a.*, v.t AS t1, v.e AS e1, v.n AS n1 FROM a ASOF LEFT JOIN v ON a.file = v.file AND a.t <= v.t),
+s AS (SELECT event_id, lon, lat, {_LERP.format('e')} AS east, {_LERP.format('n')} AS north, 1 - {geo.E2!r} * power(sin(radians(lat)), 2) AS k FROM b)
+SELECT event_id, round(degrees(east / ({geo.SEMI_MAJOR!r} / sqrt(k))) / cos(radians(lat)) + lon, 6) AS lon, round(degrees(north / ({geo.SEMI_MAJOR!r} / sqrt(k) * (1 - {geo.E2!r}) / k)) + lat, 6) AS lat FROM s""")
 def x31(spark, sf):
     n = track(spark, sf)
     v = n.filter("kind = 'purchase'").select("file", "t", (F.col("value") - 50).alias("east"), (50 - F.col("value")).alias("north"))
@@ -93,7 +99,10 @@ def w22(spark, sf):
     return tr.resample_paths(track(spark, sf).select("file", "t", F.col("lon").alias("x"), F.col("lat").alias("y")), "file", "t", 50).select("file", "i", *r("x", "y"))
 
 
-@query("w15_chain_code")
+@query("w15_chain_code", f"""WITH {TRACK}, d AS (SELECT file, t, lead(lon) OVER w - lon AS dx, lead(lat) OVER w - lat AS dy FROM track WINDOW w AS (PARTITION BY file ORDER BY t)),
+p AS (SELECT file, t, (degrees(atan2(dx, dy)) % 360 + 360) % 360 AS a, sqrt(dx * dx + dy * dy) AS d FROM d),
+q AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY file ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS along FROM p), m AS (SELECT *, CAST(round(along * 1000) AS BIGINT) AS mm FROM q)
+SELECT file, t, round(along, 4) AS along, round(avg(a) OVER (PARTITION BY file ORDER BY mm RANGE BETWEEN CURRENT ROW AND 100000 FOLLOWING) - avg(a) OVER (PARTITION BY file ORDER BY mm RANGE BETWEEN 100000 PRECEDING AND CURRENT ROW), 4) AS code FROM m""")
 def w15(spark, sf):
     return tr.chain_code(track(spark, sf).select("file", "t", F.col("lon").alias("x"), F.col("lat").alias("y")), "file", "t", 200.0).select("file", "t", *r("along", "code"))
 
