@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import CELL
+from .grid import CELL, merge_fill
+from .temporal import fill_linear
 
 # Named smoothing kernels.
 KERNELS = {
@@ -157,3 +158,32 @@ def small_holes(grid: DataFrame, layer: str, below: int, materialise=None) -> Da
     label = components(grid.filter(F.col(layer).isNull()), materialise)
     area = label.groupBy("label").agg(F.count("*").alias("area"), F.avg("row").alias("row"), F.avg("col").alias("col"))
     return area.filter(F.col("area") < below)
+
+
+def merge_smoothed(stacked: DataFrame, layer: str, radius: int = 1) -> DataFrame:
+    """Grids merged by priority, with the border of the first one smoothed: cells within ``radius``
+    of its edge, on either side, take the mean of the window around them."""
+    merged = merge_fill(stacked, [layer])
+    band = border(stacked.filter((F.col("priority") == 0) & F.col(layer).isNotNull()).select(*CELL), radius).withColumn("_band", F.lit(True))
+    means = convolve(merged, layer, [[1.0] * (2 * radius + 1)] * (2 * radius + 1)).withColumnRenamed(layer, "_m")
+    j = merged.join(band, CELL, "left").join(means, CELL, "left")
+    return j.select(*CELL, F.when(F.col("_band") & F.col(layer).isNotNull(), F.col("_m")).otherwise(F.col(layer)).alias(layer))
+
+
+def peaks_by_deviation(grid: DataFrame, layer: str, factor: float, size: int = 3) -> DataFrame:
+    """Cells further from the mean of their window than ``factor`` times its deviation; a window of
+    one cell has none."""
+    near = spread(grid, layer, [[1.0] * size] * size).groupBy(*CELL).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    j = grid.filter(F.col(layer).isNotNull()).join(near, CELL)
+    return j.filter(F.abs(F.col(layer) - F.col("_m")) > factor * F.col("_s")).drop("_m", "_s")
+
+
+def bilinear_fill(grid: DataFrame, layer: str, radius: int = 2, limit: int | None = None) -> DataFrame:
+    """Holes that a morphological closing closes, filled by the mean of linear interpolation along
+    their row and along their column (or the one there is); at most ``limit`` cells from a value."""
+    have = grid.filter(F.col(layer).isNotNull()).select(*CELL, F.col(layer).cast("double").alias(layer))
+    holes = erode(dilate(have, radius), radius).join(have.select(*CELL), CELL, "left_anti")
+    u = have.unionByName(holes, allowMissingColumns=True)
+    a = fill_linear(u, ["row"], "col", layer, limit).withColumnRenamed(layer, "_a")
+    b = fill_linear(u, ["col"], "row", layer, limit).withColumnRenamed(layer, "_b")
+    return holes.join(a, CELL).join(b, CELL).select(*CELL, F.coalesce((F.col("_a") + F.col("_b")) / 2, "_a", "_b").alias(layer)).filter(F.col(layer).isNotNull())

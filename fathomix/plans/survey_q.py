@@ -18,7 +18,7 @@ from ..operators import solvers as so
 from ..operators import stencil as st
 from ..operators import temporal as tp
 from ..sources import netcdf3, rasters, readers, writers
-from .bind import DET, GRID, PINGS, TRACK, detections, grid, pings, r, table, track
+from .bind import DET, GRID, GRIDS, PINGS, TRACK, detections, grid, grids, pings, r, table, track
 from .io_q import _folder
 from .registry import query
 from .tables import cut
@@ -374,3 +374,26 @@ def x18(spark, sf):
 def w19b(spark, sf):
     """Each file's series through the stop-band filter of order 2, 40 dB."""
     return so.low_pass(pings(spark, sf), ["file"], "t", "value", 2, 0.2, 40.0).select("file", "t", *r("filtered"))
+
+
+# -- neighbourhoods -----------------------------------------------------------------------------------------
+
+
+@query("a17_merge_with_border", f"""WITH {GRIDS}, m AS (SELECT "row", col, arg_min(mean, priority) AS mean FROM grids GROUP BY ALL), f AS (SELECT "row" AS fr, col AS fc FROM grids WHERE priority = 0),
+n AS (SELECT m."row", m.col, count(*) AS c FROM m JOIN f ON abs(fr - m."row") <= 1 AND abs(fc - m.col) <= 1 GROUP BY ALL),
+b AS (SELECT m."row", m.col, avg(s.mean) AS a FROM m JOIN m s ON abs(s."row" - m."row") <= 1 AND abs(s.col - m.col) <= 1 GROUP BY ALL)
+SELECT m."row", m.col, round(CASE WHEN c BETWEEN 1 AND 8 THEN a ELSE mean END, 4) AS mean FROM m JOIN b USING ("row", col) LEFT JOIN n USING ("row", col)""")
+def a17(spark, sf):
+    return st.merge_smoothed(grids(spark, sf), "mean").withColumn("mean", F.round("mean", 4))
+
+
+@query("x15_peaks_by_deviation", f"""WITH {GRID}, n AS (SELECT t."row", t.col, any_value(t.mean) AS mean, avg(s.mean) AS m, stddev_pop(s.mean) AS d FROM grid t JOIN grid s ON abs(s."row" - t."row") <= 1 AND abs(s.col - t.col) <= 1 GROUP BY t."row", t.col)
+SELECT "row", col, round(mean, 4) AS mean FROM n WHERE abs(mean - m) > 1.5 * d""")
+def x15d(spark, sf):
+    return st.peaks_by_deviation(grid(spark, sf), "mean", 1.5).select("row", "col", *r("mean"))
+
+
+@query("x09_bilinear_fill")
+def x09(spark, sf):
+    fine = detections(spark, sf).groupBy(F.col("sy").cast("int").alias("row"), F.floor(F.col("px") / 20).cast("int").alias("col")).agg(F.avg("z").alias("mean"))
+    return st.bilinear_fill(fine.filter("(row * 7 + col) % 5 != 0"), "mean", 2, 3).select("row", "col", *r("mean"))

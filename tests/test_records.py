@@ -102,3 +102,14 @@ def test_rays_to_depth_undo_rays_by_time():
     x, t = so.ray_by_depth(depths, speeds, target, angle, 5.0)
     x2, z2 = so.ray_by_time(depths, speeds, t[:5], angle[:5], 5.0)
     assert np.allclose(z2, target[:5], atol=1e-3) and np.allclose(x2, x[:5], atol=1e-2) and np.isnan(x[5])
+
+
+def test_bilinear_fill_of_a_plane(spark):
+    from fathomix.operators import stencil as st
+
+    cells = [(i, j, 2.0 * i + 3.0 * j) for i in range(8) for j in range(9)]
+    holes = {(3, 4), (3, 5), (5, 2)}
+    df = spark.createDataFrame([(i, j, None if (i, j) in holes else v) for i, j, v in cells], "row int, col int, mean double")
+    got = {(r.row, r.col): r.mean for r in st.bilinear_fill(df, "mean").collect()}
+    assert got == {(i, j): 2.0 * i + 3.0 * j for i, j in holes}
+    assert st.bilinear_fill(df.limit(0), "mean").count() == 0
