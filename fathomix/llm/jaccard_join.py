@@ -225,9 +225,10 @@ class JaccardJoin:
         return pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb")))
 
     def _near(self, pairs: DataFrame, bits: DataFrame, num: int) -> DataFrame:
-        """Of pairs (a, b, na, nb) those whose bitmaps allow num / den, written."""
+        """Of pairs (a, b) those whose sizes and bitmaps (id, n, bits) allow num / den, written."""
+        pairs = pairs.select("a", "b")  # the ids alone travel; the rest comes with the bitmaps
         for k in ("a", "b"):
-            pairs = pairs.join(bits.select(F.col("id").alias(k), F.col("bits").alias(f"bits{k}")), k)
+            pairs = pairs.join(bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")), k)
         return materialise(pairs.filter(self._bits(num)).select("a", "b").distinct(), "near-pairs")
 
     def _pivot_documents(self, rows: DataFrame) -> DataFrame:
@@ -246,11 +247,13 @@ class JaccardJoin:
         at = materialise(rows.join(pivots, "key").join(close, ["id", "b"]), "visits")
         home = at.filter("linked").groupBy("key", "id").agg(F.min(F.struct("_d", "b")).alias("_near")).select("key", "id", F.col("_near.b").alias("_home"))
         own = at.join(home, ["key", "id"], "left").withColumns({
-            "key": F.xxhash64("key", "b"),
             "home": F.col("home") & F.coalesce(F.col("_home") == F.col("b"), F.lit(False)),
             "d": F.when(F.col("_several").isNull(), F.col("_d")),
         })
-        return own.select(*names), rows.join(home, ["key", "id"], "left_anti")
+        # regions of one group of copies have the same pivots: a pivot's cells are one, compared once
+        cells = own.groupBy("b", "id", "n", "d").agg(F.max("home").alias("home"))
+        cells = cells.withColumns({"key": F.col("b"), "pos": F.lit(0), "last": F.lit(0)})
+        return cells.select(*names), rows.join(home, ["key", "id"], "left_anti")
 
     def _split(self, rows: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
         """Regions divided by the members' next shingle after the last one that divides them."""
@@ -280,7 +283,7 @@ class JaccardJoin:
         names = large.columns
 
         def bitmaps(ids: DataFrame, bits: Column) -> DataFrame:
-            own = reps.select("doc_id", bits.alias("bits")).join(hint_if_small(ids.distinct(), self.small_rows), "doc_id", "left_semi")
+            own = reps.select("doc_id", "n", bits.alias("bits")).join(hint_if_small(ids.distinct(), self.small_rows), "doc_id", "left_semi")
             return materialise(own.withColumnRenamed("doc_id", "id"), "bitmaps")
 
         # half as wide where only links matter
@@ -301,7 +304,7 @@ class JaccardJoin:
                 break
             pivots = materialise(self._pivot_documents(here), "pivots")
             ask = here.select("key", F.col("id").alias("a"), F.col("n").alias("na")).join(pivots, "key").filter((F.col("a") != F.col("b")) & self._sizes(self._wide))
-            distances = self._distances(self._near(ask.select("a", "b", "na", "nb").distinct(), bits, self._wide), docs)
+            distances = self._distances(self._near(ask.select("a", "b").distinct(), bits, self._wide), docs)
             found.append(distances.filter("linked").select("a", "b"))
             labels = self._labels(found)
             # pivots have met all members of their regions and leave
