@@ -63,15 +63,15 @@ _SLOT_HASH = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in ("number",
 def _token(raw: str) -> int:
     """A raw token as one number: hash of the bare lower-case token (0: none is left), then three
     bits for its type by itself and three for its flags."""
-    bare = _EDGE.sub("", raw)
-    low = bare.lower()
+    bare = raw if raw.isalpha() else _EDGE.sub("", raw)
+    low, plain = bare.lower(), bare.isalpha()  # a plain word has no digit
     flags = _STOP * (raw[-1:] in ".!?:;" or raw[-2:-1] in ".!?") | _CAPITAL * (bare[:1].isupper() and bare[:1].isalpha())
     if not bare:
         return flags
     kind = LITERAL
-    if _NUMBER.fullmatch(bare) or low in _NUMBERS:
+    if low in _NUMBERS or (not plain and _NUMBER.fullmatch(bare)):
         kind = NUMBER
-    elif (m := _QUANTITY.fullmatch(low)) and m[2] in _UNIT_SET:
+    elif not plain and (m := _QUANTITY.fullmatch(low)) and m[2] in _UNIT_SET:
         kind = QUANTITY
     elif low in _UNIT_SET or (flags & _CAPITAL and low in _OPENERS):
         flags |= _SPECIAL
@@ -81,7 +81,7 @@ def _token(raw: str) -> int:
 class _Tokens(dict):
     """What each raw token is, for those met, up to a bound."""
 
-    LIMIT = 150_000
+    LIMIT = 300_000
 
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.LIMIT:
