@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html_diff, langid, licenses, packing, token_store, url_filter, warc
+from . import decontaminate, fingerprints, html_diff, langid, licenses, manifest, packing, token_store, url_filter, warc
 from .common import new_folder, table
 from .jaccard_join import JaccardJoin
 
@@ -71,6 +71,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, each document's proof, and whether it holds after tampering."""
+    return manifest.verify(table(spark, sf_dir, "documents"), new_folder(spark, "manifest"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_fingerprints": op2_fingerprints,
@@ -82,8 +87,10 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op8_url_filter": url_filter.oracle(url_filter.UrlModel.train()),
     "op10_license_scan": licenses.oracle(),
+    "op13_merkle_manifest": manifest.oracle(),
 }
