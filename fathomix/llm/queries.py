@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html_diff, langid, licenses, manifest, packing, periodic_runs, token_store, url_filter, warc
+from . import decontaminate, fingerprints, html_diff, langid, licenses, manifest, packing, periodic_runs, slot_shards, token_store, url_filter, warc
 from .common import new_folder, table
 from .jaccard_join import JaccardJoin
 
@@ -71,6 +71,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes, by virtual slots, read back."""
+    return slot_shards.digest(table(spark, sf_dir, "documents"), 16)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every document, a tenth of which is made periodic."""
     return periodic_runs.digest(periodic_runs.find(table(spark, sf_dir, "documents"), 12, plant=True))
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
+    "op11_slot_shards": op11_slot_shards,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
