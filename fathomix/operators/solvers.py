@@ -215,6 +215,13 @@ def tide(times: DataFrame, constituents: DataFrame, t: str = "hours", mean: floa
 # -- geometry ---------------------------------------------------------------------------------
 
 
+def _slope(v: np.ndarray) -> None:
+    """Give layers without a gradient a negligible one, also where several follow one another."""
+    for k in range(1, len(v)):
+        if abs(v[k] - v[k - 1]) < 1e-6:
+            v[k] = v[k - 1] + 1e-6
+
+
 def ray_by_time(depths: np.ndarray, speeds: np.ndarray, seconds: np.ndarray, incidence: np.ndarray, tx_depth: float, sv_tx: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(horizontal distance, depth) of rays through layers of linear sound speed.
 
@@ -225,8 +232,7 @@ def ray_by_time(depths: np.ndarray, speeds: np.ndarray, seconds: np.ndarray, inc
     below = depths > tx_depth
     z = np.concatenate([[tx_depth], depths[below], [12_000.0]])
     v = np.concatenate([[sv], speeds[below], [speeds[-1] if below.any() else sv]]).astype(float)
-    same = np.abs(np.diff(v)) < 1e-6
-    v[1:][same] += 1e-6
+    _slope(v)
     x, depth, left = np.zeros(len(seconds)), np.full(len(seconds), tx_depth, float), seconds.astype(float).copy()
     p = np.sin(np.radians(np.abs(incidence))) / sv
     sign = np.sign(incidence)
@@ -257,7 +263,7 @@ def ray_by_depth(depths: np.ndarray, speeds: np.ndarray, target: np.ndarray, inc
     below = depths > tx_depth
     z = np.concatenate([[tx_depth], depths[below], [12_000.0]])
     v = np.concatenate([[sv], speeds[below], [speeds[-1] if below.any() else sv]]).astype(float)
-    v[1:][np.abs(np.diff(v)) < 1e-6] += 1e-6
+    _slope(v)
     p = np.sin(np.radians(np.abs(incidence))) / sv
     x, t = np.zeros(len(target)), np.zeros(len(target))
     lost = target < tx_depth

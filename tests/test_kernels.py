@@ -236,6 +236,8 @@ def test_text_sources(spark, tmp_path):
     kml = "<kml><Placemark><name>m</name><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 1,0 1,1</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark></kml>"
     assert readers.kml_rings(kml) == [("m", [(0, 0), (1, 0), (1, 1)])]
     with pytest.raises(NotImplementedError):
+        readers.read(spark, "x.xsf")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.read(spark, "x.mbg")
     with pytest.raises(ValueError):
         readers.read(spark, "x.unknown")
