@@ -60,11 +60,11 @@ def x21(spark, sf):
 
 
 @query("x26_w16_registration", f"""WITH {TRACK}, d AS (SELECT file, sqrt(power(lead(lon) OVER w - lon, 2) + power(lead(lat) OVER w - lat, 2)) AS d FROM track WINDOW w AS (PARTITION BY file ORDER BY t))
-SELECT file AS line, file AS target, file % 7 * 3.0 - 9 AS east, 4.0 - file % 5 * 2 AS north FROM d GROUP BY file HAVING round(sum(d) / 8) > 200""")
+SELECT file AS line, file AS target, file % 7 * 0.5 - 1.5 AS east, 1.0 - file % 5 * 0.5 AS north FROM d GROUP BY file HAVING round(sum(d) / 8) > 200""")
 def x26(spark, sf):
     """Every file's track against its copy, moved by a shift of its own that must be found again;
     200 vertices, 1.6 km, have to meet."""
     s = track(spark, sf).select(F.col("file").alias("line"), (F.col("file") % 10).alias("level"), F.col("t").alias("i"), (F.col("lon") + F.col("file") * 1000.0).alias("x"), F.col("lat").alias("y"))
-    t = s.withColumns({"x": F.col("x") + F.col("line") % 7 * 3 - 9, "y": F.col("y") + 4 - F.col("line") % 5 * 2})
+    t = s.withColumns({"x": F.col("x") + F.col("line") % 7 * 0.5 - 1.5, "y": F.col("y") + 1 - F.col("line") % 5 * 0.5})
     out = rg.shift_vectors(s, t, reach=100.0, spacing=8.0, least=200)
     return out.select("line", "target", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
