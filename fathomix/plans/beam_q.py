@@ -73,10 +73,10 @@ def x26(spark, sf):
 
 @query("x10_triangulated", f"""WITH {DET}, pts AS (SELECT * FROM (SELECT CAST(floor(sy / 10) AS BIGINT) AS "row", CAST(floor(px / 50) AS BIGINT) AS col, avg(px / 50) AS x, avg(sy / 10) AS y, avg(z) AS v, count(*) AS n FROM det GROUP BY ALL) WHERE n % 5 <> 0),
 near AS (SELECT "row" + dr AS r, col + dc AS c, x - (col + dc + 0.5) AS x, y - ("row" + dr + 0.5) AS y, v, "row" * 1000000 + col AS k, n FROM pts, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc)),
-tri AS (SELECT *, (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) AS d FROM (SELECT a.r, a.c, a.x AS ax, a.y AS ay, a.v AS av, b.x AS bx, b.y AS by, b.v AS bv, e.x AS cx, e.y AS cy, e.v AS cv
+tri AS (SELECT *, (bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax) AS d FROM (SELECT a.r, a.c, a.x AS ax, a.y AS ay, a.v AS av, b.x AS bx, b.y AS b_y, b.v AS bv, e.x AS cx, e.y AS cy, e.v AS cv
   FROM near a JOIN near b ON a.r = b.r AND a.c = b.c AND a.k < b.k JOIN near e ON e.r = b.r AND e.c = b.c AND b.k < e.k)),
-w AS (SELECT *, (bx * cy - by * cx) / d AS wa, (cx * ay - cy * ax) / d AS wb, (ax * by - ay * bx) / d AS wc FROM tri WHERE abs(d) > 1e-12),
-o AS (SELECT *, ((cy - ay) * (power(bx - ax, 2) + power(by - ay, 2)) - (by - ay) * (power(cx - ax, 2) + power(cy - ay, 2))) / (2 * d) AS ux, ((bx - ax) * (power(cx - ax, 2) + power(cy - ay, 2)) - (cx - ax) * (power(bx - ax, 2) + power(by - ay, 2))) / (2 * d) AS uy FROM w WHERE wa >= 0 AND wb >= 0 AND wc >= 0),
+w AS (SELECT *, (bx * cy - b_y * cx) / d AS wa, (cx * ay - cy * ax) / d AS wb, (ax * b_y - ay * bx) / d AS wc FROM tri WHERE abs(d) > 1e-12),
+o AS (SELECT *, ((cy - ay) * (power(bx - ax, 2) + power(b_y - ay, 2)) - (b_y - ay) * (power(cx - ax, 2) + power(cy - ay, 2))) / (2 * d) AS ux, ((bx - ax) * (power(cx - ax, 2) + power(cy - ay, 2)) - (cx - ax) * (power(bx - ax, 2) + power(b_y - ay, 2))) / (2 * d) AS uy FROM w WHERE wa >= 0 AND wb >= 0 AND wc >= 0),
 f AS (SELECT *, sqrt(ux * ux + uy * uy) AS rad FROM o)
 SELECT f.r AS "row", f.c AS col, round(wa * av + wb * bv + wc * cv, 4) AS value, EXISTS (SELECT 1 FROM pts WHERE "row" = f.r AND col = f.c) AS known FROM f
 WHERE greatest(abs(ux + ax), abs(uy + ay)) + rad <= 2 AND NOT EXISTS (SELECT 1 FROM near p WHERE p.r = f.r AND p.c = f.c AND sqrt(power(p.x - ux - ax, 2) + power(p.y - uy - ay, 2)) < rad - 1e-9)""")
