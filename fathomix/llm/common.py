@@ -26,6 +26,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_once(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` for operators of many rounds: the shuffles that made the table go when it is
+    written, instead of when the driver next collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(key, before) if before is not None else conf.unset(key)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing will read again: what was made from it must be
+    a written table."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/fathomix/" not in folder:
+            raise ValueError(f"{folder} isn't an intermediate table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system and path of a folder URI; a bare path is local."""
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)

@@ -48,7 +48,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hint_if_small, materialise
+from .common import bound_batches, discard, hint_if_small
+from .common import materialise_once as materialise
 from .components import components
 from .shingles import packed_set, parity_bitmap, read_set, set_digest, shingle_set
 
@@ -175,7 +176,8 @@ class JaccardJoin:
         return materialise(whole.mapInArrow(sets, "id long, members binary"), "sets")
 
     def _distances(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-        """pairs (a, b) with the exact distance d of their whole sets and whether they link, written.
+        """pairs (a, b), a table of ``_near`` that isn't read again, with the exact distance d of their
+        whole sets and whether they link, written.
 
         Few pivots are the b of many pairs, so a's set travels with the pair.
         """
@@ -197,7 +199,10 @@ class JaccardJoin:
 
         with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
         with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-        return materialise(with_b.select("a", "b", "ma", "mb").mapInArrow(measure, "a long, b long, d double, linked boolean"), "distances")
+        out = materialise(with_b.select("a", "b", "ma", "mb").mapInArrow(measure, "a long, b long, d double, linked boolean"), "distances")
+        discard(sets)
+        discard(pairs)
+        return out
 
     @staticmethod
     def _labels(found: list[DataFrame]) -> DataFrame:
@@ -291,6 +296,9 @@ class JaccardJoin:
         bits = bitmaps(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), half)
         found = [self._distances(self._near(pairs, bits, self.num), docs).filter("linked").select("a", "b")]
         labels = self._labels(found)
+        discard(bits)
+        discard(pairs)
+        discard(rows)
 
         bits = bitmaps(large.select(F.col("id").alias("doc_id")), F.col("bits"))
         leaves, todo = [], large
@@ -317,6 +325,7 @@ class JaccardJoin:
             # where pivots had no member near, others would hardly have any
             alone = pivots.select("key").distinct().join(rest.join(pivots, "key").join(distances.filter("linked").select(F.col("a").alias("id"), "b"), ["id", "b"]).select("key").distinct(), "key", "left_anti")
             far = materialise(far.join(alone.withColumn("_alone", F.lit(True)), "key", "left"), "far")
+            discard(cells)
             leaves.append(far.filter("_alone").select(*names))
             todo = far.filter("_alone is null").select(*names)
         if todo is not None:
