@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +107,19 @@ def hint_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's batches; memory that Arrow has freed goes back after each, the rest when the task ends.
+    Workers live on, so what one stage keeps is missing in the next."""
+    pool = pa.default_memory_pool()
+    for b in batches:
+        yield b
+        del b
+        pool.release_unused()
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 _caches: dict[str, tuple[dict, ...]] = {}
 _owner = ""
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, claim, hint_if_small, materialise
+from .common import bound_batches, claim, hint_if_small, materialise, released
 from .token_store import mix64
 
 # Units and number words.
@@ -81,7 +81,7 @@ def _token(raw: str) -> int:
 class _Tokens(dict):
     """What each raw token is, for those met, up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.LIMIT:
@@ -317,7 +317,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, coverage: f
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for b in batches:
+        for b in released(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 t = Template(text.as_py())

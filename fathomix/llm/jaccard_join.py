@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, hint_if_small
+from .common import bound_batches, discard, hint_if_small, released
 from .common import materialise_once as materialise
 from .components import components
 from .shingles import packed_set, parity_bitmap, read_set, set_digest, shingle_set
@@ -89,7 +89,7 @@ class JaccardJoin:
                 ok = k >= max(3, docs_ / 2000)
                 return pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(k[ok].astype(np.int64))], names=["h", "k"])
 
-            for b in batches:
+            for b in released(batches):
                 for text in b.column(0):
                     held.append(shingle_set(text.as_py(), size))
                     n, docs_ = n + len(held[-1]), docs_ + 1
@@ -114,7 +114,7 @@ class JaccardJoin:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             known, rank = shared.value
-            for b in batches:
+            for b in released(batches):
                 cols: tuple[list, ...] = ([], [], [], [])
                 for text in b.column(1):
                     s = shingle_set(text.as_py(), size)
@@ -169,7 +169,7 @@ class JaccardJoin:
         size = self.size
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in released(batches):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed_set(shingle_set(t.as_py(), size)) for t in b.column(1)], pa.binary())], names=["id", "members"])
 
         whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hint_if_small(ids, self.small_rows), "doc_id", "left_semi")
@@ -185,7 +185,7 @@ class JaccardJoin:
         sets = self._sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in released(batches):
                 d, linked, held = [], [], (None, None)
                 for x, y in zip(batch.column(2), batch.column(3)):
                     if held[0] != (raw := y.as_py()):  # rows come sorted by b
