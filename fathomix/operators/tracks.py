@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +67,28 @@ def first_match(left: DataFrame, right: DataFrame, on: Column, key: list[str], r
     return j.groupBy(*key).agg(F.min_by(F.struct(*value), F.struct(*rank)).alias("_m")).select(*key, *(F.col(f"_m.{k}").alias(k) for k in value))
 
 
+def propagate_offsets(edges: DataFrame, start: DataFrame, keep: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
+    """(mode, offset, weight) of every mode that transitions (from_mode, to_mode, offset, n) reach
+    from those of ``start`` (mode), whose own weight is null: without bound.
+
+    The graph is walked in rounds, from all modes of a round to those not reached before: along a step
+    offsets add and weights combine as w n / (w + n), steps that meet in one mode are averaged by weight
+    and their weights add, so cycles end where they began.  A round is a join, a sum and an anti-join;
+    ``keep`` writes its modes.  Nulls in either mode or the offset, and counts below 1, are no transition."""
+    e = edges.filter("from_mode is not null and to_mode is not null and offset is not null and n > 0")
+    seen = front = keep(start.select("mode").filter("mode is not null").distinct().select("mode", F.lit(0.0).alias("offset"), F.lit(None).cast("double").alias("weight")))
+    for _ in range(most):
+        step = e.join(front.select(F.col("mode").alias("from_mode"), F.col("offset").alias("_o"), F.col("weight").alias("_w")), "from_mode")
+        step = step.join(seen.select(F.col("mode").alias("to_mode")), "to_mode", "left_anti")
+        w, n = F.col("_w"), F.col("n").cast("double")
+        step = step.select(F.col("to_mode").alias("mode"), (F.col("_o") + F.col("offset")).alias("o"), F.coalesce(w * n / (w + n), n).alias("w"))
+        front = keep(step.groupBy("mode").agg((F.sum(F.col("o") * F.col("w")) / F.sum("w")).alias("offset"), F.sum("w").alias("weight")))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+    raise ValueError(f"modes are more than {most} steps apart")
+
+
 def propagate(edges: list[tuple[str, str, float, float]], start: str) -> dict[str, tuple[float, float]]:
     """(offset, weight) of each mode against start over transitions (from, to, offset, count).
 

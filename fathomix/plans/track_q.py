@@ -107,14 +107,19 @@ def w15(spark, sf):
     return tr.chain_code(track(spark, sf).select("file", "t", F.col("lon").alias("x"), F.col("lat").alias("y")), "file", "t", 200.0).select("file", "t", *r("along", "code"))
 
 
-@query("w06_propagated_offsets")
+@query("w06_propagated_offsets", f"""WITH RECURSIVE {PINGS}, s AS (SELECT kind AS mode, value AS level, t, lag(kind) OVER w AS m0, lag(value) OVER w AS l0, lag(t) OVER w AS t0 FROM pings WINDOW w AS (PARTITION BY file ORDER BY t)),
+f AS (SELECT m0 AS a, mode AS b, avg(level - l0) AS o, count(*) AS n FROM s WHERE m0 <> mode AND t / 1e6 - t0 / 1e6 <= 86400 GROUP BY ALL), g AS (SELECT a, b, sum(o * n) / sum(n) AS o, sum(n) AS n FROM (SELECT * FROM f UNION ALL SELECT b, a, -o, n FROM f) GROUP BY ALL),
+main AS (SELECT kind AS mode FROM pings GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1),
+walk(d, reached) AS (SELECT 0, [{{'mode': mode, 'offset': 0.0::DOUBLE, 'weight': 'infinity'::DOUBLE, 'd': 0}}] FROM main
+  UNION ALL SELECT d + 1, list_concat(reached, fresh) FROM (SELECT d, reached, (SELECT list({{'mode': b, 'offset': o, 'weight': w, 'd': d + 1}}) FROM (SELECT b, sum(o * w) / sum(w) AS o, sum(w) AS w FROM (
+    SELECT g.b, r.x.offset + g.o AS o, CASE WHEN isinf(r.x.weight) THEN g.n ELSE r.x.weight * g.n / (r.x.weight + g.n) END AS w FROM (SELECT unnest(reached) AS x) r JOIN g ON g.a = r.x.mode
+    WHERE r.x.d = d AND NOT list_contains(list_transform(reached, lambda v: v.mode), g.b)) GROUP BY b)) AS fresh FROM walk) WHERE fresh IS NOT NULL)
+SELECT x.mode AS mode, round(x.offset, 5) AS offset FROM (SELECT unnest(max_by(reached, d)) AS x FROM walk)""")
 def w06(spark, sf):
-    """Transitions of a handful of modes; the commonest mode is 0."""
+    """Offsets of all modes against the commonest one, which is 0."""
     p = pings(spark, sf).select("file", (F.col("t") / 1e6).alias("t"), F.col("kind").alias("mode"), F.col("value").alias("level"))
-    edges = [tuple(x) for x in an.transitions(p, 86400.0).select("from_mode", "to_mode", "offset", "n").collect()]
-    main = p.groupBy("mode").count().orderBy(F.desc("count"), "mode").first()[0]
-    rows = [(k, float(v[0])) for k, v in tr.propagate(edges, main).items()]
-    return spark.createDataFrame(rows, "mode string, offset double").withColumn("offset", F.round("offset", 5))
+    main = p.groupBy("mode").count().orderBy(F.desc("count"), "mode").limit(1)
+    return tr.propagate_offsets(cut(an.transitions(p, 86400.0)), main, cut).select("mode", F.round("offset", 5).alias("offset"))
 
 
 _LV = PINGS + ", lv AS (SELECT t, kind AS mode, event_id % 5 AS bin, -20 - value / 100 AS mean_db, event_id FROM pings)"

@@ -22,6 +22,23 @@ def test_offsets_along_and_beside():
     assert got["c"] == (pytest.approx((3.0 * 2 + 6.0 * 1) / 3), 3.0)
 
 
+def test_offsets_in_rounds_like_the_walk(spark):
+    """Series, parallel ways and cycles, against the walk over a dictionary."""
+    rng = np.random.default_rng(6)
+    graphs = [[("a", "b", 1.0, 4), ("a", "d", 0.0, 2), ("b", "c", 2.0, 4), ("d", "c", 6.0, 2), ("c", "a", 9.0, 1), ("x", "y", 1.0, 1)]]
+    for _ in range(3):
+        pairs = {(int(a), int(b)) for a, b in rng.integers(0, 14, (24, 2)) if a != b}
+        graphs.append([(f"m{a}", f"m{b}", float(rng.normal()), int(rng.integers(1, 9))) for a, b in sorted(pairs)])
+    for edges in graphs:
+        start = edges[0][0]
+        odd = [(None, "b", 1.0, 1), ("a", None, 1.0, 1), (start, "nowhere", None, 1), (start, "never", 1.0, 0)]
+        e = spark.createDataFrame(edges + odd, "from_mode string, to_mode string, offset double, n long")
+        got = {r.mode: (r.offset, r.weight) for r in tracks.propagate_offsets(e, spark.createDataFrame([(start,)], "mode string"), cut).collect()}
+        want = tracks.propagate(edges, start)
+        assert got.pop(start) == (0.0, None) and want.pop(start)
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_chain_code_of_a_corner(spark):
     pts = [(0, i, float(i), 0.0) for i in range(5)] + [(0, 5 + i, 4.0, float(-1 - i)) for i in range(5)]
     rows = tracks.chain_code(spark.createDataFrame(pts, "k int, i int, x double, y double"), "k", "i", 4.0).orderBy("i").collect()
