@@ -81,7 +81,7 @@ def _token(raw: str) -> int:
 class _Tokens(dict):
     """What each raw token is, for those met, up to a bound."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.LIMIT:
