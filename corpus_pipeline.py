@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomix.llm import decontaminate, langid, packing
-from fathomix.llm.common import hint_if_small, materialise, table
+from fathomix.llm.common import bound_batches, hint_if_small, materialise, table
 from fathomix.llm.jaccard_join import JaccardJoin
 from fathomix.llm.queries import tokenizer_path
 
+#: Arrow batches of the stages, in bytes: one executor serves all stages in turn, so each has to leave
+#: memory to the next.
+BATCH = 2 << 20
+
 #: A text whose cosine with its best language stays below this has no language of the corpus.
 LEAST_SCORE = 0.03
 
@@ -23,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter (null and empty texts among them), or like
     no learnt language, go.  Repeated rows and rows with a null doc_id or lang are judged alike; a
     null lang isn't learnt from, and without any lang all documents go."""
+    bound_batches(spark, BATCH)
     model = langid.train(docs.filter(~langid.held_out()).select("lang", "text"))
     marked = langid.predict(docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns if c in ("lang_pred", "score")}), model)
     kept = marked.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
@@ -35,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are in no group and stay, as do rows with a null doc_id.  Of rows with one
     doc_id and one text the first in column order stays; other texts under that doc_id stay too."""
+    bound_batches(spark, BATCH)
     groups = JaccardJoin(5, 80, 100).join(docs)
     gone = materialise(groups.filter("component_id != doc_id").select("doc_id").distinct(), "near-copies")
     kept = docs.join(hint_if_small(gone, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
@@ -50,12 +56,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item.  All rows of a doc_id go together; rows with a null
     doc_id, null and empty texts stay."""
+    bound_batches(spark, BATCH)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left: a row for each piece.  A null text is empty and still has
     its end id; repeated rows are documents of their own."""
+    bound_batches(spark, BATCH)
     return packing.pack_documents(docs, tokenizer_path(), 2048, 0)
 
 
