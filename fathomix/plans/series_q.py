@@ -172,13 +172,14 @@ def j09(spark, sf):
     return tp.within(p, lines, "t").groupBy("line").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("j12_nearest_path_point", f"""WITH {TRACK}, pt AS (SELECT event_id AS id, lon, lat FROM track WHERE event_id % 3 = 0), pa AS (SELECT event_id AS path_id, lon AS lon2, lat AS lat2 FROM track WHERE event_id % 10 = 1),
+@query("j12_nearest_path_point", f"""WITH {TRACK}, pt AS (SELECT event_id AS id, lon, lat FROM track), pa AS (SELECT event_id AS path_id, lon AS lon2, lat AS lat2 FROM track WHERE kind = 'purchase'),
 d AS (SELECT id, path_id, 2 * 6371000.0 * asin(sqrt(power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon) / 2), 2))) AS d FROM pt, pa WHERE abs(lat2 - lat) < 3),
 b AS (SELECT id, arg_min(path_id, d) AS path_id, min(d) AS d FROM d WHERE d < 200000 GROUP BY ALL) SELECT id, coalesce(path_id, -1) AS path_id, round(d, 2) AS distance FROM pt LEFT JOIN b USING (id)""")
 def j12(spark, sf):
+    """All positions against those of purchases, which are the path."""
     t = track(spark, sf)
-    pts = t.filter("event_id % 3 = 0").select(F.col("event_id").alias("id"), "lon", "lat")
-    path = t.filter("event_id % 10 = 1").select(F.col("event_id").alias("path_id"), "lon", "lat")
+    pts = t.select(F.col("event_id").alias("id"), "lon", "lat")
+    path = t.filter("kind = 'purchase'").select(F.col("event_id").alias("path_id"), "lon", "lat")
     return sl.nearest_within(pts, path, 200_000.0).select("id", "path_id", *r("distance", digits=2))
 
 

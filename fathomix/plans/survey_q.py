@@ -23,21 +23,25 @@ from .io_q import _folder
 from .registry import query
 from .tables import cut
 
-_SPEC = GridSpec(0.0, 0.0, 50.0, 10.0, 12, 42, "x")
+
+def _spec(spark, sf):
+    """The grid that holds all detections."""
+    top = table(spark, sf, "lineitem").agg(F.max("l_suppkey"), F.max("l_partkey")).first()
+    return GridSpec(0.0, 0.0, 50.0, 10.0, int(top[0] or 0) // 10 + 1, int(top[1] or 0) // 50 + 1, "x")
 
 
 # -- conversions --------------------------------------------------------------------------------------
 
 
 @query("a08_csv_to_grid", """SELECT CAST(floor(l_suppkey / 10) AS INTEGER) AS "row", CAST(floor(l_partkey / 50) AS INTEGER) AS col, count(*) AS value_count,
-round(avg(-floor(l_extendedprice)), 4) AS mean, min(-floor(l_extendedprice)) AS min, max(-floor(l_extendedprice)) AS max FROM lineitem WHERE l_suppkey < 120 AND l_partkey < 2100 GROUP BY ALL""")
+round(avg(-floor(l_extendedprice)), 4) AS mean, min(-floor(l_extendedprice)) AS min, max(-floor(l_extendedprice)) AS max FROM lineitem GROUP BY ALL""")
 def a08(spark, sf):
     """Soundings written with decimal commas and positive depths, read back and gridded."""
     path = _folder(spark, "soundings")
     value = F.format_string("%d,0;%d,0;%d,0", "l_partkey", "l_suppkey", F.floor("l_extendedprice"))
     writers.lines(table(spark, sf, "lineitem").select(value.alias("value")), path)
     points = readers.soundings_csv(spark, path, {"x": 0, "y": 1, "elevation": 2}, ";", ",", depth_sign=-1.0)
-    row, col = _SPEC.cell("x", "y")
+    row, col = _spec(spark, sf).cell("x", "y")
     cells = points.withColumns({"row": row, "col": col}).filter("row is not null")
     return g.grid_statistics(cells, "elevation", ["seq"]).select("row", "col", "value_count", *r("mean"), "min", "max")
 
@@ -52,10 +56,10 @@ def a09(spark, sf):
     return g.grid_points(points, GridSpec(0.0, 0.0, 0.5, 1.0, 1000, 10_000, "x"), "elevation", ["seq"])
 
 
-@query("k11_point_gridder", f"""WITH {DET} SELECT CAST(floor(sy / 10) AS INTEGER) AS "row", CAST(floor(px / 50) AS INTEGER) AS col, round(avg(z), 4) AS z, count(*) AS value_count FROM det WHERE sy < 120 AND px < 2100 GROUP BY ALL""")
+@query("k11_point_gridder", f"""WITH {DET} SELECT CAST(floor(sy / 10) AS INTEGER) AS "row", CAST(floor(px / 50) AS INTEGER) AS col, round(avg(z), 4) AS z, count(*) AS value_count FROM det GROUP BY ALL""")
 def k11(spark, sf):
     d = detections(spark, sf).withColumns({"x": F.col("px"), "y": F.col("sy")})
-    return g.grid_points(d, _SPEC, "z", [], "mean").withColumn("z", F.round("z", 4))
+    return g.grid_points(d, _spec(spark, sf), "z", [], "mean").withColumn("z", F.round("z", 4))
 
 
 @query("p11_crop", f"""WITH {GRID}, k AS (SELECT * FROM grid WHERE col BETWEEN 5 AND 20 AND value_count > 2), b AS (SELECT min("row") AS r0, min(col) AS c0 FROM k)
@@ -124,7 +128,7 @@ def s29(spark, sf):
 @query("s42_files", """SELECT count(DISTINCT l_returnflag) AS folders FROM lineitem""")
 def s42(spark, sf):
     path = _folder(spark, "listed")
-    detections(spark, sf).select("mode", "z").coalesce(1).write.partitionBy("mode").parquet(path)
+    detections(spark, sf).select("mode", "z").write.partitionBy("mode").parquet(path)
     found = readers.files(spark, path, "*.parquet").select(F.regexp_extract("path", r"/mode=([^/]+)/", 1).alias("mode"))
     return found.agg(F.count_distinct("mode").alias("folders"))
 
@@ -143,10 +147,12 @@ def k17(spark, sf):
     return pings(spark, sf).select("event_id", text.nmea_sentence(body).alias("value"))
 
 
-@query("k21_history", "SELECT 'merged' AS line UNION ALL SELECT 'smoothed'")
+@query("k21_history", f"""WITH {DET} SELECT 'gridded ' || count(*) || ' soundings' AS line FROM det UNION ALL SELECT 'merged ' || count(DISTINCT mode) || ' modes' FROM det""")
 def k21(spark, sf):
+    """What was done to a data set, appended step by step."""
     path = _folder(spark, "history")
-    for line in ("merged", "smoothed"):
+    n, modes = detections(spark, sf).agg(F.count("*"), F.count_distinct("mode")).first()
+    for line in (f"gridded {n} soundings", f"merged {modes} modes"):
         writers.history(spark, path, line)
     return spark.read.parquet(path).select("line")
 
