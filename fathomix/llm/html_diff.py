@@ -51,6 +51,12 @@ _QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ROLE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+# Where elements that hold no text end if their end tag is missing; others then hold the rest.
+_ENDS = {
+    "head": re.compile(rf"<(?:body|{'|'.join(x for x in BLOCKS if x != 'html')})[\s/>]", re.I),
+    "title": re.compile(r"<(?:/?(?:head|body|meta|link|base|script|style|main|article|section|header|nav|div|p|h[1-6])[\s/>])", re.I),
+    "select": re.compile(r"<(?!/?(?:option|optgroup|hr)[\s/>])/?[a-z]", re.I),
+}
 PLAIN, MAIN = 0, 1
 
 
@@ -89,7 +95,7 @@ def _off(attributes: str, article: bool) -> bool:
         return True
     for m in _ROLE.finditer(attributes):
         for word in (m[1] or m[2] or m[3] or "").lower().split():
-            bits = _SPLIT.split(word)
+            bits = [word] if article else _SPLIT.split(word)  # in an article share-price is no role
             if not _ROLES.isdisjoint(bits) or (not article and "header" in bits):
                 return True
     return False
@@ -136,7 +142,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if name in _RAW and not attributes.endswith("/"):
             close = re.compile(rf"</{name}\b", re.I).search(page, at)
             end = page.find(">", close.end()) if close else -1
-            at = len(page) if end < 0 else end + 1
+            rest = _ENDS[name].search(page, at) if end < 0 and name in _ENDS else None
+            at = rest.start() if rest else len(page) if end < 0 else end + 1
             continue
         own = name in _ASIDE or (name == "header" and not article)
         if not own and attributes.strip() and name not in ("html", "body", "main", "article"):

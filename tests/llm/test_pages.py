@@ -111,3 +111,15 @@ def test_differencing_decides_outside_articles(spark):
     rows = [(i, f"http://h.test/news/{i}", page(i)) for i in range(4)]
     got = {r.page_id: r.text for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Teaser {i}\nQuoted by all\nBody {i} told here\nMore of {i}" for i in range(4)}
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><meta charset=utf-8><body><article><p>One two.<p>Three.</article>",
+    "<html><head><title>T</title><script>x<y</script><article><p>One two.<p>Three.</article>",
+    "<html><head><title>T<meta charset=utf-8></head><body><article><p>One two.<p>Three.</article>",
+    "<html><head></head><body><select><option>a<option>b<article><p>One two.<p>Three.</article>",
+    "<article><div class='share-price'>One two.</div><div id='search-engines' class=ad-hoc>Three.</div></article>",
+    "<article><p class='notice-period'>One two.</p><div class='promo'>gone</div><p>Three.</p></article>",
+])
+def test_texts_of_careless_pages(page):
+    assert [line for _, line in html_diff.blocks(page)] == ["One two.", "Three."]
