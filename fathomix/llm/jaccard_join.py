@@ -19,6 +19,8 @@ num/den of each other meets in some region.  Pivots of two kinds are used, one a
    visits the regions of all pivots within 2e, and those are the only replicas.  Members that are
    within e of no pivot stay together and are worked on again with pivots of their own.
 
+In a region of up to ``leaf`` members the first one is compared with all others before these are
+compared with one another: near copies meet in very many small regions, and most are closed by then.
 Regions whose members are one component are closed.  Voronoi regions are leaves, compared at once.
 Another region ends as a leaf when it is small or when its pivots have no other member near.  A leaf of more than ``split``
 members is divided by the members' next shared shingle first: two that link and share the
@@ -229,6 +231,13 @@ class JaccardJoin:
         pairs = side(rows.filter("comp != most"), "a").join(side(rows, "b", "most"), "key").filter(ok & self._places())
         return pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb")))
 
+    @staticmethod
+    def _stars(regions: DataFrame) -> DataFrame:
+        """Pairs of each small region's first member a, all its rows, with the others."""
+        side = regions.select("a", F.explode(F.filter("members", lambda m: m["id"] == F.col("a"))).alias("x"), F.filter("members", lambda m: m["id"] != F.col("a")).alias("others"))
+        pairs = side.select("a", "x", F.explode("others").alias("y"))
+        return pairs.select("a", F.col("y.id").alias("b"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
     def _near(self, pairs: DataFrame, bits: DataFrame, num: int) -> DataFrame:
         """Of pairs (a, b) those whose sizes and bitmaps (id, n, bits) allow num / den, written."""
         pairs = pairs.select("a", "b")  # the ids alone travel; the rest comes with the bitmaps
@@ -280,9 +289,9 @@ class JaccardJoin:
         row = F.struct("id", "pos", "n")
         per = rows.filter("k = 2").groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).filter("lo.id != hi.id")
         two = per.select(*(F.col(f"{s}.{c}").alias(f"{c_}{t}") for s, t in (("lo", "a"), ("hi", "b")) for c, c_ in (("id", ""), ("pos", "p"), ("n", "n"))))
-        fresh = {"comp": F.col("id"), "most": F.lit(-1).cast("long"), "home": F.lit(True), "d": F.lit(0.0)}
-        few = rows.filter((F.col("k") > 2) & (F.col("k") <= self.leaf)).withColumns(fresh)
-        pairs = two.filter(self._places()).unionByName(self._pairs(few))
+        few = rows.filter((F.col("k") > 2) & (F.col("k") <= self.leaf)).groupBy("key").agg(F.min("id").alias("a"), F.collect_list(row).alias("members"))
+        few = materialise(few, "small-regions")
+        pairs = two.filter(self._places()).unionByName(self._stars(few).filter(self._places()))
         pairs = materialise(pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb"))), "pairs")
         large = materialise(rows.filter(F.col("k") > self.leaf).select("key", "id", "pos", "n", F.lit(True).alias("home"), F.lit(0.0).alias("d"), F.col("pos").alias("last")), "large-regions")
         names = large.columns
@@ -293,11 +302,17 @@ class JaccardJoin:
 
         # half as wide where only links matter
         half = F.when(F.size("bits") > 1, self._folded(F.col("bits"), F.floor(F.size("bits") / 2).cast("int"))).otherwise(F.col("bits"))
-        bits = bitmaps(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), half)
-        found = [self._distances(self._near(pairs, bits, self.num), docs).filter("linked").select("a", "b")]
-        labels = self._labels(found)
-        discard(bits)
-        discard(pairs)
+        found, labels = [], None
+        for again in (False, True):
+            if again:  # the first members have met all others of their regions and leave
+                rest = few.select("key", "a", F.inline("members")).filter("id != a").select("key", "id", "pos", "n", F.lit(True).alias("home"), F.lit(0.0).alias("d"))
+                pairs = materialise(self._pairs(materialise(self._open(rest, labels), "open-small-regions")), "pairs")
+            bits = bitmaps(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), half)
+            found.append(self._distances(self._near(pairs, bits, self.num), docs).filter("linked").select("a", "b"))
+            labels = self._labels(found)
+            discard(bits)
+            discard(pairs)
+        discard(few)
         discard(rows)
 
         bits = bitmaps(large.select(F.col("id").alias("doc_id")), F.col("bits"))
