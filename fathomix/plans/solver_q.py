@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import angular as an
 from ..operators import solvers as so
-from .bind import PINGS, detections, grid, pings, r
+from ..operators import tide as td
+from .bind import PINGS, detections, grid, pings, r, track
 from .registry import query
 
 
@@ -68,6 +69,15 @@ def x27(spark, sf):
     return so.tide(t, c).select("event_id", *r("tide"))
 
 
+@query("x28_antenna_tide")
+def x28(spark, sf):
+    """Tide from antenna heights, a series a kind of event, in predictive mode; a step an hour."""
+    c = spark.createDataFrame(_TIDES, "name string, amplitude double, speed double, phase double")
+    p = track(spark, sf).select("kind", "t", (F.col("value") / 100).alias("height"), (F.col("lat") / 100).alias("surface"), ((F.col("t") - 1_704_067_200_000_000) / 3.6e9).alias("hours"))
+    out = td.antenna_tide(so.tide(p, c), "kind", "t", "height", "surface", "tide", 0.25, 3600.0, 1 / 86_400, gap=43_200.0, interval=21_600.0)
+    return out.select("file", "t", *r("tide"))
+
+
 @query("x22_depth_correction", f"""WITH {PINGS}, d AS (SELECT event_id, file, t, value AS z FROM pings WHERE kind <> 'purchase'), c AS (SELECT file, t, event_id % 7 AS tide FROM pings WHERE kind = 'purchase'),
 a AS (SELECT d.*, c.t AS t0, c.tide AS v0 FROM d ASOF LEFT JOIN c ON d.file = c.file AND d.t >= c.t), b AS (SELECT a.*, c.t AS t1, c.tide AS v1 FROM a ASOF LEFT JOIN c ON a.file = c.file AND a.t <= c.t)
 SELECT event_id, round(z - CASE WHEN t0 IS NULL OR t1 IS NULL THEN 0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END + 0.5, 5) AS depth FROM b""")
