@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import angular as an
+from ..operators import inpaint as ip
 from ..operators import solvers as so
 from ..operators import tide as td
 from .bind import PINGS, detections, grid, pings, r, track
@@ -41,6 +42,25 @@ def x12(spark, sf):
     return so.fill_gaps(grid(spark, sf).filter("value_count % 5 != 0"), "mean", 8, 32, "harmonic").select("row", "col", *r("value"), "flag")
 
 
+def _inpainted(spark, sf, how):
+    g = grid(spark, sf)
+    size = g.agg(F.max("row"), F.max("col")).first()
+    out = ip.inpaint(g.filter("value_count % 5 != 0"), "mean", (size[0] or 0) + 1, (size[1] or 0) + 1, how, 3, 8)
+    return out.select("row", "col", *r("value", "change"))
+
+
+@query("x12_amle_inpainting")
+def x12b(spark, sf):
+    """Holes by absolutely minimising Lipschitz extension; tiles exchange borders every eight sweeps."""
+    return _inpainted(spark, sf, "amle")
+
+
+@query("x12_tv_inpainting")
+def x12c(spark, sf):
+    """Holes by total variation."""
+    return _inpainted(spark, sf, "tv")
+
+
 @query("x16_outliers")
 def x16(spark, sf):
     d = detections(spark, sf).select("row", F.xxhash64("ok", "ln", "p", "px").alias("id"), F.col("px").alias("x"), F.col("sy").alias("y"), "z")
