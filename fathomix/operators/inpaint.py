@@ -17,12 +17,13 @@ rounds have no row, as in an empty grid; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
 from .solvers import with_tiles
 
 REACH = {"harmonic": 1, "amle": 1, "tv": 2}
@@ -62,9 +63,9 @@ def sweep(u: np.ndarray, free: np.ndarray, how: str, least: float) -> np.ndarray
     return np.where(free & there.any(0), new, u)
 
 
-def inpaint(grid: DataFrame, layer: str, rows: int, cols: int, how: str = "amle", rounds: int = 4, sweeps: int = 8, tile: int = 256, least: float = 1e-3) -> DataFrame:
+def inpaint(grid: DataFrame, layer: str, rows: int, cols: int, cut: Callable[[DataFrame], DataFrame], how: str = "amle", rounds: int = 4, sweeps: int = 8, tile: int = 256, least: float = 1e-3) -> DataFrame:
     """(row, col, value, change) of the missing cells of a grid of rows x cols after rounds x sweeps sweeps;
-    change is how much the last sweep moved the cell.  ``least`` is the slope below which tv sees none."""
+    change is how much the last sweep moved the cell; ``cut`` writes a round's table.  ``least`` is the slope below which tv sees none."""
     halo = REACH[how] * sweeps
 
     def one(p: pd.DataFrame) -> pd.DataFrame:

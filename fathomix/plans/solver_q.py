@@ -10,6 +10,7 @@ from ..operators import solvers as so
 from ..operators import tide as td
 from .bind import PINGS, detections, grid, pings, r, track
 from .registry import query
+from .tables import cut
 
 
 def _curve(spark, sf, keys):
@@ -45,7 +46,7 @@ def x12(spark, sf):
 def _inpainted(spark, sf, how):
     g = grid(spark, sf)
     size = g.agg(F.max("row"), F.max("col")).first()
-    out = ip.inpaint(g.filter("value_count % 5 != 0"), "mean", (size[0] or 0) + 1, (size[1] or 0) + 1, how, 3, 8)
+    out = ip.inpaint(g.filter("value_count % 5 != 0"), "mean", (size[0] or 0) + 1, (size[1] or 0) + 1, cut, how, 3, 8)
     return out.select("row", "col", *r("value", "change"))
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from fathomix.operators.inpaint import inpaint
+from fathomix.plans.tables import cut
 
 
 def whole(cells, rows, cols, how, sweeps, least=1e-3):
@@ -51,15 +52,15 @@ def test_tiles_dont_change_the_result(spark, how):
     df = spark.createDataFrame([(i, j, v, "x") for (i, j), v in cells.items()] + [(8, 8, None, "x"), (99, 0, 1.0, "x"), (0, -1, 1.0, "x")], "row int, col int, z double, value string")
     want = whole(cells, rows, cols, how, 6)
     for tile, rounds, sweeps in ((5, 3, 2), (64, 1, 6)):
-        got = {(r.row, r.col): (round(r.value, 6), round(r.change, 6)) for r in inpaint(df, "z", rows, cols, how, rounds, sweeps, tile).collect()}
+        got = {(r.row, r.col): (round(r.value, 6), round(r.change, 6)) for r in inpaint(df, "z", rows, cols, cut, how, rounds, sweeps, tile).collect()}
         assert got.keys() == want.keys() and all(abs(a - b) < 2e-6 for p in want for a, b in zip(got[p], want[p]))
 
 
 def test_edges_stay_and_cases(spark):
     df = spark.createDataFrame([(i, j, 0.0 if j < 4 else 10.0) for i in range(9) for j in range(9) if not (3 <= i <= 5 and 2 <= j <= 6)], "row int, col int, z double")
-    ends = {how: {(r.row, r.col): r.value for r in inpaint(df, "z", 9, 9, how, 6, 10, 16).collect()} for how in ("harmonic", "tv")}
+    ends = {how: {(r.row, r.col): r.value for r in inpaint(df, "z", 9, 9, cut, how, 6, 10, 16).collect()} for how in ("harmonic", "tv")}
     sharp = {how: v[4, 5] - v[4, 2] for how, v in ends.items()}
     assert sharp["tv"] > sharp["harmonic"]
-    assert inpaint(df.limit(0), "z", 5, 5).count() == 0
+    assert inpaint(df.limit(0), "z", 5, 5, cut).count() == 0
     one = spark.createDataFrame([(2, 2, 7.0), (2, 2, 3.0)], "row int, col int, z double")
-    assert {(r.row, r.col): r.value for r in inpaint(one, "z", 5, 5, "amle", 1, 1).collect()} == {p: 3.0 for p in ((1, 2), (3, 2), (2, 1), (2, 3))}
+    assert {(r.row, r.col): r.value for r in inpaint(one, "z", 5, 5, cut, "amle", 1, 1).collect()} == {p: 3.0 for p in ((1, 2), (3, 2), (2, 1), (2, 3))}
