@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import shapes
 from .netcdf3 import read_variables
 from .rasters import read_raster
 
@@ -54,7 +55,7 @@ def _needs(package: str) -> Callable[[SparkSession, str], DataFrame]:
 #: Readers by extension; register() adds more.
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ".detections": parquet_reader(DETECTION), ".pings": parquet_reader(PING), ".cells": parquet_reader(CELL), ".nav": parquet_reader(NAV),
-    ".mbg": lambda spark, path: read_variables(spark, path, MBG_DIMENSIONS, MBG_VARIABLES), ".tif": read_raster, ".tiff": read_raster,
+    ".mbg": lambda spark, path: read_variables(spark, path, MBG_DIMENSIONS, MBG_VARIABLES), ".shp": shapes.read, ".tif": read_raster, ".tiff": read_raster,
     ".nc": _needs("HDF5"), ".xsf": _needs("HDF5"), ".dtm": _needs("HDF5"),
 }
 

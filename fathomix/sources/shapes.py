@@ -14,6 +14,7 @@ only in case; an empty table writes no file; reading a folder without files give
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -203,7 +204,7 @@ def read(spark: SparkSession, path: str, fields: list[tuple[str, str]] | None =
                 if held[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, schema.types)], schema=schema)
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.shx").load(path).select("path", "length")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.shx").load(re.sub(r"\.shp$", ".shx", path)).select("path", "length")
     last = F.floor((F.col("length") - 108) / (8 * records)).cast("long")
     first = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: i * records))
     splits = found.filter("length > 100").select(F.regexp_replace("path", "shx$", "shp").alias("path"), first.alias("first"))

@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from fathomix.sources import shapes
+from fathomix.sources import readers, shapes
 
 FEATURE = "parts array<array<struct<x:double,y:double,z:double>>>, ID bigint, NAME string, V double"
 ROWS = [
@@ -63,6 +63,7 @@ def test_points_and_navigation(spark, tmp_path):
     df = spark.createDataFrame(rows, "lon double, lat double, z double, DATE string, HEURE string, CAP double, IMMERSION double").coalesce(1)
     df = df.selectExpr(one.format("lon", "lat", "z"), "DATE", "HEURE", "CAP", "IMMERSION")
     shapes.write(df, shapes.POINT_Z, f"file://{tmp_path}").collect()
+    assert readers.read(spark, f"file://{tmp_path}/part-00000-0000.shp").count() == 3  # by its extension
     nav = shapes.navigation(shapes.read(spark, f"file://{tmp_path}")).orderBy("record").collect()
     assert [tuple(r)[4:] for r in nav] == [(1764313689000000, -4.5, 48.0, 90.5, -3.0), (None, 1.0, 2.0, None, None), (None, 3.0, 4.0, 1.0, -0.0)]
 
