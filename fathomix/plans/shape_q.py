@@ -25,10 +25,8 @@ def k15(spark, sf):
         F.col("heading").alias("CAP"), F.col("depth").alias("IMMERSION"), F.col("kind").alias("KIND"),
     )
     shapes.write(marks, shapes.POINT_Z, path).write.format("noop").mode("overwrite").save()
-    found = shapes.read(spark, path)
-    nav = shapes.navigation(found).select("file", "record", "t", "lon", "lat", "heading", "vertical_offset")
-    own = found.select("file", "record", F.col("ID").alias("id"), "z", F.col("KIND").alias("kind"))
-    return own.join(nav, ["file", "record"]).select("id", "t", "lon", "lat", "z", "heading", "vertical_offset", "kind")
+    nav = shapes.navigation(shapes.read(spark, path), ("z", "ID", "KIND"))  # in one pass: a join of the files with themselves would be broadcast by the index's size
+    return nav.select(F.col("ID").alias("id"), "t", "lon", "lat", "z", "heading", "vertical_offset", F.col("KIND").alias("kind"))
 
 
 @query("s24_k14_line_shapes", f"""WITH {TRACK}, m AS (SELECT *, t // 86400000000 AS day, row_number() OVER (PARTITION BY file, t // 86400000000 ORDER BY t, event_id) - 1 AS k FROM track),
@@ -47,6 +45,5 @@ def k14(spark, sf):
     features = line.select(parts.alias("parts"), F.col("file").cast("bigint").alias("NAME"), F.col("day").cast("bigint").alias("DAY"), F.col("chunk").cast("bigint").alias("CHUNK"), date.alias("DATE"), F.lit("00:00:00").alias("TIME"), F.col("n").alias("N"))
     shapes.write(features, shapes.LINE, path).write.format("noop").mode("overwrite").save()
     found = shapes.read(spark, path, [("NAME", "long"), ("DAY", "long"), ("CHUNK", "long"), ("DATE", "string"), ("TIME", "string"), ("N", "long")])
-    t = shapes.navigation(found).select("file", "record", "part", "vertex", "t", "lon", "lat")
-    own = found.select(F.col("file").alias("f"), "record", "part", "vertex", F.col("NAME").alias("file"), F.col("DAY").alias("day"), F.col("CHUNK").alias("chunk"), F.col("N").alias("n"))
-    return own.join(t.withColumnRenamed("file", "f"), ["f", "record", "part", "vertex"]).select("file", "day", "chunk", "part", "vertex", "lon", "lat", "t", "n")
+    nav = shapes.navigation(found, ("NAME", "DAY", "CHUNK", "N")).drop("file")
+    return nav.select(F.col("NAME").alias("file"), F.col("DAY").alias("day"), F.col("CHUNK").alias("chunk"), "part", "vertex", "lon", "lat", "t", F.col("N").alias("n"))

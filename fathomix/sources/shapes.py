@@ -213,9 +213,9 @@ def read(spark: SparkSession, path: str, fields: list[tuple[str, str]] | None =
     return spread.mapInArrow(scan, ddl)
 
 
-def navigation(points: DataFrame) -> DataFrame:
-    """Navigation (file, record, part, vertex, t, lon, lat, heading, vertical_offset) of read shapes: a
-    line's vertices are points with its attributes.  t is microseconds from DATE (dd/mm/yyyy) and TIME,
+def navigation(points: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Navigation (file, record, part, vertex, t, lon, lat, heading, vertical_offset) of read shapes, with
+    the columns in ``keep`` beside it: a line's vertices are points with its attributes.  t is microseconds from DATE (dd/mm/yyyy) and TIME,
     HOUR or HEURE (hh:mm:ss), null without them or where they can't be read; heading is HEADING or
     CAP; IMMERSION goes down."""
     has = set(points.columns)
@@ -225,4 +225,4 @@ def navigation(points: DataFrame) -> DataFrame:
 
     at = F.try_to_timestamp(F.concat_ws(" ", of(("DATE",)), of(("TIME", "HOUR", "HEURE"))), F.lit("dd/MM/yyyy HH:mm:ss"))
     down = -F.col("IMMERSION").cast("double") if "IMMERSION" in has else F.lit(None).cast("double")
-    return points.select("file", "record", "part", "vertex", F.unix_micros(at).alias("t"), F.col("x").alias("lon"), F.col("y").alias("lat"), of(("HEADING", "CAP")).cast("double").alias("heading"), down.alias("vertical_offset"))
+    return points.select("file", "record", "part", "vertex", F.unix_micros(at).alias("t"), F.col("x").alias("lon"), F.col("y").alias("lat"), of(("HEADING", "CAP")).cast("double").alias("heading"), down.alias("vertical_offset"), *keep)
