@@ -53,7 +53,8 @@ def a09(spark, sf):
     cells = grid(spark, sf).select((F.col("col") * 0.5 + 0.1).alias("x"), (F.col("row") + 0.2).alias("y"), (F.floor("min") / 4).alias("z"))
     writers.lines(writers.xyz_lines(cells), path)
     points = readers.xyz(spark, path).select(F.col("lon").alias("x"), F.col("lat").alias("y"), "elevation", F.monotonically_increasing_id().alias("seq"))
-    return g.grid_points(points, GridSpec(0.0, 0.0, 0.5, 1.0, 1000, 10_000, "x"), "elevation", ["seq"])
+    whole = _spec(spark, sf)
+    return g.grid_points(points, GridSpec(0.0, 0.0, 0.5, 1.0, whole.rows, whole.cols, "x"), "elevation", ["seq"])
 
 
 @query("k11_point_gridder", f"""WITH {DET} SELECT CAST(floor(sy / 10) AS INTEGER) AS "row", CAST(floor(px / 50) AS INTEGER) AS col, round(avg(z), 4) AS z, count(*) AS value_count FROM det GROUP BY ALL""")
