@@ -199,7 +199,7 @@ def f49(spark, sf):
     return table(spark, sf, "events").select("event_id", text.json_key("props", "k", "long").alias("k"))
 
 
-@query("s38_f50_array_histogram", """WITH x AS (SELECT vec_id, unnest(embedding) AS v FROM embeddings), b AS (SELECT vec_id, CAST(least(floor((v + 1) / 0.25), 7) AS INTEGER) AS bin FROM x WHERE v BETWEEN -1 AND 1)
+@query("s38_f50_array_histogram", """WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), b AS (SELECT vec_id, CAST(least(floor((v + 1) / 0.25), 7) AS INTEGER) AS bin FROM x WHERE v BETWEEN -1 AND 1)
 SELECT vec_id, bin, CAST(count(*) AS INTEGER) AS n FROM b GROUP BY ALL""")
 def f50(spark, sf):
     e = table(spark, sf, "embeddings")
