@@ -39,7 +39,7 @@ def j14(spark, sf):
 
 
 _IDW = """w AS (SELECT t."row", t.col, sum(s.mean / sqrt(power(s."row" - t."row", 2) + power(s.col - t.col, 2))) / sum(1 / sqrt(power(s."row" - t."row", 2) + power(s.col - t.col, 2))) AS mean
-FROM (SELECT CAST(i AS INTEGER) AS "row", CAST(j AS INTEGER) AS col FROM range(-2, 14) a(i), range(-2, 44) b(j)) t JOIN h s ON abs(s."row" - t."row") <= 2 AND abs(s.col - t.col) <= 2 AND (s."row", s.col) <> (t."row", t.col) GROUP BY t."row", t.col)"""
+FROM (SELECT DISTINCT CAST("row" + i AS INTEGER) AS "row", CAST(col + j AS INTEGER) AS col FROM h, range(-2, 3) a(i), range(-2, 3) b(j)) t JOIN h s ON abs(s."row" - t."row") <= 2 AND abs(s.col - t.col) <= 2 AND (s."row", s.col) <> (t."row", t.col) GROUP BY t."row", t.col)"""
 
 
 @query("x10_x13_inverse_distance_fill", f"""WITH {GRID}, h AS (SELECT "row", col, mean FROM grid WHERE value_count % 5 <> 0), {_IDW} SELECT "row", col, round(w.mean, 4) AS mean FROM w ANTI JOIN h USING ("row", col)""")
