@@ -138,11 +138,11 @@ def running_median(rows: DataFrame, keys: list[str], t: str, value: str, size: i
 
 
 def turns(rows: DataFrame, keys: list[str], t: str, heading: str, period: int, threshold: float, minimum: int) -> DataFrame:
-    """Lines between turns: runs whose rolling heading deviation stays below the threshold for at
-    least ``minimum``."""
+    """Lines between turns: runs whose rolling heading deviation, to nine digits, stays below the
+    threshold for at least ``minimum``."""
     u = unwrap(rows, keys, t, heading)
     w = Window.partitionBy(*keys).orderBy(t).rangeBetween(-period // 2, period // 2)
-    u = u.withColumn("_dev", F.coalesce(F.stddev_samp("unwrapped").over(w), F.lit(0.0)))
+    u = u.withColumn("_dev", F.coalesce(F.round(F.stddev_samp("unwrapped").over(w), 9), F.lit(0.0)))
     return runs(u, keys, t, F.col("_dev") < threshold).filter(F.col("stop") - F.col("start") >= minimum)
 
 

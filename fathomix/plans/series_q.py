@@ -322,7 +322,7 @@ def w13(spark, sf):
 
 @query("w17_lines_between_turns", f"""WITH {PINGS}, h AS (SELECT *, event_id % 40 / 4.0 AS heading FROM pings), j AS (SELECT *, heading - lag(heading) OVER (PARTITION BY file ORDER BY t) AS jump FROM h),
 u AS (SELECT *, heading + sum(coalesce(-round_even(jump / 360.0, 0) * 360.0, 0)) OVER (PARTITION BY file ORDER BY t ROWS UNBOUNDED PRECEDING) AS uh FROM j),
-s AS (SELECT *, coalesce(stddev_samp(uh) OVER (PARTITION BY file ORDER BY t RANGE BETWEEN 43200000000 PRECEDING AND 43200000000 FOLLOWING), 0) < 3 AS i FROM u), d AS (SELECT *, lag(i) OVER (PARTITION BY file ORDER BY t) AS b FROM s),
+s AS (SELECT *, coalesce(round(stddev_samp(uh) OVER (PARTITION BY file ORDER BY t RANGE BETWEEN 43200000000 PRECEDING AND 43200000000 FOLLOWING), 9), 0) < 3 AS i FROM u), d AS (SELECT *, lag(i) OVER (PARTITION BY file ORDER BY t) AS b FROM s),
 x AS (SELECT *, sum(CASE WHEN i AND NOT coalesce(b, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY t) AS run FROM d)
 SELECT file, CAST(run AS BIGINT) AS run, min(t) AS start, max(t) AS stop FROM x WHERE i GROUP BY file, run HAVING max(t) - min(t) >= 3600000000""")
 def w17(spark, sf):
