@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import asof, interpolating
+from .temporal import asof
 
 # -- hyperbolas -----------------------------------------------------------------------------------
 
@@ -281,17 +281,23 @@ def launch(beams: DataFrame, profiles: DataFrame, t: str, slab: int, method: str
     return b.groupBy("profile", "_slab").cogroup(layers.groupBy("_profile", "_part")).applyInPandas(one, schema)
 
 
-def with_profile(pings: DataFrame, taken: DataFrame, keys: list[str], t: str) -> DataFrame:
+def with_profile(pings: DataFrame, taken: DataFrame, keys: list[str], t: str, slab: int | None = None) -> DataFrame:
     """pings with the profile that was taken last at or before their time; the first one before that."""
-    return asof(pings, taken, keys, t, "profile", edges="first")
+    return asof(pings, taken, keys, t, "profile", edges="first", slab=slab)
 
 
-def with_attitude(pings: DataFrame, attitude: DataFrame, keys: list[str], t: str, columns: tuple[str, ...] = ("roll", "pitch", "heave")) -> DataFrame:
-    """pings with the attitude (columns) interpolated at their time; null outside of its span."""
-    out = pings.drop(*columns)
-    for k in columns:
-        out = interpolating(out, attitude, keys, t, k, "null")
-    return out
+def with_attitude(pings: DataFrame, attitude: DataFrame, keys: list[str], t: str, columns: tuple[str, ...] = ("roll", "pitch", "heave"), slab: int | None = None) -> DataFrame:
+    """pings with the attitude (columns) interpolated at their time; null outside of its span.
+
+    Each row of attitude is joined with the next one, so pings meet both in one as-of join; rows with a
+    null are left out, and of rows of one time the least counts."""
+    one = attitude.dropna(subset=[t, *columns]).groupBy(*keys, t).agg(F.min(F.struct(*(F.col(k).cast("double").alias(k) for k in columns))).alias("_a"))
+    here = F.struct(F.col(t).alias("t"), "_a.*")
+    pair = one.select(*keys, t, F.struct(here.alias("a"), F.lead(here).over(Window.partitionBy(*keys).orderBy(t)).alias("b")).alias("_pair"))
+    got = asof(pings.drop(*columns), pair, keys, t, "_pair", slab=slab)
+    at, a, b = F.col(t), F.col("_pair.a"), F.col("_pair.b")
+    value = lambda k: F.when(at == a["t"], a[k]).otherwise(a[k] + (b[k] - a[k]) * (at - a["t"]) / (b["t"] - a["t"]))
+    return got.withColumns({k: value(k) for k in columns}).drop("_pair")
 
 
 def relaunch(beams: DataFrame, attitude: DataFrame, taken: DataFrame, profiles: DataFrame, keys: list[str], t: str, slab: int, method: str = "cones") -> DataFrame:
@@ -300,7 +306,7 @@ def relaunch(beams: DataFrame, attitude: DataFrame, taken: DataFrame, profiles:
     time and the profile then in force; RESULTS, and depth below the surface.
 
     Beams outside of the attitude's span keep null results, as rejected ones."""
-    b = with_attitude(beams, attitude, keys, t)
-    b = with_profile(b, taken, keys, t).withColumn("tx_depth", F.col("tx_depth") + F.col("heave"))
+    b = with_attitude(beams, attitude, keys, t, slab=slab)
+    b = with_profile(b, taken, keys, t, slab).withColumn("tx_depth", F.col("tx_depth") + F.col("heave"))
     out = launch(b, profiles, t, slab, method)
     return out.withColumn("depth", F.col("tx_depth") + F.col("z"))

@@ -14,21 +14,33 @@ from ..functions._cols import Num, c
 from ..functions.acoustics import to_db, to_linear
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str, strict: bool = False, edges: str = "none") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str, strict: bool = False, edges: str = "none", slab: int | None = None) -> DataFrame:
     """left with the last value of right at or before (``strict``: before) its time.
 
     Union and running last value: one shuffle by key, no range join.  ``edges``: "none" leaves
-    times before the first value null, "first" gives them the first value.
-    """
+    times before the first value null, "first" gives them the first value.  With ``slab`` long series
+    are cut into slabs of that many units of time, each begun by the last value before it."""
     tag = 1 if not strict else -1
-    u = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(0)})
     r = right.select(*keys, t, F.col(value).alias("_v"), F.lit(-tag).alias("_side"))
-    u = u.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(t, "_side")
+    u = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(0)})
+    if slab is None:
+        u, by = u.unionByName(r, allowMissingColumns=True), keys
+    else:
+        by = [*keys, "_slab"]
+        u, r = (d.withColumn("_slab", slabs(t, slab)) for d in (u, r.filter("_v is not null")))
+        ends = r.groupBy(*by).agg(F.min_by(F.struct("_v"), t).alias("_a"), F.max_by(F.struct("_v"), t).alias("_z"))
+        ends = u.select(*by).distinct().unionByName(ends, allowMissingColumns=True).groupBy(*by).agg(F.max_by("_a", F.col("_a").isNotNull()).alias("_a"), F.max_by("_z", F.col("_z").isNotNull()).alias("_z"))
+        w = Window.partitionBy(*keys).orderBy("_slab")
+        seed = F.last("_z", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        if edges == "first":
+            seed = F.coalesce(seed, F.first("_a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        seeds = ends.withColumn("_s", seed).select(*by, (F.col("_slab") * slab).cast(left.schema[t].dataType).alias(t), F.col("_s._v").alias("_v"), F.lit(-2).alias("_side"))
+        u = u.unionByName(r, allowMissingColumns=True).unionByName(seeds, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy(t, "_side")
     got = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if edges == "first":
-        got = F.coalesce(got, F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return u.withColumn(value, got).filter("_side = 0").drop("_v", "_side")
+    if edges == "first" and slab is None:  # before the first value of a key, the next one is its first
+        got = F.coalesce(got, F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return u.withColumn(value, got).filter("_side = 0").drop("_v", "_side", "_slab")
 
 
 def interpolating(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str, outside: str = "null") -> DataFrame:

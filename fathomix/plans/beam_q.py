@@ -45,7 +45,7 @@ def _profiles(spark, sf):
 def x19n(spark, sf):
     """Launch angles and one-way times of separate arrays, level platform, the profile of the time."""
     layers, taken = _profiles(spark, sf)
-    b = bm.with_profile(_beams(spark, sf).withColumns({"roll": F.lit(0.0), "pitch": F.lit(0.0)}), taken, ["mode"], "t")
+    b = bm.with_profile(_beams(spark, sf).withColumns({"roll": F.lit(0.0), "pitch": F.lit(0.0)}), taken, ["mode"], "t", 90)
     return bm.launch(b, layers, "t", 90, "triangles").select("ok", "ln", "p", *r("incidence", "azimuth"), *r("one_way", digits=8))
 
 
