@@ -103,10 +103,11 @@ def runs(rows: DataFrame, keys: list[str], t: str, inside: Column) -> DataFrame:
 def fill_linear(rows: DataFrame, keys: list[str], x: str, value: str, limit: int | None = None) -> DataFrame:
     """Missing values interpolated between present ones; at most ``limit`` steps from either."""
     w = Window.partitionBy(*keys).orderBy(x)
-    back, fwd = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # running frames both ways: one that ends with the partition is gone through anew for every row
+    back, fwd = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.col(x).desc()).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col(value).isNotNull(), F.col(x))
-    x0, x1 = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(fwd)
-    v0, v1 = F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(fwd)
+    x0, x1 = F.last(at, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(fwd)
+    v0, v1 = F.last(value, ignorenulls=True).over(back), F.last(value, ignorenulls=True).over(fwd)
     lerp = v0 + (v1 - v0) * (F.col(x) - x0) / F.nullif(x1 - x0, F.lit(0))
     ok = F.lit(True) if limit is None else F.least(F.col(x) - x0, x1 - F.col(x)) <= limit
     return rows.withColumn(value, F.coalesce(F.col(value), F.when(ok, lerp)))
