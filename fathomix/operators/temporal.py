@@ -71,6 +71,28 @@ def within(rows: DataFrame, intervals: DataFrame, t: str, keys: list[str] = (),
     return r.join(cut, [*keys, "_slab"]).filter(F.col(t).between(F.col("start"), F.col("stop"))).drop("_slab")
 
 
+def within_totals(rows: DataFrame, intervals: DataFrame, t: str, values: list[str], slab: int = 3_600_000_000) -> DataFrame:
+    """Each interval (start, stop, both included) that holds any rows with their number n and the sums of
+    whole-number ``values``; rows aren't paired with intervals.
+
+    Running totals within time slabs and over the slabs' own totals are looked up at both ends; whole
+    numbers, so differences of them are exact."""
+    names = ["n", *values]
+    ones = rows.filter(F.col(t).isNotNull()).select(F.col(t).cast("long").alias("_t"), F.lit(1).cast("long").alias("n"), *(F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in values))
+    ones = ones.withColumns({"_slab": slabs("_t", slab), "_side": F.lit(0)})
+    lines = intervals.filter("start <= stop").withColumn("_line", F.struct(*intervals.columns))
+    ends = lines.select("_line", F.inline(F.array(F.struct(F.col("start").cast("long").alias("_t"), F.lit(-1).alias("_side")), F.struct(F.col("stop").cast("long").alias("_t"), F.lit(1).alias("_side")))))
+    w = Window.partitionBy("_slab").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    u = ones.unionByName(ends.withColumn("_slab", slabs("_t", slab)), allowMissingColumns=True)
+    u = u.select("_slab", "_line", "_side", *(F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in names)).filter("_side != 0")
+    # slabs are few: their totals are summed up in one task
+    before = ones.groupBy("_slab").agg(*(F.sum(k).alias(k) for k in names)).unionByName(u.select("_slab").distinct(), allowMissingColumns=True).groupBy("_slab").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in names))
+    up = Window.partitionBy(F.lit(0)).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("_slab", *(F.coalesce(F.sum(k).over(up), F.lit(0)).alias(f"_{k}") for k in names))
+    total = u.join(before, "_slab").groupBy("_line").agg(*(F.sum(F.col("_side") * (F.col(k) + F.col(f"_{k}"))).alias(k) for k in names))
+    return total.filter("n > 0").select("_line.*", *names)
+
+
 def sliding_curve(curves: DataFrame, keys: list[str], t: str, minutes: float, median: bool = True) -> DataFrame:
     """Centred sliding window of W minutes, (t - W/2, t + W/2]: median of levels, or weighted mean
     of linear values by counts."""

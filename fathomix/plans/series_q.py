@@ -169,7 +169,7 @@ _LINES = "li AS (SELECT file AS line, min(t) AS start, min(t) + CAST(36000000000
 def j09(spark, sf):
     p = pings(spark, sf)
     lines = p.groupBy(F.col("file").alias("line")).agg(F.min("t").alias("start")).withColumn("stop", F.col("start") + 36_000_000_000)
-    return tp.within(p, lines, "t").groupBy("line").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return tp.within_totals(p, lines, "t", ["event_id"]).select("line", "n", F.col("event_id").alias("ids"))
 
 
 @query("j12_nearest_path_point", f"""WITH {TRACK}, pt AS (SELECT event_id AS id, lon, lat FROM track), pa AS (SELECT event_id AS path_id, lon AS lon2, lat AS lat2 FROM track WHERE kind = 'purchase'),
@@ -192,7 +192,7 @@ def j13(spark, sf):
 def j02(spark, sf):
     s = table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "k")
     c = table(spark, sf, "customer").withColumnRenamed("c_nationkey", "k")
-    return sl.by_key_nearest(s, c, "k", F.abs(F.col("s_acctbal") - F.col("c_acctbal")), "s_suppkey", "c_custkey").withColumn("distance", F.round("distance", 4))
+    return sl.by_key_closest(s, c, "k", "s_acctbal", "c_acctbal", "s_suppkey", "c_custkey").withColumn("distance", F.round("distance", 4))
 
 
 _BOX = [(-50.0, -20.0), (60.0, -20.0), (60.0, 40.0), (-50.0, 40.0)]
