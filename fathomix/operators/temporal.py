@@ -7,6 +7,8 @@ Times are integers (micro- or nanoseconds), so frames are exact.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,16 +95,74 @@ def within_totals(rows: DataFrame, intervals: DataFrame, t: str, values: list[st
     return total.filter("n > 0").select("_line.*", *names)
 
 
+def range_kth(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest (from 0) of values[lo:hi] for many ranges at once: bit by bit of the values' ranks,
+    each bit parting them into zeros and ones in order."""
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    at = np.zeros(len(lo), np.int64)
+    for bit in reversed(range(max(1, (len(values) - 1).bit_length()))):
+        one = (rank >> bit) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        lo0, hi0 = zeros[lo], zeros[hi]
+        up = k >= hi0 - lo0
+        at |= up.astype(np.int64) << bit
+        k = np.where(up, k - (hi0 - lo0), k)
+        lo, hi = np.where(up, zeros[-1] + lo - lo0, lo0), np.where(up, zeros[-1] + hi - hi0, hi0)
+        rank = np.concatenate([rank[~one], rank[one]])
+    return values[order][at]
+
+
 def sliding_curve(curves: DataFrame, keys: list[str], t: str, minutes: float, median: bool = True) -> DataFrame:
     """Centred sliding window of W minutes, (t - W/2, t + W/2]: median of levels, or weighted mean
-    of linear values by counts."""
+    of linear values by counts.
+
+    A series is cut into slabs as long as the window, with half a window from either neighbour, so every row
+    is sent twice; all windows of a slab hold its middle, and sums run from there both ways."""
     half = int(minutes * 60e6 / 2)
-    w = Window.partitionBy(*keys).orderBy(t).rangeBetween(-half + 1, half)
-    if median:
-        v = F.percentile("mean_db", F.lit(0.5)).over(w)
-    else:
-        v = to_db(F.sum(to_linear("mean_db") * F.col("n")).over(w) / F.nullif(F.sum("n").over(w), F.lit(0)))
-    return curves.withColumn("sliding_db", F.when(F.col("n") > 0, v))
+    width = 2 * half
+    columns = [k for k in curves.columns if k != "sliding_db"]
+    part = F.pmod(F.col(t).cast("long"), F.lit(width).cast("long"))
+    own = ((F.col(t).cast("long") - part) / width).cast("long")
+    v, weight = (F.col("mean_db"), F.lit(1)) if median else (to_linear("mean_db") * F.col("n"), F.col("n"))
+    sent = curves.select(*columns, F.col(t).cast("long").alias("_t"), own.alias("_own"), v.cast("double").alias("_v"), weight.cast("double").alias("_w"))
+    sent = sent.withColumn("_slab", F.explode(F.array_distinct(F.array(own, own + F.when(part < half, -1).otherwise(1)))))
+
+    def one(p: pa.Table) -> pa.Table:
+        p = p.sort_by("_t")
+        slab = p["_slab"][0].as_py()
+        v, weight = (p[k].fill_null(np.nan).to_numpy() for k in ("_v", "_w"))
+        mine = np.ones(len(v), bool) if slab is None else p["_own"].to_numpy() == slab
+        if slab is None:  # rows without a time are one another's window
+            when, lo, hi, middle = None, np.zeros(len(v), int), np.full(len(v), len(v)), 0
+        else:
+            when = p["_t"].to_numpy()
+            lo, hi = np.searchsorted(when, when[mine] - half + 1), np.searchsorted(when, when[mine] + half, "right")
+            middle = int(np.searchsorted(when, slab * width + half))
+        there = np.concatenate([[0], np.cumsum(p["_v"].is_valid().to_numpy(zero_copy_only=False))])
+        n = there[hi] - there[lo]
+        out = np.full(len(lo), np.nan)
+        some = n > 0
+        if median and some.any():
+            held = v[p["_v"].is_valid().to_numpy(zero_copy_only=False)]
+            a, b, c = there[lo[some]], there[hi[some]], n[some]
+            out[some] = 0.5 * range_kth(held, a, b, (c - 1) // 2) + 0.5 * range_kth(held, a, b, c // 2)
+        elif some.any():
+            def total(x: np.ndarray) -> np.ndarray:
+                x = np.nan_to_num(x)
+                left, right = np.append(np.cumsum(x[:middle][::-1])[::-1], 0.0), np.concatenate([[0.0], np.cumsum(x[middle:])])
+                return left[lo] + right[hi - middle]
+
+            sums = total(weight)
+            with np.errstate(all="ignore"):
+                out = np.where(some & (sums != 0), total(v) / sums, np.nan)
+        some &= np.isfinite(out)
+        return p.filter(pa.array(mine)).select(columns).append_column("sliding_db", pa.array(out, pa.float64(), mask=~some))
+
+    schema = curves.select(*columns).withColumn("sliding_db", F.lit(None).cast("double")).schema
+    got = sent.groupBy(*keys, "_slab").applyInArrow(one, schema)
+    return got.withColumn("sliding_db", F.when(F.col("n") > 0, F.col("sliding_db") if median else to_db("sliding_db")))
 
 
 def gaps(rows: DataFrame, keys: list[str], t: str, factor: float = 1.5) -> DataFrame:
