@@ -1,8 +1,9 @@
 """Neighbourhood operators on sparse grids.
 
-A cell is sent to every cell whose window it is in, with its weight, and the target aggregates:
-one shuffle whatever the kernel, sums taken map-side first.  Windows are small and fixed, so the
-number of rows grows with the number of cells only.
+A cell is sent to every cell whose window it is in, with its weight, and the target aggregates.
+Cells are first brought together by blocks of ``BLOCK`` x ``BLOCK``: what a block's cells send one another is
+summed map-side, so a task holds and shuffles about a row a cell, not one a cell and step of the
+kernel.  Windows are small and fixed, so the number of rows grows with the number of cells only.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from .grid import CELL, merge_fill
 from .temporal import fill_linear
 
+BLOCK = 64  # cells; has no influence on results
+
 # Named smoothing kernels.
 KERNELS = {
     "box3": [[1, 1, 1], [1, 1, 1], [1, 1, 1]],
@@ -29,7 +32,9 @@ def spread(grid: DataFrame, layer: str, kernel: list[list[float]], centre: bool
     k, m = len(kernel) // 2, len(kernel[0]) // 2
     steps = [(i - k, j - m, float(w)) for i, r in enumerate(kernel) for j, w in enumerate(r) if w and (centre or (i, j) != (k, m))]
     moves = F.array(*(F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(w).alias("w")) for i, j, w in steps))
-    out = grid.filter(F.col(layer).isNotNull()).select(*CELL, F.col(layer).alias("v"), F.explode(moves).alias("m"))
+    cells = grid.filter(F.col(layer).isNotNull()).select(*CELL, F.col(layer).alias("v"))
+    cells = cells.repartition(*(F.floor(F.col(x) / BLOCK) for x in CELL))
+    out = cells.select(*CELL, "v", F.explode(moves).alias("m"))
     return out.select((F.col("row") + F.col("m.i")).alias("row"), (F.col("col") + F.col("m.j")).alias("col"), "v", F.col("m.w").alias("w"), ((F.col("m.i") == 0) & (F.col("m.j") == 0)).alias("self"))
 
 
@@ -59,9 +64,10 @@ def box_mean(grid: DataFrame, layer: str, size: int, mask: Column | None = None)
 def neighbour_deviation(grid: DataFrame, layer: str = "mean", stdev: str = "stdev") -> DataFrame:
     """Of the eight neighbours: mean deviation and population deviation of elevations."""
     ring = [[1.0] * 3] * 3
-    a = spread(grid, stdev, ring, centre=False).groupBy(*CELL).agg(F.avg("v").alias("near_stdev"))
-    b = spread(grid, layer, ring, centre=False).groupBy(*CELL).agg(F.stddev_pop("v").alias("near_spread"))
-    return grid.select(*CELL).join(a, CELL, "left").join(b, CELL, "left")
+    both = grid.select(*CELL, F.struct(F.col(layer).alias("z"), F.col(stdev).alias("s")).alias("_both"))
+    near = lambda k: F.when(~F.col("self"), F.col("v")[k])
+    out = spread(both, "_both", ring).groupBy(*CELL).agg(F.avg(near("s")).alias("near_stdev"), F.stddev_pop(near("z")).alias("near_spread"), F.max("self").alias("_own"))
+    return out.filter("_own").drop("_own")
 
 
 def dilate(cells: DataFrame, radius: int = 1) -> DataFrame:
@@ -89,7 +95,9 @@ def nearest_fill(grid: DataFrame, layer: str, radius: int, targets: DataFrame) -
     s = spread(grid, layer, steps).filter("not self")
     k = grid.filter(F.col(layer).isNotNull()).select(*CELL, F.lit(True).alias("_have"))
     want = targets.select(*CELL).join(k, CELL, "left").filter("_have is null").drop("_have")
-    src = s.groupBy(*CELL).agg(F.min_by("v", F.struct("w", "v")).alias(layer))
+    # the least value at each distance, the nearest first: plain numbers, which a hash aggregate holds in place
+    steps = sorted({w for row in steps for w in row})
+    src = s.groupBy(*CELL).agg(F.coalesce(*(F.min(F.when(F.col("w") == w, F.col("v"))) for w in steps)).alias(layer))
     return want.join(src, CELL)
 
 
