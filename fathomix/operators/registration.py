@@ -57,9 +57,11 @@ def sliding_sums(source: np.ndarray, target: np.ndarray, differ, block: int = 10
     n, m = len(source), len(target)
     out = np.zeros(n + m - 1)
     for lo in range(0, m, block):  # bounded memory
-        d = differ(target[lo : lo + block], source)
-        at = np.arange(lo, lo + len(d))[:, None] - np.arange(n) + n - 1
-        out += np.bincount(at.ravel(), d.ravel(), n + m - 1)
+        d = differ(target[lo : lo + block], source)[:, ::-1]
+        # rows moved by one place each, so that an offset's entries stand in one column
+        moved = np.zeros((len(d), n + len(d)))
+        moved[:, :n] = d
+        out[lo : lo + n + len(d) - 1] += moved.ravel()[: len(d) * (n + len(d) - 1)].reshape(len(d), -1).sum(0)
     return out
 
 
@@ -141,14 +143,17 @@ def _apart(s: str, t: str) -> Column:
 def _cells(seg: DataFrame, width: float, around: float) -> DataFrame:
     """Segments with every cell that their box, ``around`` wider, touches."""
     edge = lambda k, way: F.floor(((F.least if way < 0 else F.greatest)(f"a{k}", f"b{k}") + way * around) / width)
-    return seg.withColumn("cx", F.explode(F.sequence(edge("x", -1), edge("x", 1)))).withColumn("cy", F.explode(F.sequence(edge("y", -1), edge("y", 1))))
+    seg = seg.withColumns({"cx0": edge("x", -1), "cy0": edge("y", -1)})
+    return seg.withColumn("cx", F.explode(F.sequence("cx0", edge("x", 1)))).withColumn("cy", F.explode(F.sequence("cy0", edge("y", 1))))
 
 
 def nearest_lines(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
     """(line, target, distance): each source line's nearest target line of its level within ``reach``."""
-    name = lambda d, k: d.select(*(F.col(c).alias(k + c) for c in ("line", "level", "ax", "ay", "bx", "by")), "cx", "cy")
+    name = lambda d, k: d.select(*(F.col(c).alias(k + c) for c in ("line", "level", "ax", "ay", "bx", "by", "cx0", "cy0")), "cx", "cy")
     s, t = name(_cells(segments(source), reach, reach), "s"), name(_cells(segments(target), reach, 0.0), "t")
     near = s.join(t, (F.col("slevel") == F.col("tlevel")) & (s["cx"] == t["cx"]) & (s["cy"] == t["cy"]))
+    # of the cells that two segments share, the first one counts: each pair is measured once
+    near = near.filter((s["cx"] == F.greatest("scx0", "tcx0")) & (s["cy"] == F.greatest("scy0", "tcy0")))
     near = near.groupBy("sline", "tline").agg(F.min(_apart("s", "t")).alias("d")).filter(F.col("d") <= reach)
     return near.groupBy(F.col("sline").alias("line")).agg(F.min(F.struct("d", "tline")).alias("m")).select("line", F.col("m.tline").alias("target"), F.col("m.d").alias("distance"))
 
