@@ -18,7 +18,7 @@ chooses; cells outside of all triangles, or only in large ones, give no row; an
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +74,7 @@ def circles(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     d = 2 * (bx * cy - by * cx)
     with np.errstate(divide="ignore", invalid="ignore"):
         ux, uy = (cy * (bx**2 + by**2) - by * (cx**2 + cy**2)) / d, (bx * (cx**2 + cy**2) - cx * (bx**2 + by**2)) / d
-    return ux + x[:, 0], uy + y[:, 0], np.hypot(ux, uy)
+    return ux + x[:, 0], uy + y[:, 0], np.sqrt(ux * ux + uy * uy)
 
 
 def _noise(row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -93,23 +93,31 @@ def interpolate_cells(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.nda
     for v in (x, y, value, _noise(row, col)):
         grids.append(np.full(shape, np.nan))
         grids[-1][r[ok], c[ok]] = v[ok]
-    gx, gy, gv, gn = (v.ravel() for v in grids)
+    # how many points a cell's window holds: cells with fewer than three have no triangle, the others are
+    # worked on in the order of their counts, so that candidates are packed without gaps
+    held = np.pad(np.isfinite(grids[0]).astype(np.int32), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    wide = 2 * reach + 1
+    count = (held[wide:, wide:] - held[:-wide, wide:] - held[wide:, :-wide] + held[:-wide, :-wide]).ravel()
+    cells = np.flatnonzero(count >= 3)
+    cells = cells[np.argsort(count[cells], kind="stable")]
+    gx, gy, gv, gn = (np.append(v, np.nan) for v in grids)  # the last one stands for no point
     step = np.arange(-reach, reach + 1)
     around = (step[:, None] * shape[1] + step[None, :]).ravel()
     out = np.full(size[0] * size[1], np.nan)
-    cells = np.arange(len(out))
-    for lo in range(0, len(out), block):
+    for lo in range(0, len(cells), block):
         q = cells[lo : lo + block]
         qr, qc = q // size[1], q % size[1]
         who = ((qr + reach) * shape[1] + qc + reach)[:, None] + around[None, :]
+        i, j = np.nonzero(np.isfinite(gx[who]))
+        packed = np.full((len(q), count[q[-1]]), -1)
+        packed[i, np.arange(len(i)) - (np.cumsum(count[q]) - count[q])[i]] = who[i, j]
+        who = packed
         px, py = gx[who] - (qc + low[1] + 0.5)[:, None], gy[who] - (qr + low[0] + 0.5)[:, None]
-        some = np.isfinite(px).sum(1) >= 3
-        if not some.any():
-            continue
-        q, who, px, py = q[some], who[some], px[some], py[some]
         three, weight = lowest_triangles(px, py, px**2 + py**2 + gn[who])
         found = np.flatnonzero(three[:, 0] >= 0)
         q, who, px, py, three, weight = (v[found] for v in (q, who, px, py, three, weight))
+        place = np.argsort(three, 1)  # by cell: rounding doesn't depend on the way to the triangle
+        three, weight = np.take_along_axis(three, place, 1), np.take_along_axis(weight, place, 1)
         tx, ty = np.take_along_axis(px, three, 1), np.take_along_axis(py, three, 1)
         cx, cy, rad = circles(tx, ty)
         near = np.maximum(np.abs(cx), np.abs(cy)) + rad <= reach
@@ -129,19 +137,22 @@ def interpolate(points: DataFrame, reach: int = 3, tile: int = 128, fill: bool =
     """(row, col, value, known) of every cell whose middle lies in a triangle of points (row, col, x, y,
     value); only of cells that have a point unless ``fill``.  known says whether the cell has one."""
     p = points.filter("row is not null and col is not null and x is not null and y is not null and value is not null")
-    p = p.filter(~F.isnan(F.col("x") + F.col("y") + F.col("value"))).groupBy(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
-    p = p.agg(F.min(F.struct(*(F.col(k).cast("double").alias(k) for k in ("x", "y", "value")))).alias("p")).select("row", "col", "p.*")
+    p = p.filter(~F.isnan(F.col("x") + F.col("y") + F.col("value"))).select(*(F.col(k).cast("long").alias(k) for k in ("row", "col")), *(F.col(k).cast("double").alias(k) for k in ("x", "y", "value")))
     for k in ("row", "col"):  # each point goes to the tiles whose halo it lies in, mostly one
         p = p.withColumn(f"t{k}", F.explode(F.sequence(F.floor((F.col(k) - reach) / tile), F.floor((F.col(k) + reach) / tile))))
 
-    def one(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        low = (int(key[0]) * tile, int(key[1]) * tile)
-        r, c = d["row"].to_numpy(), d["col"].to_numpy()
-        got = interpolate_cells(r, c, *(d[k].to_numpy() for k in ("x", "y", "value")), low, (tile, tile), reach)
+    def one(key: tuple, d: pa.Table) -> pa.Table:
+        low = (key[0].as_py() * tile, key[1].as_py() * tile)
+        r, c, *p = (d[k].to_numpy() for k in ("row", "col", "x", "y", "value"))
+        order = np.lexsort((*p[::-1], c, r))  # the smallest point of a cell comes first, and stays
+        r, c = r[order], c[order]
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
+        r, c, order = r[new], c[new], order[new]
+        got = interpolate_cells(r, c, *(v[order] for v in p), low, (tile, tile), reach)
         known = np.zeros(got.shape, bool)
         own = (r >= low[0]) & (r < low[0] + tile) & (c >= low[1]) & (c < low[1] + tile)
         known[r[own] - low[0], c[own] - low[1]] = True
         at = np.nonzero(np.isfinite(got) & (known | fill))
-        return pd.DataFrame({"row": at[0] + low[0], "col": at[1] + low[1], "value": got[at], "known": known[at]})
+        return pa.table({"row": at[0] + low[0], "col": at[1] + low[1], "value": got[at], "known": known[at]})
 
-    return p.groupBy("trow", "tcol").applyInPandas(one, "row long, col long, value double, known boolean")
+    return p.groupBy("trow", "tcol").applyInArrow(one, "row long, col long, value double, known boolean")

@@ -83,4 +83,4 @@ WHERE greatest(abs(ux + ax), abs(uy + ay)) + rad <= 2 AND NOT EXISTS (SELECT 1 F
 def x10(spark, sf):
     """Cells' mean points, some missing, as a triangulated surface at all cells' middles; the SQL tries all triples."""
     d = detections(spark, sf).select((F.col("px") / 50).alias("x"), (F.col("sy") / 10).alias("y"), "z")
-    return tg.interpolate(tg.centroids(d, "x", "y", "z").filter("n % 5 != 0"), 2, 16).withColumn("value", F.round("value", 4))
+    return tg.interpolate(tg.centroids(d, "x", "y", "z").filter("n % 5 != 0"), 2).withColumn("value", F.round("value", 4))
