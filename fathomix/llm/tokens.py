@@ -20,6 +20,9 @@ from .common import claim
 #: Printable characters below this need no Unicode normalisation, lower-case one by one, and
 #: are white space to all regular-expression engines or to none.
 _PLAIN = "İ"
+#: The pattern by which a word of letters and a tail of these marks are two pre-tokens, whole.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_TAIL = ".,;:!?$%&#*"
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -50,26 +53,48 @@ class WordEncoder:
         self.wordwise = bool(pattern) and steps[0].get("invert") and kinds == ["NFC", "Replace", "Lowercase"]
         self.pattern = regex.compile(pattern) if self.wordwise else None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.tails = self.wordwise and pattern == _WORDS and all(any(not (c.isalpha() or c in _TAIL) for c in x) for x in self.special)
         self.alphabet = _byte_alphabet()
         self.cache = cache
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = array.array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-            if len(self.pieces) >= self.cache:
+            ids = self.older.pop(piece, None)
+            if ids is None:
+                mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+                ids = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if 2 * len(self.pieces) >= self.cache:  # what was met since the last time stays, once more
+                self.older.clear()
+                self.older.update(self.pieces)
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
+        """Ids of a chunk; it is kept unless it is one word that is met for the first time."""
         s = chunk.decode("utf-8")
-        if max(s) < _PLAIN and s.isprintable() and not any(x in s for x in self.special):
-            return b"".join([self._piece(p) for p in self.pattern.findall(s.lower())])
-        return self._library(s)
+        body = s.rstrip(_TAIL) if self.tails else ""
+        if body.isalpha() and (body.isascii() or max(body) < _PLAIN):
+            low = body.lower()
+            again = low in self.pieces or low in self.older
+            ids = self._piece(low)
+            if len(body) < len(s):
+                ids += self._piece(s[len(body) :])
+            if not again:
+                return ids
+        elif max(s) < _PLAIN and s.isprintable() and not any(x in s for x in self.special):
+            ids = b"".join([self._piece(p) for p in self.pattern.findall(s.lower())])
+        else:
+            ids = self._library(s)
+        if len(self.chunks) >= self.cache:
+            self.chunks.clear()
+        self.chunks[chunk] = ids
+        return ids
 
     def _library(self, s: str) -> bytes:
         return array.array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
@@ -84,9 +109,6 @@ class WordEncoder:
             ids = known.get(c)
             if ids is None:
                 ids = self._chunk(c)
-                if len(known) >= self.cache:
-                    known.clear()
-                known[c] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -99,7 +121,7 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     own = _ENCODERS[path]
-    claim(f"tokens {path}", own.chunks, own.pieces)
+    claim(f"tokens {path}", own.chunks, own.pieces, own.older)
     return own
 
 

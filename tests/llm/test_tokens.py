@@ -20,6 +20,15 @@ def test_encoder_is_the_library(tokenizer, library, odd_docs):
         assert as_ids(code.encode(r.text)).tolist() == want
 
 
+def test_plain_words_take_no_regular_expression(tokenizer, library, monkeypatch):
+    code, seen = WordEncoder(tokenizer), []
+    monkeypatch.setattr(code, "pattern", type("Pattern", (), {"findall": lambda self, s: seen.append(s) or WordEncoder(tokenizer).pattern.findall(s)})())
+    words = ["plain", "Upper,", "end.***", "$$$", "ci\u00f3n;", "\u00aa\u00ba\u00b5\u00df.", "it's", "o'clock?", "a1.", "<|endoftext|>.", "a<|endoftext|>", "\u0130x.", "e\u0301.", ".a", "a.b.", "\u017f.", "\u00c5\u00c9!"]
+    for w in words:
+        assert as_ids(code.encode(w)).tolist() == library.encode(w, add_special_tokens=False).ids, w
+    assert sorted(seen) == ["$$$", ".a", "a.b.", "a1.", "it's", "o'clock?"]
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     h = token_store.mix64(np.arange(20_000, dtype=np.uint64))
     p = token_store.PerfectHash.build(h)
