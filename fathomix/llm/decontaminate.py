@@ -52,6 +52,7 @@ through to under until up upon was we were what when where whether which while w
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d+(?:[.,:/]\d+)*")
 _QUANTITY = re.compile(r"([+\-]?[$€£]?\d+(?:[.,:/]\d+)*)([^\W\d_/]+(?:/\w+)?|%|°[cf]?)")
 _EDGE = re.compile(r"^[^\w$€£+\-%°]+|[^\w%°]+$")
+_MARKS = ".,;:!?*&#$"  # such a tail of a word goes with or without the expression
 _U = np.uint64
 
 LITERAL, NUMBER, UNIT, NAME, QUANTITY = range(5)
@@ -63,7 +64,14 @@ _SLOT_HASH = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>") for k in ("number",
 def _token(raw: str) -> int:
     """A raw token as one number: hash of the bare lower-case token (0: none is left), then three
     bits for its type by itself and three for its flags."""
-    bare = raw if raw.isalpha() else _EDGE.sub("", raw)
+    bare = raw if raw.isalpha() else raw.rstrip(_MARKS)
+    if bare.isalpha():
+        low = bare.lower()
+        if low not in _TYPED:  # an ordinary word
+            stop = raw[-1:] in ".!?:;" or raw[-2:-1] in ".!?"
+            return (xxhash.xxh64_intdigest(low) | 64) & ~63 | (_CAPITAL if bare[0].isupper() else 0) | (_STOP if stop else 0)
+    else:
+        bare = _EDGE.sub("", raw)
     low, plain = bare.lower(), bare.isalpha()  # a plain word has no digit
     flags = _STOP * (raw[-1:] in ".!?:;" or raw[-2:-1] in ".!?") | _CAPITAL * (bare[:1].isupper() and bare[:1].isalpha())
     if not bare:
@@ -92,6 +100,7 @@ class _Tokens(dict):
 
 _TOKENS = _Tokens()
 _NUMBERS, _UNIT_SET, _OPENERS = frozenset(NUMBER_WORDS), frozenset(UNITS), frozenset(OPENERS)
+_TYPED = _NUMBERS | _UNIT_SET | _OPENERS
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
