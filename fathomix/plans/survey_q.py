@@ -345,7 +345,7 @@ def k06(spark, sf):
     cells = grid(spark, sf).withColumn("v", F.floor("min"))
     size = cells.agg(F.max("row"), F.max("col")).first()
     spec = GridSpec(0.0, 0.0, 0.5, 1.0, (size[0] or 0) + 1, (size[1] or 0) + 1)
-    rasters.write_tiles(cells, "v", spec, path, 16).write.format("noop").mode("overwrite").save()
+    rasters.write_tiles(cells, "v", spec, path).write.format("noop").mode("overwrite").save()
     return rasters.read_raster(spark, path).select("x", "y", "value")
 
 
