@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions._cols import Num, c
 from ..functions.geo import SEMI_MAJOR, GridSpec, to_mercator
 from .grid import CELL
-from .stencil import convolve, dilate, spread
+from .stencil import convolve, deviating, dilate, spread
 
 
 def cells_of(spark: SparkSession, spec: GridSpec) -> DataFrame:
@@ -52,8 +52,7 @@ def inverse_distance_fill(grid: DataFrame, layer: str, radius: int) -> DataFrame
 
 def residual_rejection(grid: DataFrame, layer: str, factor: float) -> DataFrame:
     """Cells further from the mean of their eight neighbours than ``factor`` of their deviation."""
-    s = spread(grid, layer, [[1.0] * 3] * 3, centre=False).groupBy(*CELL).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"), F.count("*").alias("_n"))
-    return grid.select(*CELL, layer).join(s.filter("_n > 2"), CELL).filter(F.abs(F.col(layer) - F.col("_m")) > factor * F.col("_s")).select(*CELL, layer)
+    return deviating(grid.select(*CELL, layer), layer, factor, [[1.0] * 3] * 3, centre=False, least=3)
 
 
 def contour_crossings(grid: DataFrame, layer: str, interval: float) -> DataFrame:

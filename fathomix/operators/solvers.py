@@ -354,7 +354,7 @@ def roots(coefficients: list[float]) -> np.ndarray:
 def with_tiles(grid: DataFrame, size: int, halo: int) -> DataFrame:
     """Cells with the tiles they belong to (own) or border on: a cell of a halo is sent to each
     neighbour tile, so a tile's task needs no other tile."""
-    near = lambda k: F.array_distinct(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda d: F.floor((F.col(k) + d) / size)))
+    near = lambda k: F.sequence(F.floor((F.col(k) - halo) / size), F.floor((F.col(k) + halo) / size))
     t = grid.withColumn("_tr", F.explode(near("row"))).withColumn("_tc", F.explode(near("col")))
     return t.withColumn("_own", (F.floor(F.col("row") / size) == F.col("_tr")) & (F.floor(F.col("col") / size) == F.col("_tc")))
 

@@ -397,7 +397,7 @@ def a17(spark, sf):
 @query("x15_peaks_by_deviation", f"""WITH {GRID}, n AS (SELECT t."row", t.col, any_value(t.mean) AS mean, avg(s.mean) AS m, stddev_pop(s.mean) AS d FROM grid t JOIN grid s ON abs(s."row" - t."row") <= 1 AND abs(s.col - t.col) <= 1 GROUP BY t."row", t.col)
 SELECT "row", col, round(mean, 4) AS mean FROM n WHERE abs(mean - m) > 1.5 * d""")
 def x15d(spark, sf):
-    return st.peaks_by_deviation(grid(spark, sf), "mean", 1.5).select("row", "col", *r("mean"))
+    return st.peaks_by_deviation(grid(spark, sf).select("row", "col", "mean"), "mean", 1.5).select("row", "col", *r("mean"))
 
 
 @query("x09_bilinear_fill")
