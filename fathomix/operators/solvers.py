@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -381,31 +382,76 @@ def quadrant_fill(values: np.ndarray, reach: int) -> np.ndarray:
     return np.where(ok, total / np.where(ok, weight, 1.0), values)
 
 
+def harmonic_fills(values: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """``harmonic_fill`` of a stack of arrays of one shape.  Sweeps that change nothing end it."""
+    hole = np.isnan(values)
+    known = (~hole).any((1, 2))
+    means = np.array([np.nanmean(v) if k else 0.0 for v, k in zip(values, known)])
+    out = np.where(hole, means[:, None, None], values)
+    quarter, fixed, plain = hole * 0.25, np.where(hole, 0.0, out), np.isfinite(out).all()
+    p, s = np.pad(out, ((0, 0), (1, 1), (1, 1)), mode="edge"), np.empty_like(out)
+    for k in range(rounds if hole.any() else 0):
+        np.add(p[:, :-2, 1:-1], p[:, 2:, 1:-1], out=s)
+        s += p[:, 1:-1, :-2]
+        s += p[:, 1:-1, 2:]
+        if plain:
+            s *= quarter
+            s += fixed
+        else:
+            s = np.where(hole, s / 4, out)
+        if k % 16 == 15 and np.array_equal(s, p[:, 1:-1, 1:-1]):
+            break
+        p[:, 1:-1, 1:-1] = s
+        p[:, 0, 1:-1], p[:, -1, 1:-1], p[:, 1:-1, 0], p[:, 1:-1, -1] = s[:, 0], s[:, -1], s[:, :, 0], s[:, :, -1]
+    return p[:, 1:-1, 1:-1]
+
+
 def harmonic_fill(values: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Missing cells by Laplace's equation from the cells around them."""
-    hole = np.isnan(values)
-    out = np.where(hole, np.nanmean(values) if (~hole).any() else 0.0, values)
-    for _ in range(rounds if hole.any() and (~hole).any() else 0):
-        p = np.pad(out, 1, mode="edge")
-        out = np.where(hole, (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4, out)
-    return out
+    return harmonic_fills(values[None], rounds)[0]
 
 
 def fill_gaps(grid: DataFrame, layer: str, reach: int = 3, size: int = 128, how: str = "quadrant") -> DataFrame:
-    """Missing cells inside the grid filled tile by tile: (row, col, value, flag 1)."""
-    schema = "row int, col int, value double, flag int"
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = p["row"].min(), p["col"].min()
-        a = np.full((p["row"].max() - r0 + 1, p["col"].max() - c0 + 1), np.nan)
-        a[p["row"] - r0, p["col"] - c0] = p[layer]
-        filled = quadrant_fill(a, reach) if how == "quadrant" else harmonic_fill(a)
-        tr, tc = p["_tr"].iloc[0], p["_tc"].iloc[0]
-        rows = [(int(r + r0), int(c + c0), float(filled[r, c]), 1) for r, c in np.argwhere(np.isnan(a) & ~np.isnan(filled)) if (r + r0) // size == tr and (c + c0) // size == tc]
-        return pd.DataFrame(rows, columns=["row", "col", "value", "flag"])
-
-    tiles = with_tiles(grid.select("row", "col", F.col(layer).cast("double").alias(layer)), size, reach)
-    return tiles.groupBy("_tr", "_tc").applyInPandas(one, schema)
+    """Missing cells inside the grid filled tile by tile: (row, col, value, flag 1).
+
+    A tile's array is the box of its cells and of those within reach.  Tiles come in squares of some
+    256 cells: cells are sent to a square once, and its tiles of one shape are swept together."""
+    side = max(1, 256 // size) * size
+    wide, at_once = side + 2 * reach, 8
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        top, left = (k.as_py() * side - reach for k in key)
+        r, c = t["row"].to_numpy() - top, t["col"].to_numpy() - left
+        a, there = np.full((wide, wide), np.nan), np.zeros((wide, wide), bool)
+        a[r, c], there[r, c] = t[layer].to_numpy(), True
+        todo: dict[tuple, list] = {}
+        for i in range(0, side, size):
+            for j in range(0, side, size):
+                box = there[i : i + size + 2 * reach, j : j + size + 2 * reach]
+                rows, cols = np.flatnonzero(box.any(1)), np.flatnonzero(box.any(0))
+                if not len(rows):
+                    continue
+                r0, r1, c0, c1 = i + rows[0], i + rows[-1] + 1, j + cols[0], j + cols[-1] + 1
+                own = np.zeros((r1 - r0, c1 - c0), bool)
+                own[max(0, i + reach - r0) : max(0, i + reach + size - r0), max(0, j + reach - c0) : max(0, j + reach + size - c0)] = True
+                own &= np.isnan(a[r0:r1, c0:c1])
+                if own.any():
+                    todo.setdefault(own.shape, []).append((r0, c0, own))
+        out: list[list] = [[], [], []]
+        for (h, w), tiles in todo.items():
+            for k in range(0, len(tiles), at_once):
+                some = tiles[k : k + at_once]
+                arrays = np.stack([a[r0 : r0 + h, c0 : c0 + w] for r0, c0, _ in some])
+                filled = np.stack([quadrant_fill(v, reach) for v in arrays]) if how == "quadrant" else harmonic_fills(arrays)
+                for (r0, c0, own), v in zip(some, filled):
+                    y, x = np.nonzero(own & ~np.isnan(v))
+                    for o, new in zip(out, (y + r0 + top, x + c0 + left, v[y, x])):
+                        o.append(new)
+        row, col, value = (np.concatenate(o) if o else np.zeros(0) for o in out)
+        return pa.table({"row": pa.array(row.astype(np.int32)), "col": pa.array(col.astype(np.int32)), "value": pa.array(value, pa.float64()), "flag": pa.array(np.ones(len(row), np.int32))})
+
+    tiles = with_tiles(grid.select("row", "col", F.col(layer).cast("double").alias(layer)), side, reach).drop("_own")
+    return tiles.groupBy("_tr", "_tc").applyInArrow(one, "row int, col int, value double, flag int")
 
 
 def isolation_scores(x: np.ndarray, seed: int, trees: int = 50, sample: int = 256) -> np.ndarray:
