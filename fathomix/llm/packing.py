@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -100,32 +101,47 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
         pairs = [np.triu_indices(len(bins[k]), 1) for k in open_]
         one = np.concatenate([np.array(bins[k], np.int64)[p[0]] for k, p in zip(open_, pairs)])
         two = np.concatenate([np.array(bins[k], np.int64)[p[1]] for k, p in zip(open_, pairs)])
+        # by size, so that an exchange looks only at what is a little smaller than what it gives
+        takes = []
+        for kind, sums in ((1, size[items]), (2, size[one] + size[two])):
+            order = np.argsort(sums, kind="stable")
+            takes.append((kind, order, sums[order]))
         for k in open_.tolist():
             if alive <= least:
                 break
             while bins[k]:
                 # what other open bins, at least as full, can take: nothing, one item or two
-                own = np.array(bins[k], np.int64)
                 room = np.where((fill >= fill[k]) & (fill > 0), capacity - fill, 0)
                 room[k] = 0
-                gives = [(x,) for x in own.tolist()] + [(int(own[x]), int(own[y])) for x, y in zip(*np.triu_indices(len(own), 1))]
                 low = room[open_]
-                item_room, item_size = room[owner[items]], size[items]
-                pair_room = np.where(owner[one] == owner[two], room[owner[one]], 0)
-                pair_size = size[one] + size[two]
+                most = int(low.max(initial=0))
+                if not most:
+                    break
+                gives = [*combinations(bins[k], 1), *combinations(bins[k], 2)]
                 best, gain = None, 0
                 for give in gives:
-                    out = int(size[list(give)].sum())
-                    if gain < out <= low.max(initial=0):
+                    if gain == most:
+                        break
+                    out = sum(sizes[i] for i in give)
+                    if gain < out <= most:
                         fits = np.flatnonzero(low >= out)
                         best, gain = (give, (), int(open_[fits[low[fits].argmin()]])), out
-                    for take_room, take_size, kind in ((item_room, item_size, 1), (pair_room, pair_size, 2))[: 3 - len(give)]:
-                        shift = out - take_size
-                        ok = np.where((shift > gain) & (shift <= take_room), shift, 0)
-                        at = int(ok.argmax()) if len(ok) else 0
-                        if len(ok) and ok[at]:
+                    for kind, order, sums in takes[: 3 - len(give)]:
+                        lo, hi = sums.searchsorted((out - most, out - gain))
+                        if lo >= hi:
+                            continue
+                        at, shift = order[lo:hi], out - sums[lo:hi]
+                        if kind == 1:
+                            fits = shift <= room[owner[items[at]]]
+                        else:
+                            first = owner[one[at]]
+                            fits = (shift <= room[first]) & (first == owner[two[at]])
+                        if fits.any():
+                            shift, at = shift[fits], at[fits]
+                            gain = int(shift.max())
+                            at = int(at[shift == gain].min())  # of equals the first
                             take = (int(items[at]),) if kind == 1 else (int(one[at]), int(two[at]))
-                            best, gain = (give, take, int(owner[take[0]])), int(ok[at])
+                            best = (give, take, int(owner[take[0]]))
                 if best is None:
                     break
                 give, take, o = best
