@@ -47,7 +47,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, discard, hint_if_small, released
@@ -58,6 +58,7 @@ from .shingles import packed_set, parity_bitmap, read_set, set_digest, shingle_s
 SKETCH = "doc_id long, n long, digest binary, path array<long>, bits array<long>"
 _BLOCK = 1 << 20  # shingles counted together
 _SPLITS = 2  # further shared shingles that may divide a region
+_SENT = 1 << 21  # bytes of sets sent on together
 _SLACK = 1e-9  # of distances as floating-point numbers
 
 
@@ -66,14 +67,14 @@ class JaccardJoin:
 
     ``leaf`` is the members of a region compared directly, ``pivots`` the pivot documents of a
     larger one in each of at most ``rounds`` recursions; leaves of more than ``split`` members are
-    divided by further shingles.  ``common`` shingles are ordered by count; ``small_rows``
-    bounds what is broadcast.  None of them changes a result.
+    divided by further shingles, and compared in blocks of about ``block`` members.  ``common``
+    shingles are ordered by count; ``small_rows`` bounds what is broadcast.  None of them changes a result.
     """
 
-    def __init__(self, size: int = 5, num: int = 80, den: int = 100, leaf: int = 16, pivots: int = 2, rounds: int = 3, split: int = 1024, common: int = 1_000_000, small_rows: int = 2_000_000):
+    def __init__(self, size: int = 5, num: int = 80, den: int = 100, leaf: int = 16, pivots: int = 2, rounds: int = 3, split: int = 1024, common: int = 1_000_000, small_rows: int = 2_000_000, block: int = 512):
         self.size, self.num, self.den = size, num, den
         self.leaf, self.pivots, self.rounds, self.split = leaf, pivots, rounds, split
-        self.common, self.small_rows = common, small_rows
+        self.common, self.small_rows, self.block = common, small_rows, block
 
     def common_shingles(self, docs: DataFrame) -> np.ndarray:
         """The commonest shingles, the commonest last; at most ``common`` of them.
@@ -181,10 +182,26 @@ class JaccardJoin:
         """pairs (a, b), a table of ``_near`` that isn't read again, with the exact distance d of their
         whole sets and whether they link, written.
 
-        Few pivots are the b of many pairs, so a's set travels with the pair.
+        Few pivots are the b of many pairs, so a's set travels with the pair: it is made where the
+        text is read, and shuffled once.
         """
-        num, den = self.num, self.den
-        sets = self._sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
+        num, den, size = self.num, self.den, self.size
+        sets = self._sets(pairs.select(F.col("b").alias("doc_id")).distinct(), docs)
+
+        def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = {"a": pa.int64(), "b": pa.int64(), "ma": pa.binary()}
+            for batch in released(batches):
+                rows, held = [], 0
+                for a, text, others in zip(batch.column(0), batch.column(1), batch.column(2)):
+                    raw = packed_set(shingle_set(text.as_py(), size))
+                    for b in others.values.to_pylist():
+                        rows.append((a.as_py(), b, raw))
+                        held += len(raw)
+                        if held >= _SENT:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+                            rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in released(batches):
@@ -199,8 +216,9 @@ class JaccardJoin:
                     linked.append(common > 0 and den * common >= num * union)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
 
-        with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
-        with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
+        others = hint_if_small(pairs.groupBy("a").agg(F.collect_list("b").alias("others")), self.small_rows)
+        whole = docs.select(F.col("doc_id").cast("long").alias("a"), "text").join(others, "a").select("a", "text", "others")
+        with_b = whole.mapInArrow(firsts, "a long, b long, ma binary").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
         out = materialise(with_b.select("a", "b", "ma", "mb").mapInArrow(measure, "a long, b long, d double, linked boolean"), "distances")
         discard(sets)
         discard(pairs)
@@ -219,16 +237,27 @@ class JaccardJoin:
         top = per.groupBy("key").agg(F.count("*").alias("_kinds"), F.max_by("comp", F.struct("_k", "comp")).alias("most"), F.sum("_k").alias("k"), F.sum("_h").alias("homes"))
         return rows.join(top.filter("_kinds > 1 and homes > 0").drop("_kinds"), "key")
 
-    def _pairs(self, rows: DataFrame) -> DataFrame:
+    def _pairs(self, rows: DataFrame, bits: DataFrame | None = None) -> DataFrame:
         """Pairs (a, b) of different components of one region, one of them at home, that positions,
-        sizes and distances to the last pivot allow; the least positions of each pair."""
-
-        def side(df: DataFrame, k: str, *more: str) -> DataFrame:
-            return df.select("key", *more, *(F.col(c).alias(f"{c_}{k}") for c, c_ in (("id", ""), ("pos", "p"), ("n", "n"), ("comp", "c"), ("home", "h"), ("d", "d"))))
+        sizes and distances to the last pivot allow, and bitmaps (id, n, bits) if given; the least
+        positions of each pair.  A large region is compared block by block, by as many tasks."""
+        more = ["bits"] if bits is not None else []
+        if more:
+            rows = rows.join(bits.select("id", "n", "bits"), ["id", "n"])
+        rows = rows.withColumn("_g", F.ceil(F.col("k") / self.block).cast("int"))
+        own, each = F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
+        blocks = rows.select("*", own.alias("_own"), each.alias("_each"))
+
+        def side(df: DataFrame, k: str, i: str, j: str, *keep: str) -> DataFrame:
+            short = [("id", ""), ("pos", "p"), ("n", "n"), ("comp", "c"), ("home", "h"), ("d", "d"), *((m, m) for m in more)]
+            return df.select("key", F.col(i).alias("_i"), F.col(j).alias("_j"), *keep, *(F.col(c).alias(f"{c_}{k}") for c, c_ in short))
 
         once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("most"))
         ok = (F.col("ca") != F.col("cb")) & once & (F.col("ha") | F.col("hb")) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - self.num / self.den + _SLACK, F.lit(True))
-        pairs = side(rows.filter("comp != most"), "a").join(side(rows, "b", "most"), "key").filter(ok & self._places())
+        ok &= self._places()
+        if more:
+            ok &= self._bits(self.num)
+        pairs = side(blocks.filter("comp != most"), "a", "_own", "_each").join(side(blocks, "b", "_each", "_own", "most"), ["key", "_i", "_j"]).filter(ok)
         return pairs.groupBy("a", "b").agg(*(F.min(k).alias(k) for k in ("pa", "pb", "na", "nb")))
 
     @staticmethod
@@ -279,12 +308,16 @@ class JaccardJoin:
         single = rows.filter(F.col("n") * self.num < F.lit((1 + depth) * self.den)).withColumn("key", F.xxhash64("key", F.lit(0)))
         return deeper.unionByName(single)
 
+    def _regions(self, reps: DataFrame) -> DataFrame:
+        """(key, id, pos, n, k): members of the regions of one-shingle sets that have k > 1 of them.
+
+        Counted over a window: a join with counts would shuffle every row twice."""
+        every = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("path").alias("pos", "key")).filter(F.col("pos") < self._window())
+        return every.select("key", "id", "pos", "n", F.count("*").over(Window.partitionBy("key")).alias("k")).filter("k > 1")
+
     def links(self, docs: DataFrame, reps: DataFrame, several: DataFrame) -> DataFrame:
         """Links (a, b) between class representatives that connect every pair that links."""
-        every = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("path").alias("pos", "key")).filter(F.col("pos") < self._window())
-        every = every.select("key", "id", "pos", "n").repartition("key")  # counted and filtered from one shuffle
-        shared = every.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
-        rows = materialise(every.join(shared, "key"), "regions")
+        rows = materialise(self._regions(reps), "regions")
         # a region of two is a pair already
         row = F.struct("id", "pos", "n")
         per = rows.filter("k = 2").groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).filter("lo.id != hi.id")
@@ -335,7 +368,9 @@ class JaccardJoin:
             cells, far = self.voronoi(rest, distances, pivots, several)
             cells = materialise(self._open(cells, labels), "cells")
             if not cells.isEmpty():  # at once: what links there closes regions of the others
-                found.append(self._distances(self._near(self._pairs(cells), bits, self.num), docs).filter("linked").select("a", "b"))
+                # members have no positions there: bitmaps decide as the pairs are made
+                near = materialise(self._pairs(cells, bits).select("a", "b"), "near-pairs")
+                found.append(self._distances(near, docs).filter("linked").select("a", "b"))
                 labels = self._labels(found)
             # where pivots had no member near, others would hardly have any
             alone = pivots.select("key").distinct().join(rest.join(pivots, "key").join(distances.filter("linked").select(F.col("a").alias("id"), "b"), ["id", "b"]).select("key").distinct(), "key", "left_anti")

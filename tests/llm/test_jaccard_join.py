@@ -123,3 +123,34 @@ def test_bitmaps_bound_the_difference():
                 y = y[: len(y) // 2] ^ y[len(y) // 2 :]
         assert sum(int(v).bit_count() for v in (x ^ y).view("u8")) <= len(set(a.tolist()) ^ set(b.tolist()))
         assert read_set(packed_set(a)).tolist() == a.tolist()
+
+
+def test_copies_too_far_apart_are_no_rows_of_the_join(spark):
+    """What bitmaps rule out is no row of a region's join, and blocks of a large region lose no pair."""
+    rng = random.Random(11)
+    whole = list(range(1, 200))
+    sets = [shingle_set(" ".join(str(rng.randrange(10**9) if rng.random() < (0.02 if i < 20 else 0.2) else w) for w in whole), 1) for i in range(60)]
+    bits = spark.createDataFrame([(i, len(s), parity_bitmap(s).tolist()) for i, s in enumerate(sets)], "id long, n long, bits array<long>")
+    rows = spark.createDataFrame([(5, i, 0, len(s), True, 0.1, i, 0, 60) for i, s in enumerate(sets)], "key long, id long, pos int, n long, home boolean, d double, comp long, most long, k long")
+    want = {(a, b) for a in range(60) for b in range(a) if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    for block in (7, 512):
+        got = [tuple(sorted((r.a, r.b), reverse=True)) for r in JaccardJoin(1, 85, 100, block=block)._pairs(rows, bits).collect()]
+        assert want <= set(got) and len(want) > 100 and len(got) == len(set(got)) < 600
+
+
+def test_members_and_sets_are_shuffled_once(spark):
+    """Members of regions are counted and filtered in one exchange; a's set is made where its text is read."""
+    reps = spark.createDataFrame([(1, 8, [7, 8]), (2, 8, [8, 9]), (3, 8, [5, 8])], "doc_id long, n long, path array<long>")
+    got = JaccardJoin(5, 80, 100)._regions(reps)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.key, r.id, r.pos, r.k) for r in got.collect()) == [(8, 1, 1, 3), (8, 2, 0, 3), (8, 3, 1, 3)]
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c e"), (3, "x"), (3, "a b c d")], "doc_id long, text string")
+    from fathomix.llm import jaccard_join as jj
+
+    pairs = jj.materialise(spark.createDataFrame([(1, 2), (3, 2), (3, 1)], "a long, b long"), "near-pairs")
+    sets, only = [], JaccardJoin(1, 60, 100)
+    make = only._sets
+    only._sets = lambda ids, d: sets.append(sorted(r[0] for r in ids.collect())) or make(ids, d)
+    out = sorted((r.a, r.b, round(r.d, 3), r.linked) for r in only._distances(pairs, docs).collect())
+    assert out == [(1, 2, 0.4, True), (3, 1, 0.0, True), (3, 1, 1.0, False), (3, 2, 0.4, True), (3, 2, 1.0, False)]
+    assert sets == [[1, 2]]
