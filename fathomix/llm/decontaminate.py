@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -54,6 +55,7 @@ _QUANTITY = re.compile(r"([+\-]?[$€£]?\d+(?:[.,:/]\d+)*)([^\W\d_/]+(?:/\w+)?|
 _EDGE = re.compile(r"^[^\w$€£+\-%°]+|[^\w%°]+$")
 _MARKS = ".,;:!?*&#$"  # such a tail of a word goes with or without the expression
 _U = np.uint64
+_hash = xxhash.xxh64_intdigest
 
 LITERAL, NUMBER, UNIT, NAME, QUANTITY = range(5)
 _VERBATIM = 1 << 32
@@ -94,7 +96,11 @@ class _Tokens(dict):
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        self[raw] = v = _token(raw)
+        if raw.isalpha() and (low := raw.lower()) not in _TYPED and len(raw) > 1:
+            # an ordinary word without marks, as most that are new
+            self[raw] = v = (_hash(low) | 63) ^ (62 if raw[0].isupper() else 63) | 64
+        else:
+            self[raw] = v = _token(raw)
         return v
 
 
@@ -122,37 +128,55 @@ class Template:
             starts.append(len(values))
             values += line.split()
         info = np.fromiter(map(_TOKENS.__getitem__, values), np.uint64, len(values))
-        flags = (info & _U(7)).astype(np.int64)
+        low = (info & _U(63)).astype(np.uint8)  # kind and flags
         first = np.zeros(len(values) + 1, bool)
         first[starts] = True
-        first[1:] |= (flags & _STOP) > 0  # the token after the end of a sentence
-        real = info > _U(63)
-        kind = (info >> _U(3) & _U(7)).astype(np.int64)
-        special = (flags & _SPECIAL) > 0
-        kind[(kind == LITERAL) & ((flags & _CAPITAL) > 0) & ~(first[:-1] & special)] = NAME
-        after = np.concatenate([[False], kind[:-1] == NUMBER]) if len(kind) else np.zeros(0, bool)
+        first[1:] |= (low & _STOP) > 0  # the token after the end of a sentence
+        kind = low >> 3
+        special = (low & _SPECIAL) > 0
+        kind[(kind == LITERAL) & ((low & _CAPITAL) > 0) & ~(first[:-1] & special)] = NAME
+        after = np.zeros(len(kind), bool)
+        after[1:] = kind[:-1] == NUMBER
         kind[special & after & (kind == LITERAL)] = UNIT
-        at = np.flatnonzero(real)
+        at = np.flatnonzero(info > _U(63))
         self.bare, self.values = info[at] & ~_U(63), values
         # a name of several words is one slot, a quantity two
         kind = kind[at]
-        same = np.concatenate([[False], (kind[1:] == NAME) & (kind[:-1] == NAME) & ~first[at[1:]]]) if len(at) else np.zeros(0, bool)
+        same, name = np.zeros(len(at), bool), kind == NAME
+        same[1:] = name[1:] & name[:-1] & ~first[at[1:]]
         times = np.where(same, 0, np.where(kind == QUANTITY, 2, 1))
-        self.at, self.last = np.repeat(at, times), np.repeat(at, times)
-        whole = np.cumsum(times)
-        self.place = np.maximum(whole - times, 0)  # of each real token in the template
-        self.place[same] = whole[same] - 1
+        self._real, self._same, self._times = at, same, times
         self.first_word = np.repeat(np.arange(len(at)), times)  # words of each template token
-        self.last_word = self.first_word.copy()
-        if len(at):
-            np.maximum.at(self.last, self.place, at)
-            np.maximum.at(self.last_word, self.place, np.arange(len(at)))
-        self.kind = np.repeat(kind, times)
-        second = np.concatenate([[False], self.at[1:] == self.at[:-1]]) if len(self.at) else np.zeros(0, bool)
+        self.at = at[self.first_word]
+        self.kind = kind[self.first_word]
+        self.second = np.zeros(len(self.at), bool)
+        self.second[1:] = self.at[1:] == self.at[:-1]
         self.kind[self.kind == QUANTITY] = NUMBER
-        self.kind[second] = UNIT
-        self.second = second
-        self.hash = np.where(self.kind == LITERAL, np.repeat(self.bare, times), _SLOT_HASH[self.kind])
+        self.kind[self.second] = UNIT
+        self.hash = np.where(self.kind == LITERAL, self.bare[self.first_word], _SLOT_HASH[self.kind])
+
+    # what only texts with windows that met need
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Of each real token in the template."""
+        whole = np.cumsum(self._times)
+        place = np.maximum(whole - self._times, 0)
+        place[self._same] = whole[self._same] - 1
+        return place
+
+    @cached_property
+    def last_word(self) -> np.ndarray:
+        """Last word of each template token."""
+        last = self.first_word.copy()
+        if len(last):
+            np.maximum.at(last, self.place, np.arange(len(self._real)))
+        return last
+
+    @cached_property
+    def last(self) -> np.ndarray:
+        """Last raw token of each template token."""
+        return self._real[self.last_word]
 
     def __len__(self) -> int:
         return len(self.at)
