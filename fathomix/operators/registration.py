@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from .solvers import procrustes
 
@@ -71,6 +72,54 @@ def overlaps(n: int, m: int) -> np.ndarray:
     return np.minimum(np.minimum(i + 1, n + m - 1 - i), min(n, m))
 
 
+def meeting(source: np.ndarray, target: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of target and source that meet at an offset."""
+    k, j = max(0, len(source) - 1 - offset), max(0, offset + 1 - len(source))
+    both = min(len(source) - k, len(target) - j)
+    return target[j : j + both], source[k : k + both]
+
+
+def least_misplacement(s: np.ndarray, t: np.ndarray, weight: np.ndarray, sizes: tuple[int, ...] = (512, 64, 8)) -> int:
+    """The first offset with the least sum of distances over its weight.
+
+    Distances of the sums of a run of vertices are no more than the sum of their distances, so sums by runs
+    bound an offset from below; only offsets whose bound isn't above the best one are looked at by shorter
+    runs, and in the end vertex by vertex."""
+    n, m = len(s), len(t)
+    if n * m <= 1 << 16:
+        return int((sliding_sums(s, t, lambda a, b: np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])) / weight).argmin())
+    middle = s.mean(0)  # small numbers keep the running sums exact enough; ``loose`` is what rounding can make of them
+    up_s, up_t = (np.concatenate([np.zeros((1, 2)), np.cumsum(v - middle, axis=0)]) for v in (s, t))
+    loose = 8 * np.finfo(float).eps * (n + m) * (np.abs(s - middle).sum() + np.abs(t - middle).sum())
+    best = (np.inf, 0)
+    left = np.arange(n + m - 1)
+    low = np.zeros(len(left))
+    for size in sizes:
+        edges = np.append(np.arange(0, n, size), n)
+        low = np.zeros(len(left))
+        for a, b in zip(edges[:-1], edges[1:]):
+            # of a run what meets the target, if any
+            step = left - (n - 1)
+            k0, k1 = np.maximum(a, -step), np.minimum(b, m - step)
+            on = k1 > k0
+            k0, k1, step = k0[on], k1[on], step[on]
+            low[on] += np.hypot(*(up_t[k1 + step] - up_t[k0 + step] - up_s[k1] + up_s[k0]).T)
+        low = (low - loose * len(edges)) * (1 - 1e-9) / weight[left]
+        at = int(left[low.argmin()])
+        best = min(best, (_misplaced(s, t, at) / weight[at], at))
+        low, left = low[low <= best[0]], left[low <= best[0]]
+    for bound, at in sorted(zip(low.tolist(), left.tolist())):
+        if bound > best[0]:
+            break
+        best = min(best, (_misplaced(s, t, at) / weight[at], at))
+    return best[1]
+
+
+def _misplaced(s: np.ndarray, t: np.ndarray, offset: int) -> float:
+    u, v = meeting(s, t, offset)
+    return float(np.hypot(u[:, 0] - v[:, 0], u[:, 1] - v[:, 1]).sum())
+
+
 def best_match(source: np.ndarray, target: np.ndarray, reach: float, windows: tuple[int, ...] = WINDOWS) -> tuple[int, float]:
     """(offset, score) where the chain codes of two evenly spaced paths are most alike.
 
@@ -80,13 +129,12 @@ def best_match(source: np.ndarray, target: np.ndarray, reach: float, windows: tu
     s, t = source[:-1], target[:-1]
     n, m = len(s), len(t)
     weight = overlaps(n, m) * np.log(overlaps(n, m) + 1)
-    place = sliding_sums(s, t, lambda a, b: np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])) / weight
-    middle = int(place.argmin())
+    middle = least_misplacement(s, t, weight)
     span = round(reach / np.hypot(*np.diff(target, axis=0).T).mean())
     lo, hi = max(0, middle - span), min(n + m - 2, middle + span) + 1
     found = []
     for a, b in zip(chain_codes(source, windows), chain_codes(target, windows)):
-        score = (sliding_sums(a, b, lambda u, v: np.abs(u[:, None] - v[None, :])) / weight)[lo:hi]
+        score = np.array([np.abs(u - v).sum() for u, v in (meeting(a, b, i) for i in range(lo, hi))]) / weight[lo:hi]
         i = int(score.argmin())
         found.append((abs(lo + i - middle), float(score[i]), lo + i))
     _, score, at = min(found)
@@ -206,6 +254,14 @@ def shift_vectors(source: DataFrame, target: DataFrame, nav: DataFrame | None =
         best = min((f for f in found if f), key=lambda f: f["score"], default=None)
         return pd.DataFrame([{"line": a["one"].iloc[0], **best}] if best else {k: [] for k in ("line", "east", "north", "turn", "overlap", "score")})
 
-    rows = lambda d, who, *names: d.select(F.col("line").alias(who), *(F.col(k).alias(f"{who}_{k}") for k in names)).groupBy(who)  # noqa: E731  names apart, also of one table
+    # few bytes, much work: the number of tasks is stated, or adaptive execution puts all lines into one; by a key
+    # more than the line, since an exchange by what tables are dealt by already is left out
+    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def rows(d: DataFrame, who: str, *names: str) -> GroupedData:
+        """Groups by line; names apart, also of one table."""
+        d = d.select(F.col("line").alias(who), F.hash("line").alias(f"{who}_at"), *(F.col(k).alias(f"{who}_{k}") for k in names))
+        return d.repartition(tasks, f"{who}_at", who).groupBy(f"{who}_at", who)
+
     left, right = rows(s, "one", "i", "x", "y"), rows(t, "two", "n", "i", "x", "y")
     return left.cogroup(right).applyInPandas(one, schema).join(pairs.drop("distance"), "line")
