@@ -7,7 +7,7 @@ by iteration; with the platform's attitude that gives the sounding's place.
 
 Frames: x forward, y starboard, z down, angles in degrees.  ``delta`` is how far the receive array is
 from the right angle to the transmit array.  Everything is solved for all beams of a group at once in
-arrays; groups are a profile and a slab of time, so their size is bounded by the sounder's rate.
+arrays, in batches of bounded size.
 
 Defined cases: a beam with a null or impossible input (cones that don't meet, a ray that turns before
 the bottom, a ping before the first profile) has null results; repeated rows are solved alike; an empty
@@ -17,10 +17,11 @@ of results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,45 +257,92 @@ def _nulls(v: np.ndarray) -> pd.Series:
     return pd.Series(v).astype(object).where(np.isfinite(v), None) if not np.isfinite(v).all() else pd.Series(v)
 
 
+#: Rows and bytes that a worker solves at once, profiles and their layers, and distinct times that are broadcast.
+AT_ONCE, BYTES_AT_ONCE = 1 << 16, 1 << 26
+FEW_PROFILES, FEW_LAYERS, FEW_TIMES = 256, 20_000, 200_000
+
+
 def launch(beams: DataFrame, profiles: DataFrame, t: str, slab: int, method: str = "cones") -> DataFrame:
     """beams (profile, INPUTS, and time t, a whole number) with RESULTS by the profile's layers.
 
-    ``profiles`` is (profile, depth, speed), a row a layer.  Beams of one profile are cut into
-    slabs of time, so that a profile that holds for very long is no single task's load; each slab
-    gets a copy of its profile's layers."""
+    ``profiles`` is (profile, depth, speed), a row a layer; of layers at one depth that of the least speed counts.
+    Few profiles are broadcast and beams stay where they are; else beams of one profile are cut into slabs
+    of time, so that a profile that holds for very long is no single task's load.  A task solves its
+    beams in batches, so what a worker holds doesn't grow with the table."""
     rest = [c for c in beams.columns if c not in RESULTS]
-    b = beams.select(*rest).withColumn("_slab", F.floor(F.col(t) / slab))
-    used = b.select(F.col("profile").alias("_profile"), F.col("_slab").alias("_part")).distinct()
-    layers = profiles.select(F.col("profile").alias("_of"), F.col("depth").cast("double").alias("_depth"), F.col("speed").cast("double").alias("_speed"))
-    layers = layers.join(used, F.col("_of") == F.col("_profile")).select("_profile", "_part", "_depth", "_speed")
-    schema = b.drop("_slab").withColumns({k: F.lit(None).cast("double") for k in RESULTS}).schema
-
-    def one(p: pd.DataFrame, layer: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop(columns="_slab").reset_index(drop=True)
-        layer = layer.dropna().sort_values("_depth", kind="stable").drop_duplicates("_depth")
-        if not len(p) or not len(layer):
-            return p.assign(**{k: None for k in RESULTS})
-        v = {k: p[k].to_numpy(float) for k in INPUTS}
-        found = aim(method, v["seconds"], v["tx_steer"], v["rx_steer"], v["delta"], np.stack([v["sx"], v["sy"], v["sz"]], 1), v["roll"], v["pitch"], v["tx_depth"], v["speed"], layer["_depth"].to_numpy(), layer["_speed"].to_numpy())
-        return p.assign(**{k: _nulls(found[k]) for k in RESULTS})
-
-    return b.groupBy("profile", "_slab").cogroup(layers.groupBy("_profile", "_part")).applyInPandas(one, schema)
+    b = beams.select(*rest)
+    layers = profiles.select(F.col("profile").alias("_of"), F.col("depth").cast("double").alias("d"), F.col("speed").cast("double").alias("s"))
+    layers = layers.filter("_of is not null and d is not null and s is not null and not isnan(d) and not isnan(s)")
+    layers = layers.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("d", "s"))).alias("_l")).select("_of", F.col("_l.d").alias("_depths"), F.col("_l.s").alias("_speeds"))
+    many = layers.agg(F.count("*"), F.sum(F.size("_depths"))).first()
+    if many[0] <= FEW_PROFILES and (many[1] or 0) <= FEW_LAYERS:
+        b = b.join(F.broadcast(layers), F.col("profile") == F.col("_of"), "left").drop("_of")
+    else:
+        b = b.withColumn("_slab", F.floor(F.col(t) / slab))
+        used = b.select(F.col("profile").alias("_profile"), F.col("_slab").alias("_part")).distinct()
+        layers = layers.join(used, F.col("_of") == F.col("_profile")).drop("_of")
+        b = b.join(layers, F.col("profile").eqNullSafe(F.col("_profile")) & F.col("_slab").eqNullSafe(F.col("_part")), "left").sortWithinPartitions("profile", "_slab").drop("_profile", "_part", "_slab")
+
+    def solved(p: pa.Table) -> pa.Table:
+        v = {k: p[k].cast(pa.float64()).to_numpy() for k in INPUTS}
+        out = {k: np.full(len(p), np.nan) for k in RESULTS}
+        codes = p["profile"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        order = np.argsort(codes, kind="stable")
+        for i in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+            depths, speeds = (p[k][int(i[0])].values for k in ("_depths", "_speeds"))
+            if depths is None or not len(depths):
+                continue
+            depths, new = np.unique(depths.to_numpy(), return_index=True)
+            x = {k: w[i] for k, w in v.items()}
+            found = aim(method, x["seconds"], x["tx_steer"], x["rx_steer"], x["delta"], np.stack([x["sx"], x["sy"], x["sz"]], 1), x["roll"], x["pitch"], x["tx_depth"], x["speed"], depths, speeds.to_numpy()[new])
+            for k in RESULTS:
+                out[k][i] = found[k]
+        p = p.drop_columns(["_depths", "_speeds"])
+        for k in RESULTS:
+            p = p.append_column(k, pa.array(out[k], mask=~np.isfinite(out[k])))
+        return p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= AT_ONCE or sum(h.nbytes for h in held) >= BYTES_AT_ONCE:
+                yield from solved(pa.Table.from_batches(held)).to_batches()
+                held = []
+        if sum(h.num_rows for h in held):
+            yield from solved(pa.Table.from_batches(held)).to_batches()
+
+    return b.mapInArrow(run, beams.select(*rest).withColumns({k: F.lit(None).cast("double") for k in RESULTS}).schema)
+
+
+def by_times(pings: DataFrame, keys: list[str], t: str, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """pings with the columns that ``add`` gives to their distinct keys and times.  Many beams share a
+    ping's time, so the table that ``add`` deals and orders is small; where it is, it is broadcast."""
+    got = add(pings.select(*keys, t).distinct())
+    new = [k for k in got.columns if k not in (*keys, t)]
+    got = got.select(*(F.col(k).alias(f"_by_{k}") for k in (*keys, t)), *new)
+    few = got.select(f"_by_{t}").limit(FEW_TIMES + 1).count() <= FEW_TIMES
+    on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in (*keys, t)]
+    return pings.drop(*new).join(F.broadcast(got) if few else got, on, "left").drop(*(f"_by_{k}" for k in (*keys, t)))
 
 
 def with_profile(pings: DataFrame, taken: DataFrame, keys: list[str], t: str, slab: int | None = None) -> DataFrame:
     """pings with the profile that was taken last at or before their time; the first one before that."""
-    return asof(pings, taken, keys, t, "profile", edges="first", slab=slab)
+    return by_times(pings, keys, t, lambda d: asof(d, taken, keys, t, "profile", edges="first", slab=slab))
 
 
 def with_attitude(pings: DataFrame, attitude: DataFrame, keys: list[str], t: str, columns: tuple[str, ...] = ("roll", "pitch", "heave"), slab: int | None = None) -> DataFrame:
-    """pings with the attitude (columns) interpolated at their time; null outside of its span.
+    """pings with the attitude (columns) interpolated at their time; null outside of its span."""
+    return by_times(pings, keys, t, lambda d: _attitude(d, attitude, keys, t, columns, slab))
+
 
-    Each row of attitude is joined with the next one, so pings meet both in one as-of join; rows with a
+def _attitude(times: DataFrame, attitude: DataFrame, keys: list[str], t: str, columns: tuple[str, ...], slab: int | None) -> DataFrame:
+    """Each row of attitude is joined with the next one, so times meet both in one as-of join; rows with a
     null are left out, and of rows of one time the least counts."""
     one = attitude.dropna(subset=[t, *columns]).groupBy(*keys, t).agg(F.min(F.struct(*(F.col(k).cast("double").alias(k) for k in columns))).alias("_a"))
     here = F.struct(F.col(t).alias("t"), "_a.*")
     pair = one.select(*keys, t, F.struct(here.alias("a"), F.lead(here).over(Window.partitionBy(*keys).orderBy(t)).alias("b")).alias("_pair"))
-    got = asof(pings.drop(*columns), pair, keys, t, "_pair", slab=slab)
+    got = asof(times, pair, keys, t, "_pair", slab=slab)
     at, a, b = F.col(t), F.col("_pair.a"), F.col("_pair.b")
     value = lambda k: F.when(at == a["t"], a[k]).otherwise(a[k] + (b[k] - a[k]) * (at - a["t"]) / (b["t"] - a["t"]))
     return got.withColumns({k: value(k) for k in columns}).drop("_pair")
@@ -306,7 +354,7 @@ def relaunch(beams: DataFrame, attitude: DataFrame, taken: DataFrame, profiles:
     time and the profile then in force; RESULTS, and depth below the surface.
 
     Beams outside of the attitude's span keep null results, as rejected ones."""
-    b = with_attitude(beams, attitude, keys, t, slab=slab)
-    b = with_profile(b, taken, keys, t, slab).withColumn("tx_depth", F.col("tx_depth") + F.col("heave"))
+    seen = lambda d: asof(_attitude(d, attitude, keys, t, ("roll", "pitch", "heave"), slab), taken, keys, t, "profile", edges="first", slab=slab)
+    b = by_times(beams, keys, t, seen).withColumn("tx_depth", F.col("tx_depth") + F.col("heave"))
     out = launch(b, profiles, t, slab, method)
     return out.withColumn("depth", F.col("tx_depth") + F.col("z"))
