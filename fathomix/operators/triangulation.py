@@ -12,7 +12,7 @@ Points are at most one a cell (means of the points in it, see ``centroids``).
 
 Defined cases: points with a null or NaN are left out; of several points in a cell that with the
 smallest (x, y, value) stays; where four or more points lie on one circle a fixed rule by their cells
-chooses; cells outside of all triangles, or only in large ones, give no row; an empty table gives none.
+chooses; a middle on an edge takes either triangle that counts; cells outside of all triangles, or only in large ones, give no row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Steps of the simplex method before all triples of a cell are tried instead.
+TURNS = 60
+
+
 def lowest_triangles(x: np.ndarray, y: np.ndarray, lift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of candidates (n, k), which three give the triangle around the origin whose plane
     through their lifts is lowest there, and the origin's barycentric coordinates (n, 3).  Index -1 where
@@ -38,6 +42,8 @@ def lowest_triangles(x: np.ndarray, y: np.ndarray, lift: np.ndarray) -> tuple[np
     weights = np.zeros((n, 3))
     turn = 0
     while len(active):
+        if turn == TURNS:  # steps without gain, as where the middle is in line with points, may go round for ever
+            break
         b = basis[active]
         bx, by, bz = (np.take_along_axis(v[active], b, 1) for v in (x, y, lift))
         ux, uy, vx, vy = bx[:, 1] - bx[:, 0], by[:, 1] - by[:, 0], bx[:, 2] - bx[:, 0], by[:, 2] - by[:, 0]
@@ -51,7 +57,7 @@ def lowest_triangles(x: np.ndarray, y: np.ndarray, lift: np.ndarray) -> tuple[np
         above = lift[active, :k] - bz[:, :1] - sx[:, None] * (x[active, :k] - bx[:, :1]) - sy[:, None] * (y[active, :k] - by[:, :1])
         tolerance = 1e-12 * (1 + np.abs(bz).max(1) * 1e-3)
         low = above < -tolerance[:, None]
-        enter = above.argmin(1) if turn < 60 else low.argmax(1)  # the first one, at last: that can't go round
+        enter = above.argmin(1)
         go = np.flatnonzero(low[np.arange(len(active)), enter])
         active, enter, own, area = active[go], enter[go], own[go], area[go]
         px, py = x[active, enter] - bx[go, 0], y[active, enter] - by[go, 0]
@@ -64,10 +70,40 @@ def lowest_triangles(x: np.ndarray, y: np.ndarray, lift: np.ndarray) -> tuple[np
         leave = np.where(ratio <= least + 1e-15, share, -np.inf).argmax(1)
         basis[active, leave] = enter
         turn += 1
+    flat = weights < 1e-9
+    edge = flat.any(1) & (flat | (basis < k)).all(1)
+    for at in np.union1d(active, np.flatnonzero(edge)):
+        basis[at], weights[at] = _lowest_of_all(x[at, :k], y[at, :k], lift[at, :k])
     inside = (basis < k).all(1) & (weights > -1e-9).all(1)
     return np.where(inside[:, None], basis, -1), weights
 
 
+def _lowest_of_all(x: np.ndarray, y: np.ndarray, lift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one row by trying all triples.  A middle on an edge or a point is in several triangles as
+    low as one another; of those with an empty circle that one with the circle nearest to the origin."""
+    low, least = [], np.inf
+    who = np.flatnonzero(np.isfinite(lift))
+    for n, a in enumerate(who):
+        b, c = (who[n + 1 :][i] for i in np.triu_indices(len(who) - n - 1, 1))
+        area = (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.stack([x[b] * y[c] - y[b] * x[c], x[c] * y[a] - y[c] * x[a], x[a] * y[b] - y[a] * x[b]], 1) / area[:, None]
+        on = (np.abs(area) > 1e-12) & (own > -1e-9).all(1)
+        three, own = np.stack([np.full(on.sum(), a), b[on], c[on]], 1), own[on]
+        z = (lift[three] * own).sum(1)
+        least = min(least, z.min(initial=np.inf))
+        low.append((three, own, z))
+    if not np.isfinite(least):
+        return np.full(3, len(x)), np.zeros(3)
+    three, own, z = (np.concatenate(v) for v in zip(*low))
+    at = np.flatnonzero(z <= least + 1e-9 * (1 + abs(least)))
+    cx, cy, rad = circles(x[three[at]], y[three[at]])
+    for i in np.argsort(np.maximum(np.abs(cx), np.abs(cy)) + rad, kind="stable"):
+        if not (np.hypot(x[who] - cx[i], y[who] - cy[i]) < rad[i] - 1e-9).any():
+            return three[at[i]], own[at[i]]
+    return three[z.argmin()], own[z.argmin()]
+
+
 def circles(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centre and radius of the circles through three points (n, 3)."""
     bx, by, cx, cy = x[:, 1] - x[:, 0], y[:, 1] - y[:, 0], x[:, 2] - x[:, 0], y[:, 2] - y[:, 0]
@@ -83,6 +119,11 @@ def _noise(row: np.ndarray, col: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> 13)) * 1274126177 & 0xFFFFF) / 2.0**20 * 1e-6
 
 
+def _in_reach(dx: np.ndarray, dy: np.ndarray, reach: int) -> np.ndarray:
+    """Places that a circle within reach may touch; False where there is no point."""
+    return (np.abs(dx) <= reach + 1e-6) & (np.abs(dy) <= reach + 1e-6)
+
+
 def interpolate_cells(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, value: np.ndarray, low: tuple[int, int], size: tuple[int, int], reach: int, block: int = 4096) -> np.ndarray:
     """Values (size) of the cells from ``low`` on; points in cells up to ``reach`` around them, x and y in
     cells (a cell's middle is at half).  NaN where there is none."""
@@ -93,22 +134,31 @@ def interpolate_cells(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.nda
     for v in (x, y, value, _noise(row, col)):
         grids.append(np.full(shape, np.nan))
         grids[-1][r[ok], c[ok]] = v[ok]
-    # how many points a cell's window holds: cells with fewer than three have no triangle, the others are
-    # worked on in the order of their counts, so that candidates are packed without gaps
-    held = np.pad(np.isfinite(grids[0]).astype(np.int32), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-    wide = 2 * reach + 1
-    count = (held[wide:, wide:] - held[:-wide, wide:] - held[wide:, :-wide] + held[:-wide, :-wide]).ravel()
-    cells = np.flatnonzero(count >= 3)
+    # a triangle that counts lies in its circle, and that within reach: points farther from the middle are no
+    # candidates, and the middle must have candidates on its every side
+    step = np.arange(-reach, reach + 1)
+    mid_x, mid_y = np.arange(size[1]) + low[1] + 0.5, (np.arange(size[0]) + low[0] + 0.5)[:, None]
+    count, most = np.zeros(size, np.int32), np.full((8, *size), -np.inf)
+    for i in step + reach:
+        for j in step + reach:
+            dx, dy = (g[i : i + size[0], j : j + size[1]] - mid for g, mid in zip(grids, (mid_x, mid_y)))
+            near = _in_reach(dx, dy, reach)
+            count += near
+            dx = np.where(near, dx, np.nan)
+            for k, way in enumerate((dx, -dx, dy, -dy, dx + dy, dx - dy, dy - dx, -dx - dy)):
+                np.fmax(most[k], way, out=most[k])
+    # cells are worked on in the order of their counts, so that candidates are packed without gaps
+    count = count.ravel()
+    cells = np.flatnonzero((count >= 3) & (most.min(0) > -1e-6).ravel())
     cells = cells[np.argsort(count[cells], kind="stable")]
     gx, gy, gv, gn = (np.append(v, np.nan) for v in grids)  # the last one stands for no point
-    step = np.arange(-reach, reach + 1)
     around = (step[:, None] * shape[1] + step[None, :]).ravel()
     out = np.full(size[0] * size[1], np.nan)
     for lo in range(0, len(cells), block):
         q = cells[lo : lo + block]
         qr, qc = q // size[1], q % size[1]
         who = ((qr + reach) * shape[1] + qc + reach)[:, None] + around[None, :]
-        i, j = np.nonzero(np.isfinite(gx[who]))
+        i, j = np.nonzero(_in_reach(gx[who] - (qc + low[1] + 0.5)[:, None], gy[who] - (qr + low[0] + 0.5)[:, None], reach))
         packed = np.full((len(q), count[q[-1]]), -1)
         packed[i, np.arange(len(i)) - (np.cumsum(count[q]) - count[q])[i]] = who[i, j]
         who = packed
