@@ -46,8 +46,7 @@ def inverse_distance_fill(grid: DataFrame, layer: str, radius: int) -> DataFrame
     scattered linear interpolation, which needs a triangulation."""
     n = range(-radius, radius + 1)
     kernel = [[0.0 if (i, j) == (0, 0) else 1.0 / math.hypot(i, j) for j in n] for i in n]
-    near = convolve(grid, layer, kernel, preserve_missing=False).withColumnRenamed(layer, "_f")
-    return near.join(grid.select(*CELL, layer), CELL, "left").filter(F.col(layer).isNull()).select(*CELL, F.col("_f").alias(layer))
+    return convolve(grid, layer, kernel, preserve_missing=False, holes=True)
 
 
 def residual_rejection(grid: DataFrame, layer: str, factor: float) -> DataFrame:

@@ -53,12 +53,13 @@ def _steps(kernel: list[list[float]], centre: bool = True) -> tuple[list[tuple[i
     return [s for s, _ in all_], [w for _, w in all_]
 
 
-def gather(grid: DataFrame, layers: list[str], steps: list[tuple[int, int]], calc: Callable, names: list[str], keep: list[str] = (), own: bool = True) -> DataFrame:
+def gather(grid: DataFrame, layers: list[str], steps: list[tuple[int, int]], calc: Callable, names: list[str], keep: list[str] = (), own: bool = True, holes: bool = False) -> DataFrame:
     """(row, col, *keep, *names): what ``calc`` makes of the values that each cell finds at its steps.
 
     ``calc(found, n)`` gives for n cells an array (values, there or None) a name; ``found`` goes through the steps
     as (number of the step, whether its first row, [(value or 0, whether there is one) a layer]).  Cells
-    are those of the grid, with its columns ``keep``, or all that have one at a step (``own`` False).
+    are those of the grid, with its columns ``keep``, or all that have one at a step (``own`` False), or of these
+    the ``holes``, which aren't in the grid themselves.
     """
     reach = max(max(abs(i), abs(j)) for i, j in steps)
     values = [f"_v{n}" for n in range(len(layers))]
@@ -88,6 +89,8 @@ def gather(grid: DataFrame, layers: list[str], steps: list[tuple[int, int]], cal
             for i, j in steps:
                 ok = inside(r - i, c - j)
                 hit[keys[ok] - i * wide - j] = True
+            if holes:
+                hit[keys] = False
             at = np.flatnonzero(hit)
             out = [pa.array(v + b).cast(t[k].type) for v, b, k in zip(np.divmod(at, wide), low, CELL)]
 
@@ -119,9 +122,9 @@ def _moments(own: Iterator[tuple], n: int, layer: int = 0) -> tuple[np.ndarray,
     return mean, np.sqrt(apart / np.maximum(count, 1)), count
 
 
-def convolve(grid: DataFrame, layer: str, kernel: list[list[float]], normalise: bool = True, preserve_missing: bool = True, keep: list[str] = ()) -> DataFrame:
-    """Weighted mean over present neighbours; missing cells stay missing, or are interpolated.  With
-    preserve_missing columns ``keep`` stay, the mean replaces none of them but is called ``_m``."""
+def convolve(grid: DataFrame, layer: str, kernel: list[list[float]], normalise: bool = True, preserve_missing: bool = True, keep: list[str] = (), holes: bool = False) -> DataFrame:
+    """Weighted mean over present neighbours; missing cells stay missing, or are interpolated, or only these
+    are given (``holes``, without preserve_missing).  With preserve_missing columns ``keep`` stay, the mean replaces none of them but is called ``_m``."""
     steps, weights = _steps(kernel)
 
     def calc(found: Iterator[tuple], n: int) -> list:
@@ -132,7 +135,7 @@ def convolve(grid: DataFrame, layer: str, kernel: list[list[float]], normalise:
             count += there
         return [(total, None), (weight, None), (count, None)]
 
-    out = gather(grid.filter(F.col(layer).isNotNull()), [layer], steps, calc, ["_t", "_w", "_n"], keep, preserve_missing).filter("_n > 0")
+    out = gather(grid.filter(F.col(layer).isNotNull()), [layer], steps, calc, ["_t", "_w", "_n"], keep, preserve_missing, holes).filter("_n > 0")
     value = F.col("_t") / F.col("_w") if normalise else F.col("_t")
     return out.select(*CELL, *keep, value.alias("_m" if keep else layer))
 
