@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .grid import CELL, merge_fill
@@ -23,6 +24,7 @@ from .temporal import fill_linear
 
 BLOCK = 64  # cells; has no influence on results
 TILE = 256  # cells; has no influence on results
+CLOSING_TILE = 512  # the same
 
 # Named smoothing kernels.
 KERNELS = {
@@ -318,12 +320,46 @@ def deviating(grid: DataFrame, layer: str, factor: float, window: list[list[floa
     return j.filter(F.abs(F.col(layer) - F.col("_m")) > factor * F.col("_s")).select(*grid.columns)
 
 
+def _touched(cells: np.ndarray, radius: int) -> np.ndarray:
+    """Cells within the square radius of any, as far as the array goes."""
+    for axis in (0, 1):
+        near, cells = cells.copy().swapaxes(0, axis), cells.swapaxes(0, axis)
+        for k in range(1, radius + 1):
+            near[k:] |= cells[:-k]
+            near[:-k] |= cells[k:]
+        cells = near.swapaxes(0, axis)
+    return cells
+
+
+def closed(grid: DataFrame, layer: str, radius: int) -> DataFrame:
+    """(row, col, layer) of the cells with a value, and of those that a morphological closing adds to them, null.
+    Dilation and erosion are one tile's work, so cells are sent once and not as often as they dilate."""
+    reach = 2 * radius
+    wide = CLOSING_TILE + 2 * reach
+    cells = grid.filter(F.col(layer).isNotNull()).select(*CELL, F.col(layer).cast("double").alias(layer))
+    types = [f.type for f in to_arrow_schema(cells.schema)]
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        low = [k.as_py() * CLOSING_TILE - reach for k in key]
+        r, c = (t[k].to_numpy().astype(np.int64) - at for k, at in zip(CELL, low))
+        there = np.zeros((wide, wide), bool)
+        there[r, c] = True
+        new = ~_touched(~_touched(there, radius), radius) & ~there
+        holes = [v + reach for v in np.nonzero(new[reach:-reach, reach:-reach])]
+        own = (r >= reach) & (r < wide - reach) & (c >= reach) & (c < wide - reach)
+        at = [pa.array(np.concatenate([v[own], h]) + b).cast(kind) for v, h, b, kind in zip((r, c), holes, low, types)]
+        value = np.concatenate([t[layer].to_numpy()[own], np.zeros(len(holes[0]))])
+        return pa.Table.from_arrays([*at, pa.array(value, mask=np.arange(len(value)) >= own.sum())], names=[*CELL, layer])
+
+    tiles = with_tiles(cells, CLOSING_TILE, reach).drop("_own").repartition("_tr", "_tc")
+    return tiles.groupBy("_tr", "_tc").applyInArrow(one, cells.schema)
+
+
 def bilinear_fill(grid: DataFrame, layer: str, radius: int = 2, limit: int | None = None) -> DataFrame:
     """Holes that a morphological closing closes, filled by the mean of linear interpolation along
     their row and along their column (or the one there is); at most ``limit`` cells from a value."""
-    have = grid.filter(F.col(layer).isNotNull()).select(*CELL, F.col(layer).cast("double").alias(layer))
-    holes = erode(dilate(have, radius), radius).join(have.select(*CELL), CELL, "left_anti")
-    u = have.unionByName(holes, allowMissingColumns=True)
-    a = fill_linear(u, ["row"], "col", layer, limit).withColumnRenamed(layer, "_a")
-    b = fill_linear(u, ["col"], "row", layer, limit).withColumnRenamed(layer, "_b")
-    return holes.join(a, CELL).join(b, CELL).select(*CELL, F.coalesce((F.col("_a") + F.col("_b")) / 2, "_a", "_b").alias(layer)).filter(F.col(layer).isNotNull())
+    u = closed(grid, layer, radius).withColumns({"_a": F.col(layer), "_b": F.col(layer)})
+    for value, key, x in (("_a", "row", "col"), ("_b", "col", "row")):
+        u = fill_linear(u, [key], x, value, limit)
+    mean = F.coalesce((F.col("_a") + F.col("_b")) / 2, "_a", "_b")
+    return u.filter(F.col(layer).isNull()).select(*CELL, mean.alias(layer)).filter(F.col(layer).isNotNull())
